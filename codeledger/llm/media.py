@@ -6,7 +6,7 @@ defined places; each chunk is named by its SHA-256.  Chunks of equal digest are
 row per digest), and the ordered chunk lists meet that store by a join to rebuild the file,
 whose length and digest are verified before the payload is taken from it.
 
-The gear hash of a byte depends on the 64 bytes before it only, so cuts are the same wherever
+The gear hash of a byte depends on the 32 bytes up to it only, so cuts are the same wherever
 the same content stands.  Bytes are compressed before they are shuffled; a file of one chunk is
 rebuilt where it meets the store, only longer lists are gathered by file.  Equal payloads share
 one file: lists are held per distinct file digest.
@@ -34,15 +34,16 @@ from . import common
 
 UNIT = 64
 LEAST, MOST = 2_048, 65_536
-#: A cut where the low bits of the gear hash are all zero: 8 KB from the least size on average.
+#: A cut where the high bits of the gear hash are all zero: 8 KB from the least size on average.
 MASK_BITS = 13
+_MASK = np.uint32(((1 << MASK_BITS) - 1) << (32 - MASK_BITS))
 SEED = 42
 _RATE = 8_000
 
 
 @functools.lru_cache(maxsize=1)
 def _gear() -> np.ndarray:
-    return np.random.default_rng(SEED).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return np.random.default_rng(SEED).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
 def payload_of(text: str) -> tuple[bytes, int]:
@@ -74,12 +75,13 @@ def cuts(data: bytes) -> list[int]:
     """Ends of the chunks of ``data``: at least LEAST bytes, at most MOST (the last may be shorter)."""
     if len(data) <= LEAST:
         return [len(data)]
-    gear = _gear()[np.frombuffer(data, np.uint8)]
-    # h = sum over k < MASK_BITS of gear[i - k] << k: only those bytes reach the low bits.
-    h = np.zeros(len(data), np.uint64)
-    for k in range(MASK_BITS):
-        h[k:] += gear[: len(data) - k] << np.uint64(k)
-    places = np.flatnonzero((h & np.uint64((1 << MASK_BITS) - 1)) == 0) + 1
+    # h[i] = sum over k < 32 of gear[data[i - k]] << k, in five doublings.
+    h = _gear()[np.frombuffer(data, np.uint8)]
+    for k in (1, 2, 4, 8, 16):
+        more = h.copy()
+        more[k:] += h[:-k] << np.uint32(k)
+        h = more
+    places = np.flatnonzero((h & _MASK) == 0) + 1
     out, last, p = [], 0, 0
     while len(data) - last > LEAST:
         p = int(np.searchsorted(places, last + LEAST))
