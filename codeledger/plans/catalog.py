@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import q_metrics
+
 Query = Callable[[SparkSession, str], DataFrame]
+GROUPS = (q_metrics,)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_orderpriority").count()
+    """Ranked roll-up of scored evidence by file."""
+    return q_metrics.file_rollup(spark, sf_dir).orderBy("score", ascending=False)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: query for group in GROUPS for name, (query, _) in group.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for group in GROUPS for name, (_, sql) in group.QUERIES.items() if sql}
