@@ -35,7 +35,7 @@ def evidence(commits: DataFrame, reference: str, most: int = policy.COMMITS_PER_
     kept = latest(commits, most, path, ts, sha)
     authors = kept.groupBy(path, author).agg(F.count("*").alias("n"), F.count_if(is_fix(F.col(subject))).alias("fixes"), F.max(ts).alias("last"))
     per = authors.groupBy(path).agg(F.sum("n").alias("changes"), F.sum("fixes").alias("fixes"), F.max("n").alias("top"), F.max("last").alias("last"))
-    days = F.greatest(F.lit(0), F.floor((F.unix_micros(F.lit(reference).cast("timestamp")) - F.unix_micros("last")) / F.lit(86_400_000_000)))
+    days = F.greatest(F.lit(0), F.floor((F.unix_micros(F.lit(reference).cast("timestamp")) - F.unix_micros(F.col("last").cast("timestamp"))) / F.lit(86_400_000_000)))
     return per.select(
         path, "changes", F.least(F.lit(100.0), F.col("changes") * 20.0).alias("frequency"), F.least(F.lit(100.0), F.lit(100.0) / (1 + days / F.lit(30.0))).alias("recency"),
         (F.col("fixes") * 100.0 / F.col("changes")).alias("fix_share"), (F.col("top") * 100.0 / F.col("changes")).alias("top_contributor_share"),

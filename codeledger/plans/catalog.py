@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_metrics
+from . import q_metrics, q_structure
 
 Query = Callable[[SparkSession, str], DataFrame]
-GROUPS = (q_metrics,)
+GROUPS = (q_metrics, q_structure)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
