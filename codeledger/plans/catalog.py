@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_metrics, q_structure
+from . import q_lifecycle, q_metrics, q_structure
 
 Query = Callable[[SparkSession, str], DataFrame]
-GROUPS = (q_metrics, q_structure)
+GROUPS = (q_metrics, q_structure, q_lifecycle)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
