@@ -60,5 +60,5 @@ def statistics(edges: DataFrame) -> DataFrame:
 
 def dot_lines(edges: DataFrame) -> DataFrame:
     """(line): a DOT statement for each distinct edge, quotes and backslashes escaped."""
-    esc = lambda c: F.regexp_replace(F.regexp_replace(F.col(c).cast("string"), r"\\", r"\\\\\\\\"), '"', r'\\\\"')
+    esc = lambda c: F.replace(F.replace(F.col(c).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
     return edges.select(F.concat(F.lit('  "'), esc("source"), F.lit('" -> "'), esc("target"), F.lit('";')).alias("line")).distinct()

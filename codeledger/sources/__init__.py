@@ -1,0 +1 @@
+"""Readers: sources as DataFrames with explicit schemas."""
