@@ -61,8 +61,12 @@ def registered(rules: list[Rule]) -> dict[str, Rule]:
 #: The catalog of code smells by support.
 SMELLS = {
     "supported": ("Long Function", "Long Parameter List", "Global Data", "Large Class"),
-    "partial": ("Data Clumps", "Repeated Switches"),
-}
+    "research": (
+        "Duplicated Code", "Mutable Data", "Divergent Change", "Shotgun Surgery", "Feature Envy", "Data Clumps", "Repeated Switches", "Lazy Element", "Speculative Generality",
+        "Temporary Field", "Message Chains", "Middle Man", "Insider Trading", "Alternative Classes with Different Interfaces", "Data Class", "Refused Bequest",
+    ),
+    "notReliablyObservable": ("Mysterious Name", "Primitive Obsession", "Loops", "Comments"),
+}
 
 
 def smell_catalog(spark: SparkSession) -> DataFrame:
