@@ -246,6 +246,8 @@ def test_terms_that_disclose_an_entity(spark):
     assert terms == {"Brunhilde", "from"}  # in no document without that entity
     assert not got[20]["__cl_found"]
     clean = by_id(pii.sanitise(frame(spark, texts)))
+    once = by_id(pii.find(frame(spark, ["Brunhilde b@x.org Brunhilde b@x.org Brunhilde b@x.org Brunhilde b@x.org", *["plain text"] * 9])))
+    assert {s.kind for s in once[0]["__cl_found"]} == {"email"}  # four times in one document is one document
     assert clean[0].text == "the manager [term] writes [term] [email] about topic0" and clean[20].text == texts[20]
 
 

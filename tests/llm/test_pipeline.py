@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import duckdb
+import pytest
+
 import corpus_pipeline
 from codeledger.llm import common, registry, sql
 
@@ -28,6 +31,16 @@ def test_stages_take_empty_tables(spark):
         docs = out if name != "bpe_encode" else docs
 
 
+@pytest.mark.parametrize("name", sorted(sql.ORACLES))
+def test_queries_equal_their_sql(spark, name):
+    duck = duckdb.connect()
+    duck.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    want = duck.execute(sql.ORACLES[name]).df().sort_values("doc_id").reset_index(drop=True)
+    got = registry.queries()[name](spark, SF).toPandas().sort_values("doc_id").reset_index(drop=True)
+    assert sorted(got.columns) == sorted(want.columns)
+    assert (got[want.columns].astype(str) == want.astype(str)).all().all()
+
+
 def test_every_operator_has_a_query():
     assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 11))
     assert set(sql.ORACLES) <= set(registry.queries())
