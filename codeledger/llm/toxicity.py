@@ -4,10 +4,13 @@
 ``theta_1 < ... < theta_K``; the result is the expected grade ``sum_j P(grade > j)``.
 
 Labels hold one bit.  Grades are made from it: 0 for documents that aren't toxic; toxic ones
-get 1, 2 or 3 by thirds of the density of the terms that the labels show to be toxic.
+get 1, 2 or 3 by thirds of the number of terms in them that the labels show to be toxic.
 Features: presence of a term (lower-cased word); terms are those whose share among toxic
 documents differs from that among the others by ``MIN_Z`` standard errors.
 
+Copies would make the words of one mislabelled text look toxic.  So rows of the sample that
+share the least hash of their three-word shingles count as one text, with the majority's label.
+
 The model is fitted on a bounded sample of labelled rows, ``SAMPLE_ROWS``, at most ``MAX_TERMS``
 terms; every document is scored over its whole text.
 
@@ -18,8 +21,8 @@ all; further columns are ignored.
 
 from __future__ import annotations
 
-import math
 import re
+import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +47,20 @@ def terms_of(text: str) -> set[str]:
     return set(_word.findall(text.lower()))
 
 
+def copy_key(text: str) -> int:
+    """The least hash of the three-word shingles: near copies mostly have the same."""
+    words = text.encode().lower().split()
+    if len(words) < 3:
+        return zlib.crc32(b" ".join(words))
+    return min(zlib.crc32(b" ".join(w)) for w in zip(words, words[1:], words[2:]))
+
+
+def one_of_each(rows: DataFrame, text: str, key: str) -> DataFrame:
+    """One row (text, y) for each group of near copies."""
+    keyed = common.map_texts(rows, text, lambda: lambda texts: ([copy_key(t) for t in texts],), [T.StructField("copy", T.LongType())])
+    return keyed.groupBy("copy").agg(F.min_by(text, key).alias(text), (F.avg("y") > 0.5).cast("int").alias("y")).select(text, "y")
+
+
 def sample_of(labels: DataFrame, label: str, rows: int, key: str = "doc_id") -> DataFrame:
     """(key, y): a sample of about ``rows`` labelled ids (all of them if there are fewer), the
     same on every run; of an id that is labelled twice the larger label counts."""
@@ -57,28 +74,41 @@ def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def fit_ordinal(x: np.ndarray, grade: np.ndarray, ridge: float = RIDGE, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and ordered thresholds by accelerated gradient steps on the binary
-    decomposition ``grade > j`` (one weight vector, one threshold for each j)."""
+def fit_ordinal(x: np.ndarray, grade: np.ndarray, ridge: float = RIDGE, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and ordered thresholds by damped Newton steps on the binary decomposition
+    ``grade > j`` (one weight vector, one threshold for each j); convex, with a ridge."""
     n, d = x.shape
     k = int(grade.max()) if n else 0
-    above = np.stack([(grade > j) for j in range(k)], axis=1).astype(float)
-    share = np.clip(above.mean(axis=0), 1e-4, 1 - 1e-4)
-    w, theta = np.zeros(d), -np.log(share / (1 - share))
-    if d == 0 or k == 0:
-        return w, theta
-    # A bound of the curvature: the largest row norm squared and the thresholds.
-    rate = 1.0 / (0.25 * k * (float((x @ x.T.sum(axis=1)).max()) / n + 1) + ridge / n)
-    vw, vt, t = w.copy(), theta.copy(), 1.0
-    for _ in range(steps):
-        err = _sigmoid((x @ vw)[:, None] - vt[None, :]) - above
-        gw = x.T @ err.sum(axis=1) / n + ridge * vw / n
-        gt = -err.sum(axis=0) / n
-        nw, nt = vw - rate * gw, np.sort(vt - rate * gt)
-        s = (1 + math.sqrt(1 + 4 * t * t)) / 2
-        vw, vt = nw + (t - 1) / s * (nw - w), nt + (t - 1) / s * (nt - theta)
-        w, theta, t = nw, nt, s
-    return w, np.sort(theta)
+    above = np.stack([(grade > j) for j in range(k)], axis=1).astype(float) if k else np.zeros((n, 0))
+    share = np.clip(above.mean(axis=0), 1e-4, 1 - 1e-4) if k else np.zeros(0)
+    start = np.concatenate([np.zeros(d), -np.log(share / (1 - share))])
+    if k == 0:
+        return start[:d], start[d:]
+    pull = np.concatenate([np.full(d, ridge), np.full(k, 1e-3)])
+
+    def loss(v: np.ndarray) -> float:
+        z = (x @ v[:d])[:, None] - v[d:][None, :]
+        return float((np.logaddexp(0, z) - above * z).sum() + 0.5 * (pull * v * v).sum())
+
+    v, now = start, loss(start)
+    for _ in range(rounds):
+        p = _sigmoid((x @ v[:d])[:, None] - v[d:][None, :])
+        err, curve = p - above, np.maximum(p * (1 - p), 1e-9)
+        grad = np.concatenate([x.T @ err.sum(axis=1), -err.sum(axis=0)]) + pull * v
+        hess = np.diag(pull).astype(float)
+        hess[:d, :d] += (x * curve.sum(axis=1)[:, None]).T @ x
+        cross = -(x.T @ curve)
+        hess[:d, d:] += cross
+        hess[d:, :d] += cross.T
+        hess[d:, d:] += np.diag(curve.sum(axis=0))
+        step = np.linalg.solve(hess, grad)
+        size = 1.0
+        while size > 1e-4 and (new := loss(v - size * step)) > now:
+            size /= 2
+        if size <= 1e-4 or now - new < 1e-8 * abs(now):
+            break
+        v, now = v - size * step, new
+    return v[:d], np.sort(v[d:])
 
 
 class Model:
@@ -101,8 +131,9 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic") -> Model:
     """Fit on a bounded sample of labelled rows (see SAMPLE_ROWS)."""
     sample = F.broadcast(sample_of(labels, label, SAMPLE_ROWS, key))
-    rows = common.stash(docs.select(key, text).join(sample, key), "toxic-sample")
-    words = rows.select("y", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(common.whole_text(text)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("term"))
+    rows = common.stash(one_of_each(docs.select(key, text).join(sample, key), text, key), "toxic-sample")
+    listed = common.map_texts(rows, text, lambda: lambda texts: ([list(terms_of(t)) for t in texts],), [T.StructField("terms", T.ArrayType(T.StringType()))])
+    words = listed.select("y", F.explode("terms").alias("term"))
     n1, n0 = (int(v or 0) for v in rows.agg(F.sum("y"), F.sum(1 - F.col("y"))).first())
     if not n1 or not n0:
         return Model({}, [])
@@ -114,27 +145,22 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
 
     def make():
         def work(texts: list[str]):
-            ids, dense = [], []
-            for t in texts:
-                found = _word.findall(t.lower())
-                here = [picked[w] for w in found if w in picked]
-                ids.append(sorted({i for i, _ in here}))
-                dense.append(sum(up for _, up in here) / max(1, len(found)))
-            return ids, dense
+            found = [{picked[w] for w in terms_of(t) if w in picked} for t in texts]
+            return [sorted(i for i, _ in f) for f in found], [sum(up for _, up in f) for f in found]
 
         return work
 
-    fields = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("density", T.DoubleType())]
-    got = common.map_texts(rows.select(text, "y"), text, make, fields).select("y", "ids", "density").toPandas()
+    fields = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("toxic_terms", T.LongType())]
+    got = common.map_texts(rows.select(text, "y"), text, make, fields).select("y", "ids", "toxic_terms").toPandas()
     x = np.zeros((len(got), len(picked)))
     for r, ids in enumerate(got["ids"]):
         x[r, np.asarray(ids, dtype=int)] = 1.0
-    y, density = got["y"].to_numpy(), got["density"].to_numpy()
+    y, many = got["y"].to_numpy(), got["toxic_terms"].to_numpy()
     grade = np.where(y > 0, 1, 0)
-    has = (y > 0) & (density > 0)
+    has = (y > 0) & (many > 0)
     if has.any():
-        cuts = np.quantile(density[has], [(g + 1) / GRADES for g in range(GRADES - 1)])
-        grade[has] = 1 + np.searchsorted(cuts, density[has], side="left")
+        cuts = np.quantile(many[has], [(g + 1) / GRADES for g in range(GRADES - 1)])
+        grade[has] = 1 + np.searchsorted(cuts, many[has], side="left")
     w, theta = fit_ordinal(x, grade)
     return Model({t: float(w[i]) for t, (i, _) in picked.items()}, theta.tolist())
 
