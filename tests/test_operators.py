@@ -253,3 +253,36 @@ def test_order_does_not_matter(spark):
     one = sorted((r.item_id, round(r.score, 9)) for r in scoring.composite_scores(evidence(spark, rows)).collect())
     rng.shuffle(rows)
     assert sorted((r.item_id, round(r.score, 9)) for r in scoring.composite_scores(evidence(spark, rows)).collect()) == one
+
+
+def test_semantic_and_configuration_comparison(spark):
+    base = {
+        "prior_rule": "r", "current_rule": "r", "prior_engine": "1", "current_engine": "1", "prior_source_identity": "s", "current_source_identity": "s", "prior_capabilities": ["a", "b"], "current_capabilities": ["b", "a"],
+        "capabilities_available": True, "configuration_compatible": True, "prior_revision": 1, "current_revision": 1, "declared_claims": ["continuity"], "declared_from": 1, "claim": "continuity",
+    }
+    schema = "prior_rule string, current_rule string, prior_engine string, current_engine string, prior_source_identity string, current_source_identity string, prior_capabilities array<string>, current_capabilities array<string>, capabilities_available boolean, configuration_compatible boolean, prior_revision int, current_revision int, declared_claims array<string>, declared_from int, claim string"
+    cases = [
+        ({}, True, []), ({"current_revision": 2}, True, ["semantic-compatibility-declared"]), ({"current_revision": 2, "claim": "absence"}, False, ["semantic-revision-incomparable"]), ({"current_engine": "2"}, False, ["engine-incomparable"]),
+        ({"current_source_identity": None}, False, ["source-identity-unavailable"]), ({"current_capabilities": ["a"]}, False, ["capabilities-incomparable"]), ({"capabilities_available": False}, False, ["capability-unavailable"]),
+    ]
+    for change, ok, reasons in cases:
+        row = base | change
+        got = lifecycle.semantic_comparison(spark.createDataFrame([tuple(row[c.split()[0]] for c in schema.split(", "))], schema)).first()
+        assert (got.compatible, list(got.reasons)) == (ok, reasons), change
+    rows = [(1, 10, 10, ["a"], ["a"], None), (2, 10, 20, ["a"], ["a"], ["maximum_bytes"]), (3, 20, 10, ["a"], ["a"], ["maximum_bytes"]), (4, 10, 20, ["a"], ["b"], ["maximum_bytes"]), (5, 10, 20, ["a"], ["a"], None)]
+    pairs = spark.createDataFrame(rows, "k int, prior_maximum_bytes long, current_maximum_bytes long, prior_excludes array<string>, current_excludes array<string>, declared_dimensions array<string>")
+    got = {r.k: (r.compatible, r.reason) for r in lifecycle.configuration_comparison(pairs, ("maximum_bytes", "excludes")).collect()}
+    assert got == {
+        1: (True, None), 2: (True, "configuration-compatibility-declared"), 3: (False, "configuration-compatibility-direction-blocked"),
+        4: (False, "configuration-declaration-dimensions-mismatch"), 5: (False, "configuration-compatibility-not-declared"),
+    }
+
+
+def test_absence_and_relocation(spark):
+    f = spark.createDataFrame([("a", False, False), ("b", True, True)], "finding string, partial boolean, omitted boolean")
+    got = {r.finding: (r.verified, list(r.blockers)) for r in lifecycle.absence_blockers(f, {"scope-incomplete": "partial", "rule-omitted": "omitted"}).collect()}
+    assert got == {"a": (True, []), "b": (False, ["rule-omitted", "scope-incomplete"])}
+    start = spark.createDataFrame([("1", "a"), ("2", "z")], "id string, path string")
+    ren = spark.createDataFrame([(1, "a", "b"), (2, "b", "c")], "position long, prior string, current string")
+    gone = spark.createDataFrame([(3, "c")], "position long, prior string")
+    assert {r.id: (r.path, r.outcome) for r in lifecycle.relocation(start, ren, gone).collect()} == {"1": ("c", "deleted"), "2": ("z", "unchanged")}
