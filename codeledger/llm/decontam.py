@@ -1,19 +1,23 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Passages: windows of ``WINDOW`` words at every ``STEP`` words of a document (lower-cased
-   letters and digits).  Terms are the words of the benchmark: others have weight zero in every
-   query.  One pass over all documents counts document frequencies and the sketch
-   ``Y = A'(A G)`` of the passages' term matrix A with a fixed Gaussian matrix G, summed per
-   task and then per term.
-2. Randomised SVD: with ``Y`` scaled by idf, the single-pass (Nystroem) eigendecomposition of
-   the TF-IDF covariance gives the ``RANK`` leading right singular vectors.
-3. A second pass projects the passages, takes those whose cosine with a passage of a benchmark
-   item is at least ``COSINE`` as candidates, and verifies each (document, item) by the longest
-   common subsequence of words around the passage: at least ``LCS_SURE`` of the item, or at
-   least ``LCS_LIKELY`` with ``ANSWER_SHARE`` of its answer (its last ``ANSWER`` words).
-
-A passage whose words are mostly strange to the benchmark is not projected: its cosine in the
-full term space is bounded by its share of benchmark words.
+1. Terms are the words of the benchmark (a word: the lower-cased letters and digits of what
+   stands between white space).  One pass over all documents counts their document frequencies;
+   a term's weight is its squared idf (idf on either side of a product).
+2. Passages of the benchmark are windows of ``WINDOW`` words at every ``STEP`` words.  Their
+   TF-IDF matrix A is reduced by a distributed randomised SVD: tasks sum the sketch
+   ``Y = A'(A G)`` for a fixed Gaussian matrix G, and the single-pass (Nystroem)
+   eigendecomposition of A'A gives the ``RANK`` leading right singular vectors.
+3. A second pass over all documents projects their windows, takes those whose cosine with a
+   benchmark passage is at least ``COSINE`` as candidates (over full norms, relative to what the
+   projection keeps of the passage, so an equal window has 1), and
+   verifies each (document, item) by the longest common subsequence of words around the window:
+   at least ``LCS_SURE`` of the item, or at least ``LCS_LIKELY`` with ``ANSWER_SHARE`` of its
+   answer (its last ``ANSWER`` words).
+
+Words strange to the benchmark count in a window's norm, each with the mean weight of the
+benchmark's terms.  With ``share`` the part of a window's squared norm that lies in benchmark
+terms, its cosine with any passage is at most ``sqrt(share)``: windows below ``SHARE`` aren't
+projected.  Before a subsequence is computed, the number of common words bounds it.
 
 The benchmark is taken in blocks of at most ``BLOCK_ITEMS`` items, which bounds what a task
 holds; a larger benchmark takes more passes.
@@ -27,7 +31,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,19 +41,48 @@ from pyspark.sql import types as T
 from . import common
 
 WINDOW, STEP = 16, 8
-RANK = 48
-COSINE = 0.55
+RANK = 256
+#: Raw tokens that a worker remembers the code of; when it is full, it starts anew.
+CACHE_TOKENS = 500_000
+COSINE = 0.5
 LCS_SURE, LCS_LIKELY = 0.8, 0.6
 ANSWER, ANSWER_SHARE = 6, 0.6
-#: A window is projected if at least this share of its words are words of the benchmark.
+#: A window is projected if at least this part of its squared norm lies in benchmark terms.
 SHARE = 0.5
-BLOCK_ITEMS = 5_000
+BLOCK_ITEMS = 1_000
 SEED = 42
 _word = re.compile(r"[^\W_]+")
 
 
+_EDGES = ".,;:!?*&%$#|-_+=~^/\\\"'`()[]{}<>"
+
+
+def word_of(token: str) -> str:
+    """The lower-cased letters and digits of a token."""
+    word = token.strip(_EDGES).lower()
+    return word if word.isalnum() else "".join(_word.findall(word))
+
+
 def words_of(text: str) -> list[str]:
-    return _word.findall(text.lower())
+    return [w for w in map(word_of, text.split()) if w]
+
+
+STRANGE, NO_WORD = -1, -2
+
+
+class Codes(dict):
+    """Raw token -> number of its word in the vocabulary, STRANGE or NO_WORD."""
+
+    def __init__(self, vocab: dict[str, int]):
+        super().__init__()
+        self.vocab = vocab
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > CACHE_TOKENS:
+            self.clear()
+        word = word_of(token)
+        code = self[token] = self.vocab.get(word, STRANGE) if word else NO_WORD
+        return code
 
 
 def lcs(a: list, b: list) -> int:
@@ -74,20 +106,26 @@ class Benchmark:
         self.words = [words_of(t or "") for _, t in items]
         self.vocab = {w: k for k, w in enumerate(sorted({w for ws in self.words for w in ws}))}
         self.coded = [[self.vocab[w] for w in ws] for ws in self.words]
-        self.passages: list[tuple[int, list[int]]] = []
-        for k, ws in enumerate(self.coded):
-            for s in range(0, max(1, len(ws) - WINDOW + 1), STEP):
-                if ws:
-                    self.passages.append((k, ws[s : s + WINDOW]))
-            if len(ws) > WINDOW and (len(ws) - WINDOW) % STEP:
-                self.passages.append((k, ws[-WINDOW:]))
+        self.passages = [(k, p) for k, ws in enumerate(self.coded) for p in windows_of(ws)]
 
 
-def _coded(texts: list[str], vocab: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Term numbers (-1: strange) of all texts in a row, and where each text begins."""
+def windows_of(words: list) -> list[list]:
+    """The passages of an item: every STEP words, and the last full one."""
+    if not words:
+        return []
+    starts = list(range(0, max(1, len(words) - WINDOW + 1), STEP))
+    if len(words) > WINDOW and (len(words) - WINDOW) % STEP:
+        starts.append(len(words) - WINDOW)
+    return [words[s : s + WINDOW] for s in starts]
+
+
+def _coded(texts: list[str], codes: Codes) -> tuple[np.ndarray, np.ndarray]:
+    """Term numbers of all texts in a row, and where each text begins."""
     flat, starts, n = [], [0], 0
     for t in texts:
-        got = np.fromiter(map(vocab.get, found := words_of(t), repeat(-1)), dtype=np.int32, count=len(found))
+        tokens = t.split()
+        got = np.fromiter(map(codes.__getitem__, tokens), dtype=np.int32, count=len(tokens))
+        got = got[got != NO_WORD]
         flat.append(got)
         n += len(got)
         starts.append(n)
@@ -104,106 +142,111 @@ def _steps(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _gaussian(terms: int) -> np.ndarray:
-    return np.random.default_rng(SEED).standard_normal((terms, RANK)).astype(np.float32)
-
-
-def _sums(codes: np.ndarray, begins: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """For each step the sum of the rows of ``table`` of its terms; ``table`` ends in zeros."""
-    out = np.zeros((len(begins), table.shape[1]), dtype=np.float32)
-    chunk = 1 << 12  # steps at a time: bounds the memory for long texts
-    for k in range(0, len(begins), chunk):
-        b = begins[k : k + chunk]
-        end = begins[k + chunk] if k + chunk < len(begins) else len(codes)
-        part = codes[b[0] : end]
-        out[k : k + chunk] = np.add.reduceat(table[part], b - b[0], axis=0)
-    return out
+    return np.random.default_rng(SEED).standard_normal((terms, RANK))
 
 
-def sketch(docs: DataFrame, bench: Benchmark, text: str) -> tuple[np.ndarray, np.ndarray, int]:
-    """Document frequencies of the terms, the sketch Y, and the number of documents."""
-    vocab, terms = bench.vocab, len(bench.vocab)
+def document_frequencies(docs: DataFrame, vocab: dict[str, int], text: str) -> tuple[np.ndarray, int]:
+    """In how many documents each term of ``vocab`` stands, and how many documents there are.
+    Summed in each task; as many rows come back as there are terms."""
+    terms = len(vocab)
     common.ship(docs.sparkSession)
     common.short_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.vstack([_gaussian(terms), np.zeros((1, RANK), np.float32)])
-        df, y, n = np.zeros(terms, np.int64), np.zeros((terms, RANK)), 0
+        known, df, n = Codes(vocab), np.zeros(terms, np.int64), 0
         for batch in batches:
             texts = [t or "" for t in batch.column(0).to_pylist()]
             n += len(texts)
-            codes, starts = _coded(texts, vocab)
-            if not len(codes):
-                continue
-            begins, owner = _steps(starts)
-            z = _sums(codes, begins, table)
-            same = owner[1:] == owner[:-1]
-            window = z.copy()  # a window is a step and the next of the same text
-            window[:-1][same] += z[1:][same]
-            both = window.copy()  # a step lies in its own window and in the one before
-            both[1:][same] += window[:-1][same]
-            step = np.searchsorted(begins, np.arange(len(codes)), side="right") - 1
-            known = np.flatnonzero(codes >= 0)
-            order = known[np.argsort(codes[known], kind="stable")]
-            if not len(order):
-                continue
-            term, where = np.unique(codes[order], return_index=True)
-            for c in range(0, RANK, 16):
-                y[term, c : c + 16] += np.add.reduceat(both[step[order], c : c + 16], where, axis=0)
-            text_of = np.searchsorted(starts, known, side="right") - 1
-            df += np.bincount(np.unique(text_of * terms + codes[known]) % terms, minlength=terms)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, terms)), pa.array([n, *df.tolist()]), pa.array([[0.0] * RANK, *y.tolist()], type=pa.list_(pa.float64()))], names=["term", "df", "y"])
-
-    parts = docs.select(text).mapInArrow(run, "term long, df long, y array<double>")
-    rows = parts.groupBy("term").agg(F.sum("df").alias("df"), *[F.sum(F.col("y")[i]).alias(f"y{i}") for i in range(RANK)]).toPandas()
-    rows = rows.set_index("term").reindex(range(-1, terms), fill_value=0)
-    y = rows[[f"y{i}" for i in range(RANK)]].to_numpy(dtype=float)[1:]
-    return rows["df"].to_numpy()[1:], y, int(rows["df"].iloc[0])
-
-
-def singular_vectors(y: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Leading right singular vectors of the TF-IDF matrix from the sketch of the term matrix.
-
-    ``C = D A'A D`` (D: idf) sketched with the test matrix ``inv(D) G`` is ``D Y``; the Nystroem
-    approximation ``C ~ F F'`` has its left singular vectors."""
-    terms = len(idf)
-    g = _gaussian(terms).astype(float) / np.maximum(idf, 1e-9)[:, None]
-    cy = y * idf[:, None]
-    shift = 1e-8 * max(float(np.linalg.norm(cy)), 1e-12)
-    cy = cy + shift * g
+            for t in texts:
+                here = np.fromiter(set(map(known.__getitem__, set(t.split()))), dtype=np.int64)
+                df[here[here >= 0]] += 1
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int64()), pa.array([n, *df[at].tolist()], pa.int64())], names=["term", "df"])
+
+    rows = docs.select(text).mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()
+    out = np.zeros(terms, np.int64)
+    n = 0
+    for r in rows:
+        if r.term < 0:
+            n = int(r.df)
+        else:
+            out[r.term] = r.df
+    return out, n
+
+
+#: Tasks that sum up the sketch of a block; so many matrices reach the driver.
+SKETCH_TASKS = 4
+
+
+def sketch(bench: DataFrame, vocab: dict[str, int], weight: np.ndarray, text: str) -> np.ndarray:
+    """``Y = A'(A G)`` of the weighted passages of ``bench``, summed over tasks."""
+    terms = len(vocab)
+    common.ship(bench.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g, y = _gaussian(terms), np.zeros((terms, RANK), np.float64)
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                for codes in windows_of([vocab[w] for w in words_of(t or "")]):
+                    at, count = np.unique(codes, return_counts=True)
+                    row = weight[at] * count
+                    y[at] += np.outer(row, row @ g[at])
+        yield pa.RecordBatch.from_arrays([pa.array([y.astype(np.float32).tobytes()], pa.binary())], names=["y"])
+
+    parts = bench.select(text).coalesce(SKETCH_TASKS).mapInArrow(run, "y binary").collect()
+    return sum(np.frombuffer(p.y, np.float32).reshape(terms, RANK).astype(np.float64) for p in parts)
+
+
+def singular_vectors(y: np.ndarray) -> np.ndarray:
+    """Leading right singular vectors of A from the sketch ``Y = C G`` of ``C = A'A``: the
+    Nystroem approximation ``C ~ F F'`` has them as its left singular vectors."""
+    g = _gaussian(len(y))
+    shift = 1e-7 * max(float(np.linalg.norm(y)), 1e-12) / max(1.0, float(np.sqrt(len(y))))
+    cy = y + shift * g
     core = g.T @ cy
-    core = (core + core.T) / 2
-    vals, vecs = np.linalg.eigh(core)
-    keep = vals > vals.max() * 1e-10 if len(vals) else vals > 0
-    f = cy @ (vecs[:, keep] / np.sqrt(vals[keep]))
-    return np.linalg.svd(f, full_matrices=False)[0]
+    vals, vecs = np.linalg.eigh((core + core.T) / 2)
+    keep = vals > vals.max() * 1e-9
+    left, sizes, _ = np.linalg.svd(cy @ (vecs[:, keep] / np.sqrt(vals[keep])), full_matrices=False)
+    return left[:, sizes > sizes[0] * 1e-4]
 
 
 class Finder:
     """Holds what a task needs: the projected items and the table of term weights."""
 
-    def __init__(self, bench: Benchmark, idf: np.ndarray, basis: np.ndarray):
+    def __init__(self, bench: Benchmark, weight: np.ndarray, basis: np.ndarray):
         self.bench = bench
         rank = basis.shape[1]
-        self.table = np.vstack([idf[:, None] * basis, np.zeros((1, rank))]).astype(np.float32)
+        #: Squared weights; the last is that of a strange word (code -1).
+        self.square = np.append(weight**2, float(weight.mean()) ** 2 if len(weight) else 1.0)
+        self.table = np.vstack([weight[:, None] * basis, np.zeros((1, rank))]).astype(np.float32)
         q = np.stack([self.table[codes].sum(axis=0) for _, codes in bench.passages]) if bench.passages else np.zeros((0, rank), np.float32)
-        self.q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-9)
+        own = np.array([self._norm(codes) for _, codes in bench.passages]).reshape(-1, 1)
+        # Relative to what the projection keeps of the passage: an equal window has 1.
+        self.q = q * own / np.maximum((q * q).sum(axis=1, keepdims=True), 1e-12)
+        self.codes: Codes | None = None
         self.item = np.array([k for k, _ in bench.passages], dtype=np.int64)
 
+    def _norm(self, codes: list[int]) -> float:
+        """The full norm of a passage, as windows have it."""
+        return float(np.sqrt(self.square[codes].sum()))
+
     def find(self, texts: list[str]) -> list[list[tuple[int, float]]]:
         """For each text the items that it holds: (place in the block, share of the LCS)."""
         out: list[list[tuple[int, float]]] = [[] for _ in texts]
-        codes, starts = _coded(texts, self.bench.vocab)
+        self.codes = self.codes or Codes(self.bench.vocab)
+        codes, starts = _coded(texts, self.codes)
         if not len(codes) or not len(self.q):
             return out
         begins, owner = _steps(starts)
         ends = np.append(begins[1:], len(codes))
-        known = np.add.reduceat((codes >= 0).astype(np.int32), begins)
+        weight = self.square[codes]
         size = ends - begins
         same = np.append(owner[1:] == owner[:-1], False)
-        in_window, words = known.copy(), size.copy()
-        in_window[:-1][same[:-1]] += known[1:][same[:-1]]
-        words[:-1][same[:-1]] += size[1:][same[:-1]]
-        close = np.flatnonzero(in_window >= SHARE * words)
+        inside, norm = np.add.reduceat(np.where(codes >= 0, weight, 0.0), begins), np.add.reduceat(weight, begins)
+        for x in (inside, norm):  # a window is a step and the next of the same text
+            x[:-1] += np.where(same[:-1], x[1:], 0.0)
+        share = inside / np.maximum(norm, 1e-12)
+        close = np.flatnonzero(share >= SHARE)
         pairs: dict[tuple[int, int], list[int]] = {}
         for k in range(0, len(close), 2048):
             w = close[k : k + 2048]
@@ -211,7 +254,7 @@ class Finder:
             grid = w_start[:, None] + np.arange(WINDOW)[None, :]
             part = np.where(grid < w_end[:, None], codes[np.minimum(grid, len(codes) - 1)], -1)
             z = self.table[part].sum(axis=1)
-            z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
+            z /= np.sqrt(np.maximum(norm[w], 1e-12))[:, None]
             for a, b in np.argwhere(z @ self.q.T >= COSINE):
                 pairs.setdefault((int(owner[w[a]]), int(self.item[b])), []).append(int(w_start[a]))
         for (t, k), places in pairs.items():
@@ -230,30 +273,28 @@ class Finder:
             lo, hi = max(0, p - n), min(len(codes), p + n + WINDOW)
             done = p + max(STEP, n // 2)
             part = codes[lo:hi].tolist()
+            here = set(part)
+            if sum(w in here for w in item) < LCS_LIKELY * n:
+                continue  # more than the subsequence can have
             share = lcs(item, part) / n
             if share >= LCS_SURE or (share >= LCS_LIKELY and lcs(item[-ANSWER:], part) >= ANSWER_SHARE * len(item[-ANSWER:])):
                 best = max(best, share)
         return best
 
 
-def blocks(bench: DataFrame, key: str, text: str) -> Iterator[Benchmark]:
-    """The items in blocks of bounded size."""
-    n = bench.count()
-    parts = -(-n // BLOCK_ITEMS)
-    split = bench.select(key, text).filter(F.col(text).isNotNull()).withColumn("__cl_part", F.pmod(F.xxhash64(key, text), F.lit(max(1, parts))))
-    for k in range(parts):
-        yield Benchmark([(r[0], r[1]) for r in split.filter(F.col("__cl_part") == k).collect()])
-
-
 def finders(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> list[Finder]:
-    """One fitted finder for each block of the benchmark."""
+    """One fitted finder for each block of the benchmark (BLOCK_ITEMS items at most, by hash)."""
+    parts = -(-bench.count() // BLOCK_ITEMS)
+    split = bench.select(item, item_text).filter(F.col(item_text).isNotNull()).withColumn("__cl_part", F.pmod(F.xxhash64(item, item_text), F.lit(max(1, parts))))
     out = []
-    for block in blocks(bench, item, item_text):
+    for k in range(parts):
+        rows = split.filter(F.col("__cl_part") == k)
+        block = Benchmark([(r[0], r[1]) for r in rows.collect()])  # bounded by BLOCK_ITEMS
         if not block.vocab:
             continue
-        df, y, n = sketch(docs, block, text)
-        idf = np.log((1 + n) / (1 + df)) + 0.05
-        out.append(Finder(block, idf, singular_vectors(y, idf)))
+        df, n = document_frequencies(docs, block.vocab, text)
+        weight = (np.log((1 + n) / (1 + df)) + 0.05) ** 2
+        out.append(Finder(block, weight, singular_vectors(sketch(rows, block.vocab, weight, item_text))))
     return out
 
 
