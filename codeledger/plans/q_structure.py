@@ -398,7 +398,7 @@ KNN_FILTERED = _KNN.format(dist=_COS, where="where e.label = (select label from
 def knn_batch(s, d):
     """A stated set of queries (ids that 50 divides) against all rows."""
     e = b.t(s, d, "embeddings")
-    out = vectors.nearest_to_each(e, e.filter("vec_id % 50 = 0"), 3, "l2", "vec_id", "embedding", 100_000)
+    out = vectors.nearest_to_each(e, e.filter("vec_id % 50 = 0"), 3, "l2", "vec_id", "embedding")
     return out.select("query_id", "vec_id", F.round("distance", 6).alias("distance"))
 
 

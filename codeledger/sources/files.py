@@ -54,7 +54,7 @@ def scan_manifest(spark: SparkSession, manifest: str, suffix: str = ".swift", ma
         if not module or path.startswith("/") or ".." in path.split("/"):
             raise ValueError(f"manifest entry {path!r} isn't inside the root or has no module")
     listed = spark.createDataFrame(rows, "path string, module string")
-    return scan_directory(spark, data["root"], suffix, maximum=maximum).drop("module").join(F.broadcast(listed), "path").select("path", "module", "content")
+    return scan_directory(spark, data["root"], suffix, maximum=maximum).drop("module").join(listed, "path").select("path", "module", "content")
 
 
 def in_memory(spark: SparkSession, units: list[tuple[str, str, str]]) -> DataFrame:
