@@ -331,7 +331,7 @@ def explain_items(s, d):
 EXPLAIN = "with " + b.EVIDENCE_SQL + """
 e as (select item_id, kind, cast(case when ok then s end as double) s from ev),
 r as (select *, row_number() over (partition by item_id order by s desc nulls last, kind) rn from e)
-select r.item_id, k.category, r.kind strongest, round(r.s, 6) strongest_score from r join (select item_id, split_part(min(kind), '.', 1) category from ev group by 1) k using (item_id) where rn = 1
+select r.item_id, k.category, case when r.s is not null then r.kind end strongest, round(r.s, 6) strongest_score from r join (select item_id, split_part(min(kind), '.', 1) category from ev group by 1) k using (item_id) where rn = 1
 """
 
 QUERIES = {

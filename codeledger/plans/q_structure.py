@@ -218,7 +218,7 @@ from k join t on k.path = t.path group by 1
 
 def blame_aged(s, d):
     """Returned lines as detections, blamed on the ship date; the head is a customer's last."""
-    li = b.t(s, d, "lineitem").dropDuplicates(["l_orderkey", "l_linenumber", "l_shipdate"]).groupBy("l_orderkey", "l_linenumber").agg(F.max("l_shipdate").alias("r"), F.max("l_returnflag").alias("f"))
+    li = b.t(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_shipdate").alias("r"), F.max("l_returnflag").alias("f"))
     blame = li.filter("l_orderkey % 11 <> 0 or l_linenumber <> 2").select(F.col("l_orderkey").alias("source"), F.col("l_linenumber").alias("line"), F.date_format("r", "yyyy-MM-dd").alias("revision"))
     det = li.filter("f = 'R'").select(F.col("l_orderkey").alias("source"), F.col("l_linenumber").alias("line"))
     return history.aged_detections(det, blame, "1996-03-01").groupBy("outcome").agg(F.count("*").alias("detections"))
@@ -374,7 +374,7 @@ def _query_vector(s, d):
 def _knn(metric):
     def run(s, d):
         out = vectors.nearest(b.t(s, d, "embeddings"), _query_vector(s, d), 10, metric, "vec_id", "embedding", None)
-        return out.select("vec_id", F.round("distance", 6).alias("distance"))
+        return out.select("vec_id", (F.round("distance", 6) + 0.0).alias("distance"))
 
     return run
 
@@ -382,14 +382,14 @@ def _knn(metric):
 _DOT = "list_sum(list_transform(list_zip(cast({a} as double[]), cast({b} as double[])), lambda x: x[1] * x[2]))"
 _COS = "1 - " + _DOT.format(a="e.embedding", b="q.embedding") + " / (sqrt(" + _DOT.format(a="e.embedding", b="e.embedding") + ") * sqrt(" + _DOT.format(a="q.embedding", b="q.embedding") + "))"
 _L2 = "sqrt(list_sum(list_transform(list_zip(cast(e.embedding as double[]), cast(q.embedding as double[])), lambda x: (x[1] - x[2]) * (x[1] - x[2]))))"
-_KNN = "with q as (select embedding from embeddings where vec_id = 0) select e.vec_id, round({dist}, 6) distance from embeddings e, q {where} order by {dist}, e.vec_id limit 10"
+_KNN = "with q as (select embedding from embeddings where vec_id = 0) select e.vec_id, round({dist}, 6) + 0.0 distance from embeddings e, q {where} order by {dist}, e.vec_id limit 10"
 
 
 def knn_filtered(s, d):
     e = b.t(s, d, "embeddings").withColumn("metadata", F.create_map(F.lit("label"), F.col("label").cast("string"), F.lit("parity"), (F.col("vec_id") % 2).cast("string")))
     one = e.filter("vec_id = 0").select("label").first()[0]
     out = vectors.nearest(vectors.with_metadata(e, {"label": str(one), "parity": "0"}), _query_vector(s, d), 10, "cosine", "vec_id", "embedding", None)
-    return out.select("vec_id", F.round("distance", 6).alias("distance"))
+    return out.select("vec_id", (F.round("distance", 6) + 0.0).alias("distance"))
 
 
 KNN_FILTERED = _KNN.format(dist=_COS, where="where e.label = (select label from embeddings where vec_id = 0) and e.vec_id % 2 = 0")
@@ -399,10 +399,10 @@ def knn_batch(s, d):
     """A stated set of queries (ids that 50 divides) against all rows."""
     e = b.t(s, d, "embeddings")
     out = vectors.nearest_to_each(e, e.filter("vec_id % 50 = 0"), 3, "l2", "vec_id", "embedding")
-    return out.select("query_id", "vec_id", F.round("distance", 6).alias("distance"))
+    return out.select("query_id", "vec_id", (F.round("distance", 6) + 0.0).alias("distance"))
 
 
-KNN_BATCH = f"with r as (select q.vec_id query_id, e.vec_id, {_L2} d from embeddings e, embeddings q where q.vec_id % 50 = 0), k as (select *, row_number() over (partition by query_id order by d, vec_id) n from r) select query_id, vec_id, round(d, 6) distance from k where n <= 3"
+KNN_BATCH = f"with r as (select q.vec_id query_id, e.vec_id, {_L2} d from embeddings e, embeddings q where q.vec_id % 50 = 0), k as (select *, row_number() over (partition by query_id order by d, vec_id) n from r) select query_id, vec_id, round(d, 6) + 0.0 distance from k where n <= 3"
 
 
 def vector_upsert(s, d):
