@@ -7,17 +7,20 @@
    TF-IDF matrix A is reduced by a distributed randomised SVD: tasks sum the sketch
    ``Y = A'(A G)`` for a fixed Gaussian matrix G, and the single-pass (Nystroem)
    eigendecomposition of A'A gives the ``RANK`` leading right singular vectors.
-3. A second pass over all documents projects their windows, takes those whose cosine with a
-   benchmark passage is at least ``COSINE`` as candidates (over full norms, relative to what the
-   projection keeps of the passage, so an equal window has 1), and
+3. A second pass over all documents projects those of their windows that an item can stand
+   around, takes those whose cosine with a passage of such an item is at least ``COSINE`` as
+   candidates (over full norms, relative to what the projection keeps of the passage, so an
+   equal window has 1), and
    verifies each (document, item) by the longest common subsequence of words around the window:
    at least ``LCS_SURE`` of the item, or at least ``LCS_LIKELY`` with ``ANSWER_SHARE`` of its
    answer (its last ``ANSWER`` words).
 
 Words strange to the benchmark count in a window's norm, each with the mean weight of the
-benchmark's terms.  With ``share`` the part of a window's squared norm that lies in benchmark
-terms, its cosine with any passage is at most ``sqrt(share)``: windows below ``SHARE`` aren't
-projected.  Before a subsequence is computed, the number of common words bounds it.
+benchmark's terms.  The number of an item's words that a document has at all bounds every
+subsequence: where it is below ``LCS_LIKELY`` of the item, the pair is left out before anything is
+projected, which loses nothing.  The same holds of the stretch around a window that is compared.
+``COSINE`` is low because the checks decide: replaced words and the grid of windows lower the
+cosine of a true paraphrase (its recall is in the README).
 
 The benchmark is taken in blocks of at most ``BLOCK_ITEMS`` items, which bounds what a task
 holds; a larger benchmark takes more passes.
@@ -44,11 +47,9 @@ WINDOW, STEP = 16, 8
 RANK = 256
 #: Raw tokens that a worker remembers the code of; when it is full, it starts anew.
 CACHE_TOKENS = 500_000
-COSINE = 0.5
+COSINE = 0.05
 LCS_SURE, LCS_LIKELY = 0.8, 0.6
 ANSWER, ANSWER_SHARE = 6, 0.6
-#: A window is projected if at least this part of its squared norm lies in benchmark terms.
-SHARE = 0.5
 BLOCK_ITEMS = 1_000
 SEED = 42
 _word = re.compile(r"[^\W_]+")
@@ -225,11 +226,49 @@ class Finder:
         self.q = q * own / np.maximum((q * q).sum(axis=1, keepdims=True), 1e-12)
         self.codes: Codes | None = None
         self.item = np.array([k for k, _ in bench.passages], dtype=np.int64)
+        #: The items that have words: their places, distinct words, all words in a row, where each begins.
+        self.full = np.array([k for k, ws in enumerate(bench.coded) if ws], dtype=np.int64)
+        self.distinct = [np.unique(np.array(ws, dtype=np.int64), return_counts=True) for ws in bench.coded]
+        self.flat = np.array([c for ws in bench.coded for c in ws], dtype=np.int64)
+        sizes = np.array([len(bench.coded[k]) for k in self.full], dtype=np.int64)
+        self.first, self.least = np.cumsum(sizes) - sizes, LCS_LIKELY * sizes
 
     def _norm(self, codes: list[int]) -> float:
         """The full norm of a passage, as windows have it."""
         return float(np.sqrt(self.square[codes].sum()))
 
+    def near(self, codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item): the places around which a text has as many of the item's words as a
+        subsequence needs (a word as often as in the item at most), the whole text counted first."""
+        windows, items = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        slot, begin = np.full(len(self.square), -1), 0
+        for t in range(len(starts) - 1):
+            part = codes[starts[t] : starts[t + 1]]
+            p = np.arange(0, len(part), STEP)
+            here = np.zeros(len(slot), bool)
+            here[part] = True
+            for k in self.full[np.add.reduceat(here[self.flat], self.first, dtype=np.int64) >= self.least]:
+                n = len(self.bench.coded[k])
+                words, often = self.distinct[k]
+                slot[words] = np.arange(len(words))
+                got = slot[part]
+                slot[words] = -1
+                hit = np.flatnonzero(got >= 0)
+                if np.minimum(np.bincount(got[hit], minlength=len(words)), often).sum() < LCS_LIKELY * n:
+                    continue
+                lo, hi = np.searchsorted(hit, p - n), np.searchsorted(hit, p + n + WINDOW)
+                at = np.flatnonzero(hi - lo >= LCS_LIKELY * n)
+                if not len(at):
+                    continue
+                count = np.zeros((len(hit) + 1, len(words)), np.int32)
+                count[np.arange(len(hit)) + 1, got[hit]] = 1
+                count = count.cumsum(axis=0, dtype=np.int32)
+                at = at[np.minimum(count[hi[at]] - count[lo[at]], often).sum(axis=1) >= LCS_LIKELY * n]
+                windows.append(begin + at)
+                items.append(np.full(len(at), k))
+            begin += len(p)
+        return np.concatenate(windows), np.concatenate(items)
+
     def find(self, texts: list[str]) -> list[list[tuple[int, float]]]:
         """For each text the items that it holds: (place in the block, share of the LCS)."""
         out: list[list[tuple[int, float]]] = [[] for _ in texts]
@@ -242,11 +281,12 @@ class Finder:
         weight = self.square[codes]
         size = ends - begins
         same = np.append(owner[1:] == owner[:-1], False)
-        inside, norm = np.add.reduceat(np.where(codes >= 0, weight, 0.0), begins), np.add.reduceat(weight, begins)
-        for x in (inside, norm):  # a window is a step and the next of the same text
-            x[:-1] += np.where(same[:-1], x[1:], 0.0)
-        share = inside / np.maximum(norm, 1e-12)
-        close = np.flatnonzero(share >= SHARE)
+        norm = np.add.reduceat(weight, begins)  # a window is a step and the next of the same text
+        norm[:-1] += np.where(same[:-1], norm[1:], 0.0)
+        window, item = self.near(codes, starts)
+        close, row = np.unique(window, return_inverse=True)
+        order = np.argsort(row, kind="stable")
+        row, item = row[order], item[order]
         pairs: dict[tuple[int, int], list[int]] = {}
         for k in range(0, len(close), 2048):
             w = close[k : k + 2048]
@@ -255,7 +295,10 @@ class Finder:
             part = np.where(grid < w_end[:, None], codes[np.minimum(grid, len(codes) - 1)], -1)
             z = self.table[part].sum(axis=1)
             z /= np.sqrt(np.maximum(norm[w], 1e-12))[:, None]
-            for a, b in np.argwhere(z @ self.q.T >= COSINE):
+            lo, hi = np.searchsorted(row, (k, k + 2048))
+            able = np.zeros((len(w), len(self.bench.ids)), bool)
+            able[row[lo:hi] - k, item[lo:hi]] = True
+            for a, b in np.argwhere((z @ self.q.T >= COSINE) & able[:, self.item]):
                 pairs.setdefault((int(owner[w[a]]), int(self.item[b])), []).append(int(w_start[a]))
         for (t, k), places in pairs.items():
             share = self.verify(codes[starts[t] : starts[t + 1]], k, [p - int(starts[t]) for p in places])
@@ -266,12 +309,9 @@ class Finder:
     def verify(self, codes: np.ndarray, k: int, places: list[int]) -> float:
         """The best share of item ``k`` found around ``places``, 0 if it fails the checks."""
         item = self.bench.coded[k]
-        n, best, done = len(item), 0.0, -1
+        n, best = len(item), 0.0
         for p in sorted(set(places)):
-            if p < done:
-                continue  # inside the stretch that was just compared
             lo, hi = max(0, p - n), min(len(codes), p + n + WINDOW)
-            done = p + max(STEP, n // 2)
             part = codes[lo:hi].tolist()
             here = set(part)
             if sum(w in here for w in item) < LCS_LIKELY * n:

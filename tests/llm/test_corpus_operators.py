@@ -156,6 +156,26 @@ def test_contaminated_documents_are_found(spark):
     assert decontam.drop_contaminated(frame(spark, docs).limit(0), bench).count() == 0
 
 
+def test_every_paraphrase_that_passes_the_checks_is_a_candidate(spark):
+    rng = random.Random(11)
+    items = [text_of(rng, n) for n in (15, 20, 27, 38, 48, 59)]
+    docs = [text_of(rng, 120) for _ in range(60)]
+    (f,) = decontam.finders(frame(spark, docs), spark.createDataFrame([*enumerate(items)], "item_id long, text string"))
+    passed, missed = 0, []
+    for trial in range(1200):
+        k, rate, at = rng.randrange(len(items)), rng.choice((0.25, 0.3, 0.35, 0.4)), rng.randrange(121)
+        words = [w if rng.random() >= rate else rng.choice((f"zq{trial}", text_of(rng, 1))) for w in f.bench.words[k]]
+        host = rng.choice(docs).split()
+        text = " ".join([*host[:at], *words, *host[at:]])
+        # What is planted passes by itself, not with chance words of the host.
+        codes, _ = decontam._coded([" ".join(words)], decontam.Codes(f.bench.vocab))
+        if f.verify(codes, k, [0]):
+            passed += 1
+            if k not in dict(f.find([text])[0]):
+                missed.append((k, rate, at))
+    assert passed > 500 and not missed
+
+
 def test_lcs():
     rng = random.Random(2)
     for _ in range(200):
