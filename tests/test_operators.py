@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeledger.operators import clones, compare, components, coverage, graph, history, lifecycle, metrics, mining, resolve, rules, scoring, vectors
+from codeledger.plans import q_structure
 from codeledger.sources import lcov
 
 
@@ -286,3 +287,26 @@ def test_absence_and_relocation(spark):
     ren = spark.createDataFrame([(1, "a", "b"), (2, "b", "c")], "position long, prior string, current string")
     gone = spark.createDataFrame([(3, "c")], "position long, prior string")
     assert {r.id: (r.path, r.outcome) for r in lifecycle.relocation(start, ren, gone).collect()} == {"1": ("c", "deleted"), "2": ("z", "unchanged")}
+
+
+def test_functions_of_all_orders_by_brute_force(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(o, rng.randrange(1, 200), rng.randrange(1, 120)) for o in (1, 2, 2999, 3000, 3001, 70_000, 600_000) for _ in range(9)]
+    rows += [(3000, 5, 9), (3000, 5, 2)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    orders, want = {}, {}
+    for o, p, n in rows:
+        parts = orders.setdefault(o, {})
+        parts[p] = min(n, parts.get(p, n))
+    for parts in orders.values():
+        hits, code, lines = {}, {}, [p % 40 for p in parts]
+        for p, n in parts.items():
+            hits[p % 9], code[p % 60] = max(n % 2, hits.get(p % 9, 0)), max(n % 3, code.get(p % 60, 0))
+        for p, n in parts.items():
+            named = [(p % 5, q % 40, hits[q % 9]) for q in parts if p % 5 < 2 and q % 9 == n % 9]
+            near = [(2, q % 40, hits[q % 9]) for q in parts if q % 40 == n % 60 and lines.count(q % 40) == 1]
+            best = min([*named, *near, *([(3, n % 60, code[n % 60])] if n % 60 in code else [])], default=None)
+            how = ("exactName", "dottedSuffix", "startLine", "executableLine")[best[0]] if best else "unmatchedEntity"
+            state = "unavailable" if best is None else "measuredCoverage" if best[2] else "zeroCoverage"
+            want[how, state] = want.get((how, state), 0) + 1
+    assert {(r.strategy, r.state): r.entities for r in q_structure.coverage_functions(spark, str(tmp_path)).collect()} == want
