@@ -305,10 +305,16 @@ select k, c as comparable, c and not sl and not fa as passed, case when c then r
 # --- mining --------------------------------------------------------------------------------
 
 
+#: No table has more units: the operator's unit budget is for one repository.
+_ALL_UNITS = 2**31 - 2
+
+
 def closed_clumps(s, d):
     ev = b.t(s, d, "events")
     units = ev.groupBy(F.concat_ws("/", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd")).alias("unit")).agg(F.collect_set("event_type").alias("items"))
-    got = mining.closed_itemsets(units, max_comparisons=10_000_000)
+    got = mining.closed_itemsets(units, max_comparisons=10_000_000, max_units=_ALL_UNITS)
+    if not got.complete:
+        raise ValueError(f"closed_clumps is incomplete: {', '.join(got.issues)}")
     return got.groups.select(F.array_join("items", ",").alias("items"), "support")
 
 

@@ -310,3 +310,13 @@ def test_functions_of_all_orders_by_brute_force(spark, tmp_path):
             state = "unavailable" if best is None else "measuredCoverage" if best[2] else "zeroCoverage"
             want[how, state] = want.get((how, state), 0) + 1
     assert {(r.strategy, r.state): r.entities for r in q_structure.coverage_functions(spark, str(tmp_path)).collect()} == want
+
+
+def test_clumps_of_more_units_than_a_repository_has(spark, tmp_path, monkeypatch):
+    ev = spark.range(60_000).select(F.col("id").alias("user_id"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("ts"), F.explode(F.array(F.lit("a"), F.lit("b"), F.lit("c"))).alias("event_type"))
+    ev.write.parquet(f"{tmp_path}/events.parquet")
+    assert [(r["items"], r.support) for r in q_structure.closed_clumps(spark, str(tmp_path)).collect()] == [("a,b,c", 60_000)]
+    short = mining.Mined(spark.createDataFrame([], "items array<string>, support long"), False, ["comparison-budget-exceeded"])
+    monkeypatch.setattr(mining, "closed_itemsets", lambda *_, **__: short)
+    with pytest.raises(ValueError, match="comparison-budget-exceeded"):
+        q_structure.closed_clumps(spark, str(tmp_path))
