@@ -1,17 +1,24 @@
-"""Byte-level BPE encoding and decoding by merge replay over a corpus block.
+"""Byte-level BPE encoding and decoding by merge replay over the corpus.
 
-All distinct pieces of a block of the corpus are laid out together; an inverted index maps
-each adjacent token pair to the (piece, position) places where it stands.  Ranks are replayed
-in order: the lowest pair that has places is applied at all of them, and only the touched
-neighbours are looked up anew.  Pieces never influence one another, so replay over any block
-of pieces gives what replay over the whole corpus would; blocks bound the memory of a task and
-need no shuffle.
+1. One pass over all documents counts the distinct pieces of the corpus (counted in each task
+   first).  Pieces that are a token as a whole have that token's id, as the library has it.
+2. The pieces that the corpus repeats most, at most ``HOT_PIECES`` by a threshold on their
+   counts, are replayed once for the whole corpus: all pieces of a partition are laid out on
+   one tape, an inverted index maps each rank to the positions where its token pair stands,
+   and the ranks are replayed in order, each at all its places at once; only the touched
+   neighbours are looked up anew.  The encoded pieces are a table in the shared folder.
+3. A second pass encodes the documents.  Tasks hold the table of step 2 and replay the other,
+   rare pieces in blocks of ``BLOCK_CHARS`` characters of the corpus, with the same index.
+
+Pieces never influence one another, so a piece has the same ids wherever it is replayed: the
+bound on step 2 decides what is replayed once, never a result.
 
 Where a merge makes a pair of *lower* rank than the one being replayed, the rest of that piece
 waits until the lower pair is done, so the result is exactly that of greedy merging.
 
 Defined results: a null or empty text has no ids and decodes to no bytes; repeated rows are
-encoded again; an empty table gives an empty result; further columns are ignored.
+encoded again; an empty table gives an empty result; columns of ``docs`` that have the name of
+an added column are replaced by it, all others are kept.
 """
 
 from __future__ import annotations
@@ -19,16 +26,53 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import re
+from collections import Counter
+from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
+import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
 
-#: Encoded pieces that a worker remembers; when it is full, it starts anew.
-CACHE_PIECES = 300_000
+#: Pieces replayed once for the corpus, at most; about 20 MB in the driver and in a worker.
+HOT_PIECES = 150_000
+#: Encoded pieces that a worker remembers besides; when it is full, it starts anew.
+CACHE_PIECES = 250_000
+#: Characters of the texts of one block of the replay (a longer text is a block of its own).
+BLOCK_CHARS = 6_000_000
+#: Distinct pieces that a task counts before it hands them on.
+COUNT_PIECES = 200_000
+_SHIFT = 20
+_NONE = np.int32(2**31 - 1)
+
+
+def splitter(pattern: str):
+    """``text -> pieces``.  Texts of Latin-1 characters only go through the standard library's
+    expressions, which are faster; the classes of the pattern are spelled out for them."""
+    general = regex.compile(pattern).findall
+    chars = [chr(i) for i in range(256)]
+    spelled = {c: "".join(f"\\x{ord(x):02x}" for x in chars if regex.match(c, x)) for c in (r"\p{L}", r"\p{N}", r"\s")}
+    inside = lambda found: "[" + re.sub(r"\\p\{[LN]\}|\\s", lambda m: spelled[m[0]], found[0][1:-1]) + "]"
+    narrow = re.sub(r"\[[^\]]*\]", inside, pattern)
+    narrow = re.sub(r"\\p\{[LN]\}|\\s", lambda m: f"[{spelled[m[0]]}]", narrow).replace(r"\S", f"[^{spelled[chr(92) + 's']}]")
+    if re.search(r"\\[pPX]", narrow):  # a class that isn't spelled out
+        return general
+    latin = re.compile(narrow).findall
+
+    def split(text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return general(text)
+        return latin(text)
+
+    return split
 
 
 class MergeReplay:
@@ -42,201 +86,310 @@ class MergeReplay:
                     token, rank = line.split()
                     self.rank[base64.b64decode(token)] = int(rank)
         self.token = {r: t for t, r in self.rank.items()}
-        self.byte_id = [self.rank[bytes([b])] for b in range(256)]
-        self.pair: dict[int, int | None] = {}
-        self.pieces = regex.compile(pattern)
-        self.known: dict[str, tuple[int, str, bytes]] = {}
-
-    def merged(self, a: int, b: int) -> int | None:
-        """The id of two tokens side by side, None if they don't merge."""
-        key = a << 20 | b
-        try:
-            return self.pair[key]
-        except KeyError:
-            found = self.rank.get(self.token[a] + self.token[b])
-            if len(self.pair) > 1_000_000:
-                self.pair.clear()
-            self.pair[key] = found
-            return found
+        self.byte_id = np.array([self.rank[bytes([b])] for b in range(256)], np.int32)
+        rank, found = self.rank.get, {}
+        for whole, r in self.rank.items():
+            for cut in range(1, len(whole)):
+                if (a := rank(whole[:cut])) is not None and (b := rank(whole[cut:])) is not None:
+                    found[a << _SHIFT | b] = r
+        #: Every token pair that merges, sorted, and the token it makes.
+        self.pair_keys = np.array(sorted(found), np.int64)
+        self.pair_made = np.array([found[k] for k in self.pair_keys.tolist()], np.int32)
+        self.split = splitter(pattern)
+
+    def merged(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The ids of tokens side by side, _NONE where they don't merge (or one is -1)."""
+        asked = (a.astype(np.int64) << _SHIFT) | b
+        asked[(a < 0) | (b < 0)] = -1
+        at = self.pair_keys.searchsorted(asked)
+        at[at == len(self.pair_keys)] = 0
+        return np.where(self.pair_keys[at] == asked, self.pair_made[at], _NONE)
 
     def replay(self, pieces: list[bytes]) -> list[list[int]]:
         """The ids of every piece, by one replay over all of them."""
-        whole = self.rank
-        out: list[list[int] | None] = [[whole[p]] if p in whole else None for p in pieces]
-        # One flat tape of symbols for all pieces; a piece ends where ``end`` stands.
-        tape: list[int] = []
-        starts: list[int] = []
-        after: list[int] = []
-        before: list[int] = []
-        merged, byte_id = self.merged, self.byte_id
-        places: dict[int, list[int]] = {}
-        for n, piece in enumerate(pieces):
-            starts.append(len(tape))
-            if out[n] is not None:
-                continue
-            base = len(tape)
-            tape.extend(byte_id[b] for b in piece)
-            size = len(piece)
-            after.extend(range(base + 1, base + size))
-            after.append(-1)
-            before.append(-1)
-            before.extend(range(base, base + size - 1))
-            for i in range(base, base + size - 1):
-                m = merged(tape[i], tape[i + 1])
-                if m is not None:
-                    places.setdefault(m, []).append(i)
-        heap = list(places)
+        rank = self.rank.get
+        whole = [rank(p) for p in pieces]
+        todo = [n for n, r in enumerate(whole) if r is None and pieces[n]]
+        out: list[list[int]] = [[] if r is None else [r] for r in whole]
+        if todo:
+            sizes = np.array([len(pieces[n]) for n in todo])
+            tape, last = self._replayed(b"".join([pieces[n] for n in todo]), sizes)
+            alive = np.flatnonzero(tape >= 0)
+            ids, ends = tape[alive].tolist(), np.searchsorted(alive, last, side="right").tolist()
+            begin = 0
+            for n, end in zip(todo, ends, strict=True):
+                out[n] = ids[begin:end]
+                begin = end
+        return out
+
+    def _replayed(self, data: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The tape after all merges (-1 where a symbol went into its left neighbour), and the
+        position of each piece's last byte.  Slot n of every array stands for "no neighbour"."""
+        n = len(data)
+        last = sizes.cumsum() - 1
+        word = np.repeat(np.arange(len(sizes)), sizes)
+        tape = np.append(self.byte_id[np.frombuffer(data, np.uint8)], np.int32(-1))
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        after[last], before[last - sizes + 1] = n, n
+        here = np.append(self.merged(tape[:n], tape[after[:n]]), _NONE)  # rank of the pair that begins at each place
+        order = np.argsort(here[:n], kind="stable")
+        order = order[: np.searchsorted(here[order], _NONE)]
+        ranks, begins = np.unique(here[order], return_index=True)
+        first = dict(zip(ranks.tolist(), np.split(order, begins[1:]), strict=True)) if len(ranks) else {}
+        later: dict[int, list[int]] = {}
+        heap = list(first)
         heapify(heap)
+
+        def post(places: np.ndarray, of: np.ndarray) -> None:
+            for i, r in zip(places.tolist(), of.tolist(), strict=True):
+                if (known := later.get(r)) is not None:
+                    known.append(i)
+                else:
+                    later[r] = [i]
+                    if r not in first:
+                        heappush(heap, r)
+
         while heap:
             r = heappop(heap)
-            todo = places.pop(r, None)
-            if not todo:
+            old, new = first.pop(r, None), later.pop(r, None)
+            if new:
+                every = np.array(new) if old is None else np.concatenate([old, new])
+                every.sort()
+            else:
+                every = old
+            every = every[here[every] == r]
+            if not len(every):
                 continue
-            todo.sort()
-            halted = -1  # tape position up to which the rest of a piece waits
-            wait: list[int] = []
-            for i in todo:
-                if i < halted:
-                    wait.append(i)
-                    continue
-                j = after[i]
-                if tape[i] < 0 or j < 0 or merged(tape[i], tape[j]) != r:
-                    continue
-                tape[i], tape[j] = r, -1
-                after[i] = k = after[j]
-                lower = False
-                if k >= 0:
-                    before[k] = i
-                    if (m := merged(r, tape[k])) is not None:
-                        if m not in places:
-                            places[m] = []
-                            heappush(heap, m)
-                        places[m].append(i)
-                        lower = m < r
-                if (h := before[i]) >= 0 and (m := merged(tape[h], r)) is not None:
-                    if m not in places:
-                        places[m] = []
-                        heappush(heap, m)
-                    places[m].append(h)
-                    lower = lower or m < r
-                if lower:
-                    end = i
-                    while after[end] >= 0:
-                        end = after[end]
-                    halted = end + 1
-            if wait:
-                if r not in places:
-                    places[r] = []
-                    heappush(heap, r)
-                places[r].extend(wait)
-        for n, piece in enumerate(pieces):
-            if out[n] is None:
-                ids, i = [], starts[n]
-                while i >= 0 and piece:
-                    ids.append(tape[i])
-                    i = after[i]
-                out[n] = ids
-        return out  # type: ignore[return-value]
-
-    def learn(self, pieces: list[str]) -> None:
-        """Encode the pieces of a block that aren't known yet, together."""
-        if len(self.known) + len(pieces) > CACHE_PIECES:
-            self.known.clear()
-        for piece, ids in zip(pieces, self.replay([p.encode() for p in pieces]), strict=True):
-            self.known[piece] = (len(ids), " ".join(map(str, ids)), self.decode(ids))
+            if len(every) > 1:
+                every = every[np.append(True, every[1:] != every[:-1])]
+            pos, near = every, after[every]
+            chained = near[:-1] == pos[1:]
+            if chained.any():  # of places that overlap, every second one, from the left
+                start = np.append(True, ~chained)
+                step = np.arange(len(pos))
+                pos = pos[(step - np.maximum.accumulate(np.where(start, step, 0))) % 2 == 0]
+                near = after[pos]
+            far, left = after[near], before[pos]
+            m = len(pos)
+            made = self.merged(np.concatenate([np.full(m, r, np.int32), tape[left]]), np.concatenate([tape[far], np.full(m, r, np.int32)]))
+            lower = (made[:m] < r) | (made[m:] < r)
+            touching = np.append(False, far[:-1] == pos[1:])  # the place before has just been merged too
+            twin = _NONE
+            if touching.any():
+                twin = self.merged(np.array([r], np.int32), np.array([r], np.int32))[0]
+                lower |= touching & (twin < r)
+            if lower.any():
+                # In pieces where a lower pair would arise, only the first place is merged now.
+                held = np.isin(word[pos], word[pos[lower]])
+                keep = ~held | np.append(True, word[pos[1:]] != word[pos[:-1]])
+                rest = every[np.isin(word[every], word[pos[lower]])]
+                rest = rest[~np.isin(rest, pos[keep])]
+                pos, near, far, left = pos[keep], near[keep], far[keep], left[keep]
+                post(rest, np.full(len(rest), r))
+            tape[pos], tape[near], here[near] = r, -1, _NONE
+            after[pos], before[far] = far, pos
+            touched = np.concatenate([pos, left[left < n]])
+            fresh = self.merged(tape[touched], tape[after[touched]])
+            here[touched] = fresh
+            some = fresh < _NONE
+            post(touched[some], fresh[some])
+        return tape[:n], last
+
+    def encode(self, text: str) -> list[int]:
+        return [i for ids in self.replay([p.encode() for p in self.split(text)]) for i in ids]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
 
-    def digests(self, texts: list[str]) -> tuple[list[int], list[str], list[str]]:
-        """For each text: how many ids, SHA-256 of the ids and of the bytes decoded from them."""
-        split = [self.pieces.findall(t) for t in texts]
-        known = self.known
-        new = list(dict.fromkeys(p for ps in split for p in ps if p not in known))
-        if new:
-            full = len(known) + len(new) > CACHE_PIECES
-            if full:  # what this block needs and was known goes with the old memory
-                new = list(dict.fromkeys(p for ps in split for p in ps))
-            self.learn(new)
-        counts, ids, back = [], [], []
-        for ps in split:
-            got = [known[p] for p in ps]
-            counts.append(sum(g[0] for g in got))
-            ids.append(hashlib.sha256(" ".join([g[1] for g in got]).encode()).hexdigest())
-            back.append(hashlib.sha256(b"".join([g[2] for g in got])).hexdigest())
-        return counts, ids, back
-
-    def encode(self, text: str) -> list[int]:
-        return [i for ids in self.replay([p.encode() for p in self.pieces.findall(text)]) for i in ids]
-
 
 @functools.lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> MergeReplay:
     return MergeReplay(path, pattern)
 
 
-#: Characters of the texts of one block of the replay (a longer text is a block of its own).
-BLOCK_CHARS = 1_000_000
+class Memory(dict):
+    """Piece -> its place in the encoded pieces.  A piece that is met for the first time gets
+    the next place, and its ids with the block's other new pieces by ``settle``."""
 
+    def __init__(self, own: MergeReplay, hot: dict[str, list[int]]):
+        super().__init__()
+        self.own, self.hot = own, hot
+        self.ids: list[list[int]] = []
+        self.new: list[str] = []
+        self.keep(list(hot), list(hot.values()))
 
-def _blocks(texts: list[str]):
-    block, size = [], 0
-    for t in texts:
-        if block and size + len(t) > BLOCK_CHARS:
-            yield block
-            block, size = [], 0
-        block.append(t)
-        size += len(t)
-    if block:
-        yield block
+    def keep(self, pieces: list[str], ids: list[list[int]]) -> None:
+        for p in pieces:
+            self[p] = len(self)
+        self.ids.extend(ids)
 
+    def __missing__(self, piece: str) -> int:
+        self[piece] = at = len(self)
+        self.new.append(piece)
+        return at
 
-def encode_ids(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "token_ids") -> DataFrame:
-    """``docs`` with the ids of every text in ``out`` (array<int>)."""
+    def settle(self) -> None:
+        self.ids.extend(self.own.replay([p.encode() for p in self.new]))
+        self.new = []
 
-    def make():
-        own = codec(path, pattern)
-        return lambda texts: ([own.encode(t) for t in texts],)
+    def trim(self) -> None:
+        """Forget all but the corpus-wide table, once there is too much else."""
+        if len(self) > len(self.hot) + CACHE_PIECES:
+            self.clear()
+            self.__init__(self.own, self.hot)
 
-    return common.map_texts(docs, text, make, [T.StructField(out, T.ArrayType(T.IntegerType()))])
 
+class DigestMemory(Memory):
+    """A memory that also has, for each piece, its ids as text and the bytes decoded from them."""
 
-def decode_ids(rows: DataFrame, path: str, pattern: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
-    """``rows`` with the bytes that ``ids`` stand for, as binary (null ids: no bytes)."""
-    from collections.abc import Iterator
+    def __init__(self, own: MergeReplay, hot: dict[str, list[int]]):
+        self.text: list[bytes] = []
+        self.back: list[bytes] = []
+        self.many = np.zeros(0, np.int32)
+        super().__init__(own, hot)
 
-    import pyarrow as pa
+    def settle(self) -> None:
+        super().settle()
+        fresh = self.ids[len(self.text) :]
+        self.text.extend(" ".join(map(str, ids)).encode() for ids in fresh)
+        self.back.extend(map(self.own.decode, fresh))
+        self.many = np.append(self.many, np.array([len(ids) for ids in fresh], np.int32))
 
-    common.ship(rows.sparkSession)
-    at = rows.columns.index(ids)
-    names = [*rows.columns, out]
+    def digests(self, places: np.ndarray) -> tuple[int, str, str]:
+        at = places.tolist()
+        ids = hashlib.sha256(b" ".join(map(self.text.__getitem__, at))).hexdigest()
+        return int(self.many[places].sum()), ids, hashlib.sha256(b"".join(map(self.back.__getitem__, at))).hexdigest()
+
+    def all_ids(self, places: np.ndarray) -> list[int]:
+        return [i for p in places.tolist() for i in self.ids[p]]
+
+
+def piece_counts(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """(piece, n): how often each piece that isn't a token as a whole stands in the corpus."""
+    common.ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
+        own, seen = codec(path, pattern), Counter()
+
+        def handed() -> pa.RecordBatch:
+            rows = [(p, c) for p, c in seen.items() if p.encode() not in own.rank]
+            seen.clear()
+            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.string()), pa.array([c for _, c in rows], pa.int64())], names=["piece", "n"])
+
         for b in batches:
-            made = pa.array([own.decode(x or []) for x in b.column(at).to_pylist()], type=pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns, made], names=names)
+            for t in b.column(0).to_pylist():
+                seen.update(own.split(t or ""))
+                if len(seen) > COUNT_PIECES:
+                    yield handed()
+        yield handed()
+
+    return docs.select(text).mapInArrow(run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+
+
+def replayed(pieces: DataFrame, path: str, pattern: str) -> DataFrame:
+    """(piece, ids) for each row of ``pieces``, by one replay over each partition."""
+    common.ship(pieces.sparkSession)
+    schema = T.StructType([T.StructField("piece", T.StringType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A partition of the corpus-wide table: HOT_PIECES rows in all partitions together.
+        rows = [p for b in batches for p in b.column(0).to_pylist()]
+        ids = codec(path, pattern).replay([p.encode() for p in rows])
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string()), pa.array(ids, pa.list_(pa.int32()))], names=["piece", "ids"])
+
+    return pieces.select("piece").mapInArrow(run, schema)
+
+
+def corpus_table(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """(piece, ids): the most frequent pieces of the corpus, HOT_PIECES at most, encoded once
+    and kept in the shared folder.  All pieces of a count are in or out."""
+    counted = common.stash(piece_counts(docs, path, pattern, text).filter("n > 1"), "bpe-counts")
+    # How many pieces there are for each size of the count: as many rows as a number has bits.
+    sizes = counted.groupBy(F.floor(F.log2("n") * 8).alias("size")).agg(F.count("*").alias("pieces")).orderBy(F.desc("size")).collect()
+    least, total = None, 0
+    for row in sizes:
+        total += row.pieces
+        if total > HOT_PIECES:
+            break
+        least = row.size
+    hot = counted.filter(F.floor(F.log2("n") * 8) >= (least if least is not None else 1 << 30))
+    return common.stash(replayed(hot, path, pattern), "bpe-pieces")
+
+
+def _coded(docs: DataFrame, path: str, pattern: str, text: str, fields: list[T.StructField], of) -> DataFrame:
+    """``docs`` with ``fields``, which ``of(memory, places)`` gives for the pieces of a text."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    spark = docs.sparkSession
+    common.ship(spark)
+    common.short_batches(spark)
+    table = corpus_table(docs, path, pattern, text)
+    hot = spark.sparkContext.broadcast({r.piece: r.ids for r in table.collect()})  # HOT_PIECES rows at most
+    added = {f.name for f in fields}
+    kept = [c for c in docs.columns if c not in added]
+    source = docs.select(*kept, docs[text].alias("__cl_text"))
+    names, kinds = [*kept, *(f.name for f in fields)], [to_arrow_type(f.dataType) for f in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory = DigestMemory(codec(path, pattern), hot.value)
+        memory.settle()
+        block: list[tuple[pa.RecordBatch, list[np.ndarray]]] = []
+        chars = 0
+
+        def done() -> Iterator[pa.RecordBatch]:
+            memory.settle()
+            for batch, coded in block:
+                rows = [of(memory, places) for places in coded]
+                made = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=names)
+            block.clear()
+            memory.trim()
+
+        split, place = memory.own.split, memory.__getitem__
+        for batch in batches:
+            coded = []
+            for t in batch.column(len(kept)).to_pylist():
+                pieces = split(t or "")
+                coded.append(np.fromiter(map(place, pieces), np.int32, len(pieces)))
+                chars += len(t or "")
+            block.append((batch, coded))
+            if chars >= BLOCK_CHARS:
+                yield from done()
+                chars = 0
+        yield from done()
+
+    return source.mapInArrow(run, T.StructType([*(docs.schema[c] for c in kept), *fields]))
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out, T.BinaryType())]))
+
+def encode_ids(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "token_ids") -> DataFrame:
+    """``docs`` with the ids of every text in ``out`` (array<int>)."""
+    return _coded(docs, path, pattern, text, [T.StructField(out, T.ArrayType(T.IntegerType()))], lambda memory, places: (memory.all_ids(places),))
 
 
-def round_trip_digests(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """``docs`` with n_tokens, ids_sha256 and decoded_sha256.  One narrow map: no shuffle."""
+def decode_ids(rows: DataFrame, path: str, pattern: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
+    """``rows`` with the bytes that ``ids`` stand for, as binary (null ids: no bytes)."""
+    common.ship(rows.sparkSession)
+    at, kept = rows.columns.index(ids), [c for c in rows.columns if c != out]
+    places = [rows.columns.index(c) for c in kept]
+    names = [*kept, out]
 
-    def make():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
+        for b in batches:
+            made = pa.array([own.decode(x or []) for x in b.column(at).to_pylist()], type=pa.binary())
+            yield pa.RecordBatch.from_arrays([*(b.column(p) for p in places), made], names=names)
+
+    return rows.mapInArrow(run, T.StructType([*(rows.schema[c] for c in kept), T.StructField(out, T.BinaryType())]))
+
 
-        def work(texts: list[str]):
-            out: tuple[list, list, list] = ([], [], [])
-            for block in _blocks(texts):
-                for whole, part in zip(out, own.digests(block), strict=True):
-                    whole.extend(part)
-            return out
+_DIGESTS = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
 
-        return work
 
-    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-    return common.map_texts(docs, text, make, fields)
+def round_trip_digests(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str | None = None) -> DataFrame:
+    """``docs`` with n_tokens, ids_sha256 and decoded_sha256, and the ids themselves in the
+    column ``ids`` if that is named."""
+    fields = _DIGESTS + ([T.StructField(ids, T.ArrayType(T.IntegerType()))] if ids else [])
+    return _coded(docs, path, pattern, text, fields, lambda memory, places: memory.digests(places) + ((memory.all_ids(places),) if ids else ()))
 
 
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

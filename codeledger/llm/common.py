@@ -6,6 +6,9 @@ included) never take part.  Columns that an operator adds on the way start with
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
 import tempfile
 import uuid
 import zipfile
@@ -24,22 +27,66 @@ BATCH_ROWS = 256
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where a session names none (tests on one machine) is a local folder set.
+    Where a session names none, a session on one machine (tests) takes a local folder; on a
+    cluster that is an error, as executors wouldn't see each other's files.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[|$)", master):
+            raise ValueError(f"spark.checkpoint.dir isn't set; with the master {master} it must name a folder that all machines share")
         found = f"file://{tempfile.gettempdir()}/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+_own: dict[str, SparkSession] = {}
+
+
+def own_dir(spark: SparkSession) -> str:
+    """The folder of this application's tables in the shared folder; it goes when the driver ends."""
+    path = f"{shared_dir(spark)}/codeledger-{spark.sparkContext.applicationId}"
+    if path not in _own:
+        _own[path] = spark
+        atexit.register(_delete, spark, path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared store; a session that has ended can't, and leaves it."""
+    with contextlib.suppress(Exception):
+        jvm = spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: Shuffle files of an execution that is over go at its end when this is set.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stash(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here,
-    the rows outlive executors, and the planner knows the true size of the table."""
+    the rows outlive executors, and the planner knows the true size of the table.  The shuffle
+    files behind it go at once; the table goes by ``release``, or when the driver ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/codeledger/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._codeledger_path = path
+    return found
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables that ``stash`` returned and that no later result reads."""
+    for t in tables:
+        _delete(t.sparkSession, t._codeledger_path)
 
 
 def ship(spark: SparkSession) -> None:
