@@ -45,7 +45,7 @@ HOT_PIECES = 150_000
 #: Encoded pieces that a worker remembers besides; when it is full, it starts anew.
 CACHE_PIECES = 250_000
 #: Characters of the texts of one block of the replay (a longer text is a block of its own).
-BLOCK_CHARS = 6_000_000
+BLOCK_CHARS = 12_000_000
 #: Distinct pieces that a task counts before it hands them on.
 COUNT_PIECES = 200_000
 _SHIFT = 20
@@ -127,9 +127,9 @@ class MergeReplay:
         position of each piece's last byte.  Slot n of every array stands for "no neighbour"."""
         n = len(data)
         last = sizes.cumsum() - 1
-        word = np.repeat(np.arange(len(sizes)), sizes)
+        word = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         tape = np.append(self.byte_id[np.frombuffer(data, np.uint8)], np.int32(-1))
-        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
         after[last], before[last - sizes + 1] = n, n
         here = np.append(self.merged(tape[:n], tape[after[:n]]), _NONE)  # rank of the pair that begins at each place
         order = np.argsort(here[:n], kind="stable")

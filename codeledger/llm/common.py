@@ -110,7 +110,8 @@ def short_batches(spark: SparkSession) -> None:
 
 
 def map_texts(df: DataFrame, text: str, make: Callable[[], Callable[[list[str]], Iterable]], fields: list[T.StructField]) -> DataFrame:
-    """``df`` with the columns ``fields`` added, computed from the column ``text``.
+    """``df`` with the columns ``fields`` added, computed from the column ``text``; a column of
+    ``df`` that has the name of one of them is replaced.
 
     ``make`` builds the worker's function once per task; that takes a list of texts (null as
     the empty text) and returns one list for each field.  A narrow Arrow map: no shuffle.
@@ -118,7 +119,9 @@ def map_texts(df: DataFrame, text: str, make: Callable[[], Callable[[list[str]],
     ship(df.sparkSession)
     short_batches(df.sparkSession)
     at = df.columns.index(text)
-    names = [*df.columns, *(f.name for f in fields)]
+    added = {f.name for f in fields}
+    kept = [k for k, c in enumerate(df.columns) if c not in added]
+    names = [*(df.columns[k] for k in kept), *(f.name for f in fields)]
     from pyspark.sql.pandas.types import to_arrow_type
 
     kinds = [to_arrow_type(f.dataType) for f in fields]
@@ -129,9 +132,9 @@ def map_texts(df: DataFrame, text: str, make: Callable[[], Callable[[list[str]],
             work = work or make()
             texts = [t or "" for t in batch.column(at).to_pylist()]
             made = [pa.array(c, type=k) for c, k in zip(work(texts), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), *made], names=names)
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, *fields]))
+    return df.mapInArrow(run, T.StructType([*(df.schema.fields[k] for k in kept), *fields]))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

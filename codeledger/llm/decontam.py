@@ -22,16 +22,18 @@ projected, which loses nothing.  The same holds of the stretch around a window t
 ``COSINE`` is low because the checks decide: replaced words and the grid of windows lower the
 cosine of a true paraphrase (its recall is in the README).
 
-The benchmark is taken in blocks of at most ``BLOCK_ITEMS`` items, which bounds what a task
-holds; a larger benchmark takes more passes.
+The benchmark's distinct texts are decomposed in blocks of about ``BLOCK_WORDS`` words, and the
+documents are read once for ``PASS_BLOCKS`` blocks together, which bounds what the driver and a
+task hold; a larger benchmark takes more passes over the documents.
 
 Defined results: null and empty texts are clean; empty items match nothing; an item shorter
-than a window is one passage; repeated rows are found again, repeated items under each id; an
-empty table or benchmark gives an empty result; further columns are ignored.
+than a window is one passage; repeated rows are found again, repeated items under each id (null
+ids too); an empty table or benchmark gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -45,45 +47,31 @@ from . import common
 
 WINDOW, STEP = 16, 8
 RANK = 256
-#: Raw tokens that a worker remembers the code of; when it is full, it starts anew.
-CACHE_TOKENS = 500_000
 COSINE = 0.05
 LCS_SURE, LCS_LIKELY = 0.8, 0.6
 ANSWER, ANSWER_SHARE = 6, 0.6
-BLOCK_ITEMS = 1_000
+#: Words of one decomposed block (an item longer than that makes a longer one): with ``RANK`` 256,
+#: at most 20 MB of projections.  Blocks that one pass over the documents looks for.
+BLOCK_WORDS, PASS_BLOCKS = 20_000, 4
 SEED = 42
-_word = re.compile(r"[^\W_]+")
+_mark = re.compile(r"[^\w\s]|_")
 
 
-_EDGES = ".,;:!?*&%$#|-_+=~^/\\\"'`()[]{}<>"
-
-
-def word_of(token: str) -> str:
-    """The lower-cased letters and digits of a token."""
-    word = token.strip(_EDGES).lower()
-    return word if word.isalnum() else "".join(_word.findall(word))
+_marks = "".join(filter(_mark.match, map(chr, range(256)))).encode("latin-1")
+_spaced = bytes(32 if chr(i).isspace() else i for i in range(256))
 
 
 def words_of(text: str) -> list[str]:
-    return [w for w in map(word_of, text.split()) if w]
-
-
-STRANGE, NO_WORD = -1, -2
+    """The lower-cased letters and digits of each stretch between white space that has some."""
+    low = text.lower()
+    try:  # the same by a table of bytes, which is faster
+        return low.encode("latin-1").translate(_spaced, _marks).decode("latin-1").split()
+    except UnicodeEncodeError:
+        return _mark.sub("", low).split()
 
 
-class Codes(dict):
-    """Raw token -> number of its word in the vocabulary, STRANGE or NO_WORD."""
-
-    def __init__(self, vocab: dict[str, int]):
-        super().__init__()
-        self.vocab = vocab
-
-    def __missing__(self, token: str) -> int:
-        if len(self) > CACHE_TOKENS:
-            self.clear()
-        word = word_of(token)
-        code = self[token] = self.vocab.get(word, STRANGE) if word else NO_WORD
-        return code
+#: The number of a word that isn't in the vocabulary.
+STRANGE = -1
 
 
 def lcs(a: list, b: list) -> int:
@@ -120,17 +108,12 @@ def windows_of(words: list) -> list[list]:
     return [words[s : s + WINDOW] for s in starts]
 
 
-def _coded(texts: list[str], codes: Codes) -> tuple[np.ndarray, np.ndarray]:
+def _coded(texts: list[str], vocab: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """Term numbers of all texts in a row, and where each text begins."""
-    flat, starts, n = [], [0], 0
-    for t in texts:
-        tokens = t.split()
-        got = np.fromiter(map(codes.__getitem__, tokens), dtype=np.int32, count=len(tokens))
-        got = got[got != NO_WORD]
-        flat.append(got)
-        n += len(got)
-        starts.append(n)
-    return (np.concatenate(flat) if flat else np.zeros(0, np.int32)), np.array(starts)
+    split = [words_of(t) for t in texts]
+    starts = np.cumsum([0, *map(len, split)])
+    words = itertools.chain.from_iterable(split)
+    return np.fromiter(map(vocab.get, words, itertools.repeat(STRANGE)), dtype=np.int32, count=int(starts[-1])), starts
 
 
 def _steps(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,13 +137,13 @@ def document_frequencies(docs: DataFrame, vocab: dict[str, int], text: str) -> t
     common.short_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, df, n = Codes(vocab), np.zeros(terms, np.int64), 0
+        df, n = np.zeros(terms, np.int64), 0
         for batch in batches:
             texts = [t or "" for t in batch.column(0).to_pylist()]
             n += len(texts)
             for t in texts:
-                here = np.fromiter(set(map(known.__getitem__, set(t.split()))), dtype=np.int64)
-                df[here[here >= 0]] += 1
+                here = vocab.keys() & set(words_of(t))
+                df[[vocab[w] for w in here]] += 1
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int64()), pa.array([n, *df[at].tolist()], pa.int64())], names=["term", "df"])
 
@@ -224,7 +207,6 @@ class Finder:
         own = np.array([self._norm(codes) for _, codes in bench.passages]).reshape(-1, 1)
         # Relative to what the projection keeps of the passage: an equal window has 1.
         self.q = q * own / np.maximum((q * q).sum(axis=1, keepdims=True), 1e-12)
-        self.codes: Codes | None = None
         self.item = np.array([k for k, _ in bench.passages], dtype=np.int64)
         #: The items that have words: their places, distinct words, all words in a row, where each begins.
         self.full = np.array([k for k, ws in enumerate(bench.coded) if ws], dtype=np.int64)
@@ -272,8 +254,7 @@ class Finder:
     def find(self, texts: list[str]) -> list[list[tuple[int, float]]]:
         """For each text the items that it holds: (place in the block, share of the LCS)."""
         out: list[list[tuple[int, float]]] = [[] for _ in texts]
-        self.codes = self.codes or Codes(self.bench.vocab)
-        codes, starts = _coded(texts, self.codes)
+        codes, starts = _coded(texts, self.bench.vocab)
         if not len(codes) or not len(self.q):
             return out
         begins, owner = _steps(starts)
@@ -322,35 +303,52 @@ class Finder:
         return best
 
 
-def finders(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> list[Finder]:
-    """One fitted finder for each block of the benchmark (BLOCK_ITEMS items at most, by hash)."""
-    parts = -(-bench.count() // BLOCK_ITEMS)
-    split = bench.select(item, item_text).filter(F.col(item_text).isNotNull()).withColumn("__cl_part", F.pmod(F.xxhash64(item, item_text), F.lit(max(1, parts))))
-    out = []
-    for k in range(parts):
-        rows = split.filter(F.col("__cl_part") == k)
-        block = Benchmark([(r[0], r[1]) for r in rows.collect()])  # bounded by BLOCK_ITEMS
-        if not block.vocab:
+def items_of(bench: DataFrame, item: str = "item_id", item_text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The distinct texts of the benchmark (number, text), and (number, item) for each of its
+    rows; kept in the shared folder."""
+    given = bench.select(F.col(item).alias("item"), F.col(item_text).alias("text")).dropna(subset=["text"])
+    one = common.stash(given.select("text").distinct().withColumn("number", F.monotonically_increasing_id()), "benchmark-texts")
+    return one, common.stash(given.join(one, "text").select("number", "item"), "benchmark-items")
+
+
+def passes(docs: DataFrame, items: DataFrame, text: str = "text") -> Iterator[list[Finder]]:
+    """For each pass over the documents the fitted finders of its blocks, over ``items`` (number,
+    text) of the benchmark."""
+    words = F.size(F.split(F.trim("text"), r"\s+"))
+    total = items.agg(F.sum(words)).first()[0] or 0
+    blocks = -(-total // BLOCK_WORDS)
+    split = items.withColumn("__cl_part", F.pmod(F.xxhash64("text"), F.lit(max(1, blocks))))
+    for first in range(0, blocks, PASS_BLOCKS):
+        rows = [split.filter(F.col("__cl_part") == k) for k in range(first, min(first + PASS_BLOCKS, blocks))]
+        made = [Benchmark([(r.number, r.text) for r in part.collect()]) for part in rows]  # about BLOCK_WORDS words each
+        vocab = {w: k for k, w in enumerate(sorted({w for b in made for w in b.vocab}))}
+        if not vocab:
             continue
-        df, n = document_frequencies(docs, block.vocab, text)
-        weight = (np.log((1 + n) / (1 + df)) + 0.05) ** 2
-        out.append(Finder(block, weight, singular_vectors(sketch(rows, block.vocab, weight, item_text))))
-    return out
+        df, n = document_frequencies(docs, vocab, text)
+        found = []
+        for part, block in zip(rows, made, strict=True):
+            if block.vocab:
+                weight = (np.log((1 + n) / (1 + df[[vocab[w] for w in block.vocab]])) + 0.05) ** 2
+                found.append(Finder(block, weight, singular_vectors(sketch(part, block.vocab, weight, "text"))))
+        yield found
 
 
 FOUND = "__cl_items"
 
 
 def with_items(docs: DataFrame, found: list[Finder], text: str = "text") -> DataFrame:
-    """``docs`` with the benchmark items that each text holds, and the best share, in FOUND."""
-    kind = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("lcs_share", T.DoubleType())]))
+    """``docs`` with the benchmark texts that each text holds, and the best share, in FOUND."""
+    kind = T.ArrayType(T.StructType([T.StructField("number", T.LongType()), T.StructField("lcs_share", T.DoubleType())]))
+    held = docs.sparkSession.sparkContext.broadcast(found)  # PASS_BLOCKS blocks
 
     def make():
+        own = held.value
+
         def work(texts: list[str]):
             whole: list[list[dict]] = [[] for _ in texts]
-            for f in found:
+            for f in own:
                 for got, more in zip(whole, f.find(texts), strict=True):
-                    got.extend({"item_id": f.bench.ids[k], "lcs_share": share} for k, share in more)
+                    got.extend({"number": f.bench.ids[k], "lcs_share": share} for k, share in more)
             return (whole,)
 
         return work
@@ -359,12 +357,28 @@ def with_items(docs: DataFrame, found: list[Finder], text: str = "text") -> Data
 
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without those that hold a benchmark item."""
-    return with_items(docs, finders(docs, bench, text), text).filter(F.size(FOUND) == 0).select(*docs.columns)
+    """``docs`` without those that hold a benchmark item.  Each pass reads what the one before
+    it kept."""
+    items, _ = items_of(bench)
+    kept = None
+    for found in passes(docs, items, text):
+        before = docs if kept is None else common.stash(kept, "decontaminated")
+        kept = with_items(before, found, text).filter(F.size(FOUND) == 0).select(*docs.columns)
+    return docs if kept is None else kept
+
+
+def hits(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, item_id, lcs_share): every document that holds an item, under each id of the item."""
+    items, ids = items_of(bench)
+    rows = None
+    for found in passes(docs, items, text):
+        more = with_items(docs.select(key, text), found, text).select(key, F.explode(FOUND).alias("hit")).select(key, "hit.number", "hit.lcs_share")
+        rows = more if rows is None else rows.unionByName(more)
+    if rows is None:
+        rows = docs.sparkSession.createDataFrame([], T.StructType([docs.schema[key], T.StructField("number", T.LongType()), T.StructField("lcs_share", T.DoubleType())]))
+    return rows.join(ids, "number").select(key, F.col("item").alias("item_id"), "lcs_share")
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, item_id, lcs_share): every document that holds an item; clean ones have no row."""
-    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = finders(docs, common.table(spark, sf_dir, "benchmark"))
-    return with_items(docs, found).select("doc_id", F.explode(FOUND).alias("hit")).select("doc_id", "hit.item_id", "hit.lcs_share")
+    return hits(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))

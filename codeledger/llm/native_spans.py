@@ -2,7 +2,8 @@
 
 ``split`` gives what stands between the matches and ``regexp_extract_all`` the matches, both
 leftmost and non-overlapping; the lengths of the two, added up, are the positions (code points,
-end exclusive).  Sums run in blocks, so a text with very many matches stays cheap.
+end exclusive).  Sums run in blocks whose arrays are joined at the end, so a text with very many
+matches stays cheap.
 """
 
 from __future__ import annotations
@@ -36,8 +37,8 @@ def _positions(between: str, hits: str) -> str:
         f"'at', a.at + {step}, 'out', array_append(a.out, named_struct('start', a.at + length({between}[j]), 'end', a.at + {step}, 'hit', {hits}[j]))))"
     )
     outer = (
-        f"aggregate(sequence(0, int(({size} - 1) div {_BLOCK})), named_struct('at', 0, 'out', cast(array() as {_SPAN})), "
-        f"(acc, b) -> transform(array({inner}), x -> named_struct('at', x.at, 'out', concat(acc.out, x.out)))[0], acc -> acc.out)"
+        f"aggregate(sequence(0, int(({size} - 1) div {_BLOCK})), named_struct('at', 0, 'out', cast(array() as array<{_SPAN}>)), "
+        f"(acc, b) -> transform(array({inner}), x -> named_struct('at', x.at, 'out', array_append(acc.out, x.out)))[0], acc -> flatten(acc.out))"
     )
     return f"case when {size} > 0 then {outer} else cast(array() as {_SPAN}) end"
 

@@ -1,19 +1,26 @@
-"""Personal data: patterns, and information-theoretic sanitisation of what stands around them.
+"""Personal data: patterns, and information-theoretic sanitisation of what gives them away.
 
 Base spans are emails, ip addresses, payment cards and phone numbers.  Each base value is a
-protected entity.  Terms that stand within ``REACH`` code points of an entity disclose it when
+protected entity.  A term (a run of four letters or more, lower-cased, outside of base emails) of
+a document that holds the entity discloses it when
 
     PMI(entity; term) = log2(N * c(entity, term) / (c(entity) * c(term)))
     IC(entity)        = log2(N / c(entity))
-    PMI >= ALPHA * IC  and  c(entity, term) >= SUPPORT
+    PMI >= ALPHA * IC
 
-where the counts are numbers of documents over the whole corpus.  Such terms are spans of kind
-``term`` beside that entity, and are generalised in ``sanitise``.  DataFrame functions only:
-texts are read twice and never shuffled; the shuffles hold word counts and contexts.
+where the counts are numbers of documents over the whole corpus, whole texts each.  All places of
+such a term in the documents that hold the entity are spans of kind ``term``, and are generalised
+in ``sanitise``; documents without personal data are left alone.  There is no least number of
+documents: what stands with a value and nowhere else in the corpus tells all about it.
+
+Entities that stand in exactly the same documents have equal counts with every term, so they are
+one class; pairs are those of a class and a term, and an entity's terms are counted in the
+distinct texts that hold it, each as often as it occurs.  DataFrame functions only.  Texts are
+read twice and never shuffled; the shuffles hold words and their counts.
 
 Defined results: a null or empty text has no spans; repeated rows have the same spans, and each
 counts as a document; an empty table gives an empty result; null ids are kept; further columns
-are ignored; a corpus in which no pair has the support has base spans only.
+are ignored; an entity that stands in every document discloses nothing and is disclosed by none.
 """
 
 from __future__ import annotations
@@ -24,14 +31,13 @@ from pyspark.sql import functions as F
 from . import common
 from .native_spans import count_of, joined, of_kind, redacted, with_spans
 
-REACH = 60
 ALPHA = 0.9
-SUPPORT = 3
 TERM = r"[\p{L}]{4,}"
-#: Kind -> expression, each equal to the plain one of the contract but of linear time: runs are
-#: entered at their start only, and loops are possessive or of bounded length.
+#: Kind -> expression, each equal to the plain one of the contract but of linear time and stack:
+#: runs are entered at their start only, and loops over groups are possessive (a plain loop over
+#: a group of varying length recurses once for each round) or of bounded length.
 PATTERNS = {
-    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+",
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
@@ -78,71 +84,64 @@ def with_base(docs: DataFrame, text: str) -> DataFrame:
 
 
 def _entities() -> Column:
-    """All base spans of a row as (start, end, entity); an entity is a kind and a value."""
-
+    """All base values of a row, each once; an entity is a kind and a value."""
 
     def of(kind: str) -> Column:
-        name = F.lit(f"{kind}:")
-        return F.transform(f"__cl_{kind}", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(name, s["hit"]).alias("entity")))
+        return F.transform(f"__cl_{kind}", lambda s: F.concat(F.lit(f"{kind}:"), s["hit"]))
 
-    return F.concat(*map(of, KINDS))
+    return F.array_distinct(F.concat(*map(of, KINDS)))
 
 
 def facts(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One small row for each document: ``keep``, base spans, the text's digest and the terms
-    around its entities.  Kept in the shared folder; holds no text."""
+    """One row for each document: ``keep``, base spans, and for those that have some the text's
+    digest, the entities and the places of all terms.  Kept in the shared folder."""
     whole = docs.select(*keep, common.whole_text(text).alias("__cl_text"))
     base = with_base(whole, "__cl_text").withColumn("__cl_entities", _entities())
     some = F.size("__cl_entities") > 0
-    # Of texts without entities nothing is joined later; a key of their own spreads them.
-    base = base.withColumn("__cl_key", F.when(some, F.sha2("__cl_text", 256)).otherwise(F.hex(F.xxhash64("__cl_text"))))
-    near = F.transform(
-        "__cl_entities",
-        lambda s: F.struct(
-            s["entity"].alias("entity"),
-            F.greatest(s["start"] - REACH, F.lit(0)).alias("left"),
-            F.substring(F.col("__cl_text"), F.greatest(s["start"] - REACH, F.lit(0)) + 1, s["start"] - F.greatest(s["start"] - REACH, F.lit(0))).alias("before"),
-            s["end"].alias("right"),
-            F.substring(F.col("__cl_text"), s["end"] + 1, F.lit(REACH)).alias("behind"),
-        ),
-    )
-    return common.stash(base.withColumn("__cl_near", near).drop("__cl_text"), "pii-facts")
-
-
-def contexts(rows: DataFrame) -> DataFrame:
-    """(key, row, entity, term, start, end): the terms around each entity of each document."""
-    # Numbered before it is exploded: a document counts once, however often it holds an entity.
-    numbered = rows.filter(F.size("__cl_near") > 0).withColumn("row", F.monotonically_increasing_id())
-    each = numbered.select(F.col("__cl_key").alias("key"), "row", F.explode("__cl_near").alias("n"), F.col("__cl_entities").alias("all"))
-    sides = each.select("key", "row", "all", "n.entity", F.explode(F.array(F.struct(F.col("n.left").alias("at"), F.col("n.before").alias("part")), F.struct(F.col("n.right").alias("at"), F.col("n.behind").alias("part")))).alias("side"))
-    cut = with_spans(sides.select("key", "row", "all", "entity", F.col("side.at").alias("at"), F.col("side.part").alias("part")), "part", {"words": (TERM, F.lit(True))})
-    terms = cut.select("key", "row", "all", "entity", "at", F.explode("words").alias("w"))
-    terms = terms.select("key", "row", "all", "entity", F.lower("w.hit").alias("term"), (F.col("at") + F.col("w.start")).alias("start"), (F.col("at") + F.col("w.end")).alias("end"))
-    return terms.filter(~F.exists("all", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))).drop("all")
-
-
-def disclosing(docs: DataFrame, around: DataFrame, text: str, rows: DataFrame) -> DataFrame:
-    """(entity, term): the pairs that exceed the disclosure threshold."""
-    n = rows.count()
-    joint = around.groupBy("row", "entity", "term").agg(F.lit(1).alias("one")).groupBy("entity", "term").agg(F.count("*").alias("c_et")).filter(F.col("c_et") >= SUPPORT)
-    joint = common.stash(joint, "pii-joint")
-    per_entity = rows.select(F.explode(F.array_distinct(F.transform("__cl_entities", lambda s: s["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("c_e"))
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(common.whole_text(text)), F.lit(TERM), F.lit(0)))).alias("term"))
-    per_term = words.groupBy("term").agg(F.count("*").alias("c_t"))
-    full = joint.join(per_entity, "entity").join(per_term, "term")
-    total = F.lit(float(n))
-    pmi = F.log2(total * F.col("c_et") / (F.col("c_e") * F.col("c_t")))
-    return full.filter((F.col("c_e") < n) & (pmi >= ALPHA * F.log2(total / F.col("c_e")) - 1e-9)).select("entity", "term")
+    # An email is passed over as a whole, so no part of it is a term.
+    worded = with_spans(base, "__cl_text", {"__cl_words": (f"{PATTERNS['email']}|{TERM}", some)})
+    words = F.transform(F.filter("__cl_words", lambda w: ~F.contains(w["hit"], F.lit("@"))), lambda w: F.struct(F.lower(w["hit"]).alias("term"), w["start"].alias("start"), w["end"].alias("end")))
+    return common.stash(worded.withColumn("__cl_words", words).withColumn("__cl_key", F.when(some, F.sha2("__cl_text", 256))).drop("__cl_text"), "pii-facts")
+
+
+def disclosing(docs: DataFrame, texts: DataFrame, text: str, total: int) -> DataFrame:
+    """(key, term): the terms that exceed the disclosure threshold for an entity of the text.
+
+    ``texts``: (key, copies, entities, words) of the distinct texts that hold entities."""
+    held = texts.select("key", "copies", F.explode("entities").alias("entity"))
+    marks = held.groupBy("entity").agg(F.sum("copies").alias("c_e"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("a"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("b"))
+    marks = marks.select("entity", "c_e", F.xxhash64("c_e", "a", "b").alias("class"))
+    classes = held.join(marks, "entity").select("key", "copies", "class", "c_e").distinct()
+    terms = texts.select("key", F.explode(F.array_distinct(F.transform("words", lambda w: w["term"]))).alias("term"))
+    both = common.stash(classes.join(terms, "key"), "pii-joint")
+    joint = both.groupBy("class", "c_e", "term").agg(F.sum("copies").alias("c_et"))
+    words = docs.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all(common.whole_text(text), F.lit(TERM), F.lit(0)), F.lower))).alias("term"))
+    asked = common.stash(both.select("term").distinct(), "pii-terms")
+    per_term = words.join(asked, "term", "left_semi").groupBy("term").agg(F.count("*").alias("c_t")) if _few(asked) else words.groupBy("term").agg(F.count("*").alias("c_t"))
+    pmi = F.log2(F.lit(float(total)) * F.col("c_et") / (F.col("c_e") * F.col("c_t")))
+    sure = joint.join(per_term, "term").filter((F.col("c_e") < total) & (pmi >= ALPHA * F.log2(F.lit(float(total)) / F.col("c_e")) - 1e-9))
+    return both.join(sure.select("class", "term"), ["class", "term"]).select("key", "term").distinct()
+
+
+#: Terms up to which the planner may hold them all at once, to count no others.
+FEW_TERMS = 20_000
+
+
+def _few(asked: DataFrame) -> bool:
+    return asked.count() <= FEW_TERMS
 
 
 def find(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` with __cl_found: all spans (rank, start, kind, end) by kind and start."""
     rows = facts(docs, text, keep)
-    around = common.stash(contexts(rows), "pii-contexts")
-    pairs = disclosing(docs, around, text, rows)
-    terms = around.join(pairs, ["entity", "term"]).select("key", "start", "end").distinct()
-    terms = terms.groupBy(F.col("key").alias("__cl_key")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__cl_term"))
-    full = rows.join(common.stash(terms, "pii-terms"), "__cl_key", "left").withColumn("__cl_term", F.coalesce("__cl_term", F.expr("cast(array() as array<struct<start:int,end:int>>)")))
+    texts = rows.filter(F.col("__cl_key").isNotNull()).groupBy(F.col("__cl_key").alias("key")).agg(F.count("*").alias("copies"), F.first("__cl_entities").alias("entities"), F.first("__cl_words").alias("words"))
+    texts = common.stash(texts, "pii-texts")
+    pairs = disclosing(docs, texts, text, rows.count())
+    places = texts.select("key", F.explode("words").alias("w")).select("key", "w.term", "w.start", "w.end").join(pairs, ["key", "term"])
+    terms = common.stash(places.groupBy(F.col("key").alias("__cl_key")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__cl_term")), "pii-places")
+    # Texts without entities have no key; a value of their own spreads them over the join's tasks.
+    spread = F.coalesce("__cl_key", F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string")))
+    full = rows.drop("__cl_words", "__cl_entities").withColumn("__cl_key", spread).join(terms, "__cl_key", "left").withColumn("__cl_term", F.coalesce("__cl_term", F.expr("cast(array() as array<struct<start:int,end:int>>)")))
     found = F.concat(*[of_kind(F.col(f"__cl_{k}"), i, k) for i, k in enumerate((*KINDS, "term"))])
     return full.select(*keep, F.array_sort(F.transform(found, lambda s: F.struct(s["rank"].alias("rank"), s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))).alias("__cl_found"))
 

@@ -41,8 +41,8 @@ RIDGE = 1e-3
 BINS = 512
 SEED = 42
 PREDICT_AT = 0.7
-#: Tasks that sum up the labelled rows; so many small matrices reach the driver.
-SUM_TASKS = 32
+#: Tasks that add up the sums of all others; so many matrices of fixed size reach the driver.
+SUM_TASKS = 8
 _symbols = re.compile(r"[^\w\s.,;:'\"!?()|-]")
 
 
@@ -139,7 +139,16 @@ def fit(stats: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "
             right += f.T @ y
         yield pa.RecordBatch.from_arrays([pa.array([gram.tobytes()], pa.binary()), pa.array([right.tobytes()], pa.binary())], names=["gram", "right"])
 
-    parts = rows.coalesce(SUM_TASKS).mapInArrow(sums, "gram binary, right binary").collect()
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gram, right = np.zeros(size * size), np.zeros(size)
+        for b in batches:
+            for g, r in zip(b.column(0), b.column(1), strict=True):
+                gram += np.frombuffer(g.as_buffer())
+                right += np.frombuffer(r.as_buffer())
+        yield pa.RecordBatch.from_arrays([pa.array([gram.tobytes()], pa.binary()), pa.array([right.tobytes()], pa.binary())], names=["gram", "right"])
+
+    # Every task sums its own rows; only those sums move, and few tasks add them up.
+    parts = rows.mapInArrow(sums, "gram binary, right binary").repartition(SUM_TASKS).mapInArrow(added, "gram binary, right binary").collect()
     gram = sum(np.frombuffer(p.gram).reshape(size, size) for p in parts)
     right = sum(np.frombuffer(p.right) for p in parts)
     model = Model(row.y, features, np.linalg.solve(gram + RIDGE * row.n / size * np.eye(size) * 0.1, right))
@@ -154,22 +163,23 @@ def fit(stats: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "
             at += np.bincount(k, weights=raw, minlength=BINS)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(BINS)), pa.array(n), pa.array(s), pa.array(at)], names=["bin", "n", "s", "at"])
 
-    bins = rows.coalesce(SUM_TASKS).mapInArrow(binned, "bin long, n double, s double, at double").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("at").alias("at")).filter("n > 0").orderBy("bin").toPandas()
+    bins = rows.mapInArrow(binned, "bin long, n double, s double, at double").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("at").alias("at")).filter("n > 0").orderBy("bin").toPandas()
     model.share = pooled(bins["n"].to_numpy(), bins["s"].to_numpy())
     model.at = (bins["at"] / bins["n"]).to_numpy()
     return model
 
 
 def score(stats: DataFrame, model: Model, column: str = "__cl_stats", out: str = "score") -> DataFrame:
-    """``stats`` with the calibrated score in ``out``."""
-    at, names = stats.columns.index(column), [*stats.columns, out]
+    """``stats`` with the calibrated score in ``out`` (a column of that name is replaced)."""
+    at, kept = stats.columns.index(column), [k for k, c in enumerate(stats.columns) if c != out]
+    names = [*(stats.columns[k] for k in kept), out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.scores(_matrix(b.column(at))))], names=names)
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in kept), pa.array(model.scores(_matrix(b.column(at))))], names=names)
 
     common.ship(stats.sparkSession)
-    return stats.mapInArrow(run, T.StructType([*stats.schema.fields, T.StructField(out, T.DoubleType())]))
+    return stats.mapInArrow(run, T.StructType([*(stats.schema.fields[k] for k in kept), T.StructField(out, T.DoubleType())]))
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,10 +51,11 @@ _ENTITIES = [
 ]
 
 
-def _personal_data(reach: int, alpha: float, support: int) -> str:
+def _personal_data(alpha: float) -> str:
     hits = " union all ".join(f"select r, '{k}' as kind, {n} as rank, string_split_regex(t, '{p}') as between, regexp_extract_all(t, '{p}') as hits from d where regexp_matches(t, '{p}')" for n, (k, p) in enumerate(_ENTITIES))
     digit = "cast(substr(dg, length(dg) - i, 1) as int)"
     luhn = f"list_sum(list_transform(range(0, length(dg)), lambda i: case when i % 2 = 0 then {digit} else (2 * {digit}) % 10 + {digit} // 5 end)) % 10 = 0"
+    word = _ENTITIES[0][1] + "|[\\p{L}]{4,}"
     return f"""
 with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
 raw as ({hits}),
@@ -64,20 +65,18 @@ base as (select r, kind, rank, e - length(hit) as s, e, hit from pos where case
   when 'ip' then len(list_filter(string_split(hit, '.'), lambda x: not regexp_full_match(x, '0*([0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])'))) = 0
   when 'card' then length(dg) between 13 and 19 and {luhn}
   when 'phone' then length(dg) between 9 and 15 else true end),
-side as (
-  select b.r, b.kind || ':' || hit as entity, greatest(s - {reach}, 0) as off, substr(t, greatest(s - {reach}, 0) + 1, s - greatest(s - {reach}, 0)) as part from base b join d using (r)
-  union all select b.r, b.kind || ':' || hit, e, substr(t, e + 1, {reach}) from base b join d using (r)),
-cut as (select row_number() over () as k, r, entity, off, string_split_regex(part, '[\\p{{L}}]{{4,}}') as between, regexp_extract_all(part, '[\\p{{L}}]{{4,}}') as hits from side),
-wrd as (select k, r, entity, off, generate_subscripts(hits, 1) as i, unnest(hits) as hit, unnest(between[1:len(hits)]) as gap from cut where len(hits) > 0),
-plc as (select r, entity, lower(hit) as term, length(hit) as n, off + cast(sum(length(gap) + length(hit)) over (partition by k order by i) as bigint) as e from wrd),
-around as (select distinct r, entity, term, e - n as s, e from plc where not exists (select 1 from base b where b.r = plc.r and b.s < plc.e and b.e > plc.e - plc.n)),
-joint as (select entity, term, count(distinct r) as c_et from around group by 1, 2 having count(distinct r) >= {support}),
-per_e as (select kind || ':' || hit as entity, count(distinct r) as c_e from base group by 1),
-per_t as (select term, count(*) as c_t from (select unnest(list_distinct(regexp_extract_all(lower(t), '[\\p{{L}}]{{4,}}'))) as term from d) group by 1),
+entity as (select distinct r, kind || ':' || hit as entity from base),
+cut as (select r, string_split_regex(t, '{word}') as between, regexp_extract_all(t, '{word}') as hits from d where r in (select r from base)),
+wrd as (select r, generate_subscripts(hits, 1) as i, unnest(hits) as hit, unnest(between[1:len(hits)]) as gap from cut where len(hits) > 0),
+plc as (select r, lower(hit) as term, length(hit) as n, cast(sum(length(gap) + length(hit)) over (partition by r order by i) as bigint) as e from wrd),
+around as (select r, term, e - n as s, e from plc where not contains(term, '@')),
+joint as (select entity, term, count(*) as c_et from entity join (select distinct r, term from around) using (r) group by 1, 2),
+per_e as (select entity, count(*) as c_e from entity group by 1),
+per_t as (select term, count(*) as c_t from (select unnest(list_distinct(list_transform(regexp_extract_all(t, '[\\p{{L}}]{{4,}}'), lambda x: lower(x)))) as term from d) group by 1),
 size as (select cast(count(*) as double) as n from d),
 pairs as (select entity, term from joint join per_e using (entity) join per_t using (term), size
   where c_e < n and log2(n * c_et / (c_e * c_t)) >= {alpha} * log2(n / c_e) - 1e-9),
-term as (select distinct r, 'term' as kind, 4 as rank, s, e from around join pairs using (entity, term)),
+term as (select distinct r, 'term' as kind, 4 as rank, s, e from around join entity using (r) join pairs using (entity, term)),
 every as (select r, kind, rank, s, e from base union all select * from term),
 agg as (select r, count(*) filter (kind = 'email') as n_email, count(*) filter (kind = 'ip') as n_ip, count(*) filter (kind = 'card') as n_card, count(*) filter (kind = 'phone') as n_phone,
   string_agg(kind || ':' || s || ':' || e, ',' order by rank, s) filter (rank < 4) as base, string_agg(kind || ':' || s || ':' || e, ',' order by rank, s) as spans from every group by r)
@@ -86,4 +85,4 @@ from d left join agg using (r)
 """
 
 
-ORACLES = {"op4_secret_scans": _secret_scans(), "op9_personal_data": _personal_data(60, 0.9, 3)}
+ORACLES = {"op4_secret_scans": _secret_scans(), "op9_personal_data": _personal_data(0.9)}

@@ -1,18 +1,22 @@
 """Toxicity: cumulative-link (proportional odds) ordinal regression over sparse text features.
 
 ``P(grade > j | x) = sigmoid(w.x - theta_j)`` with one weight vector for all thresholds
-``theta_1 < ... < theta_K``; the result is the expected grade ``sum_j P(grade > j)``.
+``theta_1 < ... < theta_K``; the result is the expected grade ``sum_j P(grade > j)``.  Weights and
+thresholds maximise the likelihood of the grades, ``P(grade = j) = P(grade > j-1) - P(grade > j)``,
+with a ridge.  The thresholds are ordered by their form: each is the one before it plus the
+exponential of a free parameter.
 
 Labels hold one bit.  Grades are made from it: 0 for documents that aren't toxic; toxic ones
 get 1, 2 or 3 by thirds of the number of terms in them that the labels show to be toxic.
-Features: presence of a term (lower-cased word); terms are those whose share among toxic
+Features: presence of a term (lower-cased word); terms are all those whose share among toxic
 documents differs from that among the others by ``MIN_Z`` standard errors.
 
-Copies would make the words of one mislabelled text look toxic.  So rows of the sample that
-share the least hash of their three-word shingles count as one text, with the majority's label.
+Copies would make the words of one mislabelled text look toxic.  So rows of the sample whose
+three-word shingles have the same least hashes under two hash functions (near copies mostly do)
+share the weight of one row.  No row is left out, and each keeps its own label.
 
-The model is fitted on a bounded sample of labelled rows, ``SAMPLE_ROWS``, at most ``MAX_TERMS``
-terms; every document is scored over its whole text.
+The model is fitted on a bounded sample of labelled rows, ``SAMPLE_ROWS``; every document is
+scored over its whole text.
 
 Defined results: a null or empty text is scored as one without terms; repeated rows score
 alike; an empty table gives an empty result; with no labels of both kinds the score is 0 for
@@ -33,7 +37,6 @@ from . import common
 
 #: Labelled rows that the model is fitted on, at most about so many (8 bytes of id each are broadcast).
 SAMPLE_ROWS = 16_000
-MAX_TERMS = 512
 MIN_Z, MIN_DOCS = 5.0, 8
 GRADES = 3
 RIDGE = 0.3
@@ -47,18 +50,18 @@ def terms_of(text: str) -> set[str]:
     return set(_word.findall(text.lower()))
 
 
-def copy_key(text: str) -> int:
-    """The least hash of the three-word shingles: near copies mostly have the same."""
+def copy_key(text: str) -> str:
+    """The least hashes of the three-word shingles under two hash functions."""
     words = text.encode().lower().split()
-    if len(words) < 3:
-        return zlib.crc32(b" ".join(words))
-    return min(zlib.crc32(b" ".join(w)) for w in zip(words, words[1:], words[2:]))
+    shingles = [b" ".join(w) for w in zip(words, words[1:], words[2:])] or [b" ".join(words)]
+    return f"{min(map(zlib.crc32, shingles)):x}:{min(zlib.crc32(x, 0x5EED) for x in shingles):x}"
 
 
-def one_of_each(rows: DataFrame, text: str, key: str) -> DataFrame:
-    """One row (text, y) for each group of near copies."""
-    keyed = common.map_texts(rows, text, lambda: lambda texts: ([copy_key(t) for t in texts],), [T.StructField("copy", T.LongType())])
-    return keyed.groupBy("copy").agg(F.min_by(text, key).alias(text), (F.avg("y") > 0.5).cast("int").alias("y")).select(text, "y")
+def weighted(rows: DataFrame, text: str) -> DataFrame:
+    """(text, y, w): rows (``text``, y) with one row's weight shared in each group of near copies."""
+    keyed = common.stash(common.map_texts(rows.select(text, "y"), text, lambda: lambda texts: ([copy_key(t) for t in texts],), [T.StructField("copy", T.StringType())]), "toxic-sample")
+    groups = keyed.groupBy("copy").agg((1 / F.count("*")).alias("w"))
+    return keyed.join(groups, "copy").select(text, "y", "w")
 
 
 def sample_of(labels: DataFrame, label: str, rows: int, key: str = "doc_id") -> DataFrame:
@@ -74,41 +77,82 @@ def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def fit_ordinal(x: np.ndarray, grade: np.ndarray, ridge: float = RIDGE, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and ordered thresholds by damped Newton steps on the binary decomposition
-    ``grade > j`` (one weight vector, one threshold for each j); convex, with a ridge."""
-    n, d = x.shape
-    k = int(grade.max()) if n else 0
-    above = np.stack([(grade > j) for j in range(k)], axis=1).astype(float) if k else np.zeros((n, 0))
-    share = np.clip(above.mean(axis=0), 1e-4, 1 - 1e-4) if k else np.zeros(0)
-    start = np.concatenate([np.zeros(d), -np.log(share / (1 - share))])
-    if k == 0:
-        return start[:d], start[d:]
+class Rows:
+    """A sparse matrix of zeros and ones: the columns that each row has."""
+
+    def __init__(self, columns: list[list[int]], width: int):
+        self.width, self.height = width, len(columns)
+        self.row = np.repeat(np.arange(len(columns)), [len(c) for c in columns])
+        self.column = np.array([i for c in columns for i in c], dtype=np.int64)
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, weights=w[self.column], minlength=self.height)
+
+    def transposed_times(self, g: np.ndarray) -> np.ndarray:
+        return np.bincount(self.column, weights=g[self.row], minlength=self.width)
+
+
+def thresholds(free: np.ndarray) -> np.ndarray:
+    """Ordered thresholds: the first one, then exponentials as distances."""
+    return np.cumsum(np.concatenate([free[:1], np.exp(free[1:])]))
+
+
+def loss_and_slope(v: np.ndarray, x: Rows, grade: np.ndarray, weight: np.ndarray, ridge: float) -> tuple[float, np.ndarray]:
+    """Negative log-likelihood of the grades with a ridge, and its gradient, at ``v``: the
+    weights, then the free parameters of the thresholds."""
+    d = x.width
+    theta, z = thresholds(v[d:]), x.times(v[:d])
+    k = len(theta)
+    # P(grade = g) = s(a) - s(b) = s(a) s(-b) (1 - e^(b-a)), a above the threshold below, b above the one above.
+    low, high = grade > 0, grade < k
+    a, b = z - theta[np.maximum(grade - 1, 0)], z - theta[np.minimum(grade, k - 1)]
+    gap = np.where(low & high, a - b, 1.0)
+    log_p = np.where(low, -np.logaddexp(0, -a), 0) + np.where(high, -np.logaddexp(0, b), 0) + np.where(low & high, np.log(-np.expm1(-gap)), 0)
+    tail = np.where(low & high, 1 / np.expm1(gap), 0)
+    da, db = weight * (np.where(low, _sigmoid(-a), 0) + tail), weight * (-np.where(high, _sigmoid(b), 0) - tail)
+    slope_theta = -np.bincount(np.maximum(grade - 1, 0), weights=da, minlength=k) - np.bincount(np.minimum(grade, k - 1), weights=db, minlength=k)
+    behind = slope_theta[::-1].cumsum()[::-1]  # a distance moves its own threshold and all behind it
+    free = np.concatenate([behind[:1], behind[1:] * np.exp(v[d + 1 :])])
     pull = np.concatenate([np.full(d, ridge), np.full(k, 1e-3)])
+    return float(-(weight * log_p).sum() + 0.5 * (pull * v * v).sum()), -np.concatenate([x.transposed_times(da + db), free]) + pull * v
 
-    def loss(v: np.ndarray) -> float:
-        z = (x @ v[:d])[:, None] - v[d:][None, :]
-        return float((np.logaddexp(0, z) - above * z).sum() + 0.5 * (pull * v * v).sum())
 
-    v, now = start, loss(start)
+def fit_ordinal(x: Rows, grade: np.ndarray, weight: np.ndarray | None = None, ridge: float = RIDGE, rounds: int = 500) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and ordered thresholds of the greatest penalised likelihood, by L-BFGS."""
+    k = int(grade.max()) if len(grade) else 0
+    if k == 0:
+        return np.zeros(x.width), np.zeros(0)
+    weight = np.ones(len(grade)) if weight is None else weight
+    above = np.clip([weight[grade > j].sum() / weight.sum() for j in range(k)], 1e-4, 1 - 1e-4)
+    start = -np.log(above / (1 - above))
+    v = np.concatenate([np.zeros(x.width), start[:1], np.log(np.maximum(np.diff(start), 1e-3))])
+    now, slope = loss_and_slope(v, x, grade, weight, ridge)
+    steps: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(rounds):
-        p = _sigmoid((x @ v[:d])[:, None] - v[d:][None, :])
-        err, curve = p - above, np.maximum(p * (1 - p), 1e-9)
-        grad = np.concatenate([x.T @ err.sum(axis=1), -err.sum(axis=0)]) + pull * v
-        hess = np.diag(pull).astype(float)
-        hess[:d, :d] += (x * curve.sum(axis=1)[:, None]).T @ x
-        cross = -(x.T @ curve)
-        hess[:d, d:] += cross
-        hess[d:, :d] += cross.T
-        hess[d:, d:] += np.diag(curve.sum(axis=0))
-        step = np.linalg.solve(hess, grad)
-        size = 1.0
-        while size > 1e-4 and (new := loss(v - size * step)) > now:
+        way, used = -slope, []
+        for s, y in reversed(steps):
+            used.append(s @ way / (s @ y))
+            way = way - used[-1] * y
+        if steps:
+            way = way * (steps[-1][0] @ steps[-1][1]) / (steps[-1][1] @ steps[-1][1])
+        for (s, y), u in zip(steps, reversed(used), strict=True):
+            way = way + (u - y @ way / (s @ y)) * s
+        size = 1.0 if steps else 1 / max(1.0, float(np.abs(slope).sum()))
+        down = float(slope @ way)
+        while size > 1e-12:
+            new, new_slope = loss_and_slope(v + size * way, x, grade, weight, ridge)
+            if new <= now + 1e-4 * size * down:
+                break
             size /= 2
-        if size <= 1e-4 or now - new < 1e-8 * abs(now):
+        else:
+            break
+        s, y = size * way, new_slope - slope
+        if s @ y > 1e-12:
+            steps = [*steps[-9:], (s, y)]
+        gain, v, now, slope = now - new, v + s, new, new_slope
+        if np.abs(slope).max() < 1e-6 or gain < 1e-10 * max(1.0, abs(now)):
             break
-        v, now = v - size * step, new
-    return v[:d], np.sort(v[d:])
+    return v[: x.width], thresholds(v[x.width :])
 
 
 class Model:
@@ -131,16 +175,17 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic") -> Model:
     """Fit on a bounded sample of labelled rows (see SAMPLE_ROWS)."""
     sample = F.broadcast(sample_of(labels, label, SAMPLE_ROWS, key))
-    rows = common.stash(one_of_each(docs.select(key, text).join(sample, key), text, key), "toxic-sample")
+    rows = common.stash(weighted(docs.select(key, text).join(sample, key), text), "toxic-weighted")
     listed = common.map_texts(rows, text, lambda: lambda texts: ([list(terms_of(t)) for t in texts],), [T.StructField("terms", T.ArrayType(T.StringType()))])
-    words = listed.select("y", F.explode("terms").alias("term"))
-    n1, n0 = (int(v or 0) for v in rows.agg(F.sum("y"), F.sum(1 - F.col("y"))).first())
+    words = listed.select("y", "w", F.explode("terms").alias("term"))
+    n1, n0 = (float(v or 0) for v in rows.agg(F.sum(F.col("w") * F.col("y")), F.sum(F.col("w") * (1 - F.col("y")))).first())
     if not n1 or not n0:
         return Model({}, [])
-    counted = words.groupBy("term").agg(F.sum("y").alias("c1"), F.sum(1 - F.col("y")).alias("c0")).filter(F.col("c0") + F.col("c1") >= MIN_DOCS)
+    counted = words.groupBy("term").agg(F.sum(F.col("w") * F.col("y")).alias("c1"), F.sum(F.col("w") * (1 - F.col("y"))).alias("c0")).filter(F.col("c0") + F.col("c1") >= MIN_DOCS)
     share = (F.col("c0") + F.col("c1") + 1) / (n0 + n1 + 2)
     z = (F.col("c1") / n1 - F.col("c0") / n0) / F.sqrt(share * (1 - share) * (1 / n0 + 1 / n1))
-    chosen = counted.withColumn("z", z).filter(F.abs("z") >= MIN_Z).orderBy(F.desc(F.abs("z")), "term").limit(MAX_TERMS)
+    # As many as the bounded sample has; the order makes the fit the same on every run.
+    chosen = counted.withColumn("z", z).filter(F.abs("z") >= MIN_Z).orderBy("term")
     picked = {r.term: (i, r.z > 0) for i, r in enumerate(chosen.select("term", "z").collect())}
 
     def make():
@@ -151,18 +196,15 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
         return work
 
     fields = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("toxic_terms", T.LongType())]
-    got = common.map_texts(rows.select(text, "y"), text, make, fields).select("y", "ids", "toxic_terms").toPandas()
-    x = np.zeros((len(got), len(picked)))
-    for r, ids in enumerate(got["ids"]):
-        x[r, np.asarray(ids, dtype=int)] = 1.0
-    y, many = got["y"].to_numpy(), got["toxic_terms"].to_numpy()
+    got = common.map_texts(rows, text, make, fields).select("y", "w", "ids", "toxic_terms").orderBy("y", "w", "toxic_terms", "ids").collect()
+    y, w, many = (np.array([r[c] for r in got]) for c in ("y", "w", "toxic_terms"))
     grade = np.where(y > 0, 1, 0)
     has = (y > 0) & (many > 0)
     if has.any():
         cuts = np.quantile(many[has], [(g + 1) / GRADES for g in range(GRADES - 1)])
         grade[has] = 1 + np.searchsorted(cuts, many[has], side="left")
-    w, theta = fit_ordinal(x, grade)
-    return Model({t: float(w[i]) for t, (i, _) in picked.items()}, theta.tolist())
+    beta, theta = fit_ordinal(Rows([r.ids for r in got], len(picked)), grade, w)
+    return Model({t: float(beta[i]) for t, (i, _) in picked.items()}, theta.tolist())
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

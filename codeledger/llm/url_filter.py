@@ -3,7 +3,9 @@
 Every url becomes a set of tokens (host labels, top domains, path parts, query keys, scheme).
 Spark's FP-growth mines the token sets of labelled urls with their label as one more item; rules
 ``tokens -> block`` are pruned by support and confidence, and by any shorter rule that holds
-already.  They are matched through an inverted index: a rule is posted under its rarest token,
+already.  Tokens that stand in exactly the same token sets (the labels of one host, the parts of one
+path) are mined as one, which loses no rule and keeps the sets from doubling with each of them.
+Rules are matched through an inverted index: a rule is posted under its rarest token,
 urls meet it there, and the rest of its tokens are checked.
 
 Labels: where ``labels`` has a row for the page's id, ``block`` if it is toxic or of quality 0;
@@ -34,8 +36,6 @@ MIN_SUPPORT = 0.002
 MIN_CONFIDENCE = 0.6
 #: Labelled rows that a rule must block rightly, whatever the support share.
 MIN_ROWS = 20
-#: Tokens of one rule at most.
-MOST_TOKENS = 4
 BLOCK = "=block"
 
 
@@ -71,37 +71,43 @@ def tokens(url: str, host: Column, path: Column) -> Column:
     return F.when((host == "") | F.col(url).isNull(), F.array(F.lit("none"))).otherwise(whole)
 
 
+def classes_of(sets: DataFrame) -> DataFrame:
+    """(token, item): ``item`` is the least of the tokens that stand in the same rows of ``sets``
+    (id, tokens; distinct token sets)."""
+    each = sets.select(F.explode("tokens").alias("token"), F.xxhash64("id").alias("h"), F.xxhash64("id", F.lit(1)).alias("g"))
+    marks = each.groupBy("token").agg(F.count("*").alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).alias("a"), F.bit_xor("g").alias("b"))
+    least = marks.groupBy("n", "a", "b").agg(F.min("token").alias("item"))
+    return marks.join(least, ["n", "a", "b"]).select("token", "item")
+
+
 def mine(labelled: DataFrame) -> DataFrame:
     """(rule, tokens, anchor, confidence): rules ``tokens -> block`` from (tokens, bad).
 
-    Mined from the distinct token sets with their label, each as often as it occurs, so support
-    and confidence are those of all labelled rows."""
+    A rule's tokens are the least ones of their classes.  Support and confidence are those of all
+    labelled rows."""
     spark = labelled.sparkSession
     empty = "rule long, tokens array<string>, anchor string, confidence double"
     if labelled.limit(1).count() == 0:
         return spark.createDataFrame([], empty)
-    baskets = common.stash(labelled.select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BLOCK)))).otherwise(F.col("tokens")).alias("items")), "url-baskets")
-    found = FPGrowth(itemsCol="items", minSupport=MIN_SUPPORT, minConfidence=MIN_CONFIDENCE).fit(baskets)
+    counted = common.stash(labelled.groupBy(F.array_sort("tokens").alias("tokens")).agg(F.count("*").alias("n"), F.count_if("bad").alias("bad")).withColumn("id", F.monotonically_increasing_id()), "url-sets")
+    items = common.stash(classes_of(counted), "url-classes")
+    named = counted.select("id", F.explode("tokens").alias("token")).join(items, "token").groupBy("id").agg(F.collect_set("item").alias("items"))
+    # Each set as often as it occurs, for FP-growth counts rows; with the label as one more item.
+    rows = counted.join(named, "id").select("items", F.explode(F.array(F.struct(F.lit(True).alias("is"), F.col("bad").alias("times")), F.struct(F.lit(False).alias("is"), (F.col("n") - F.col("bad")).alias("times")))).alias("part"))
+    rows = rows.select(F.when(F.col("part.is"), F.concat("items", F.array(F.lit(BLOCK)))).otherwise(F.col("items")).alias("items"), F.explode(F.expr("if(part.times > 0, sequence(1, part.times), cast(array() as array<bigint>))")).alias("k")).select("items")
+    found = FPGrowth(itemsCol="items", minSupport=MIN_SUPPORT, minConfidence=MIN_CONFIDENCE).fit(common.stash(rows, "url-baskets"))
     sets = common.stash(found.freqItemsets, "url-itemsets")
     alone = sets.filter(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
-    left = sets.filter(~F.array_contains("items", BLOCK) & (F.size("items") <= MOST_TOKENS)).select(F.array_sort("items").alias("tokens"), F.col("freq").alias("n"))
+    left = sets.filter(~F.array_contains("items", BLOCK)).select(F.array_sort("items").alias("tokens"), F.col("freq").alias("n"))
     both = sets.filter(F.array_contains("items", BLOCK) & (F.size("items") > 1)).select(F.array_sort(F.array_remove("items", BLOCK)).alias("tokens"), F.col("freq").alias("bad"))
     rules = left.join(both, "tokens").withColumn("confidence", F.col("bad") / F.col("n")).filter((F.col("confidence") >= MIN_CONFIDENCE) & (F.col("bad") >= MIN_ROWS))
-    rules = rules.select(F.xxhash64("tokens").alias("rule"), "tokens", "confidence")
-    # A rule is superfluous if a rule of fewer of its tokens holds too: each rule asks for its
-    # subsets by dropping one, two or three tokens (at most MOST_TOKENS stand in a rule).
-    smaller = rules.select("rule", F.explode(_subsets("tokens")).alias("part")).join(rules.select(F.col("tokens").alias("part")), "part", "left_semi").select("rule").distinct()
-    rules = rules.join(smaller, "rule", "left_anti")
-    ranked = rules.select("rule", "tokens", "confidence", F.explode("tokens").alias("token")).join(alone, "token")
-    return common.stash(ranked.groupBy("rule").agg(F.first("tokens").alias("tokens"), F.min(F.struct("freq", "token"))["token"].alias("anchor"), F.first("confidence").alias("confidence")), "url-rules")
-
-
-def _subsets(column: str) -> Column:
-    """All proper non-empty subsets of an array of at most MOST_TOKENS elements."""
-    return F.expr(
-        f"case when size({column}) > 1 then transform(sequence(1, shiftleft(1, size({column})) - 2), "
-        f"m -> filter({column}, (t, i) -> shiftright(m, i) & 1 = 1)) else cast(array() as array<array<string>>) end"
-    )
+    ranked = rules.select(F.xxhash64("tokens").alias("rule"), "tokens", "confidence", F.explode("tokens").alias("token")).join(alone, "token")
+    posted = common.stash(ranked.groupBy("rule").agg(F.first("tokens").alias("tokens"), F.min(F.struct("freq", "token"))["token"].alias("anchor"), F.first("confidence").alias("confidence")), "url-candidates")
+    # A rule is superfluous if a rule of fewer of its tokens holds too: rules meet each other in
+    # the same inverted index that urls meet them in.
+    asked = posted.select(F.col("rule").alias("long"), F.col("tokens").alias("whole"), F.explode("tokens").alias("anchor"))
+    beaten = asked.join(posted.select("anchor", "tokens"), "anchor").filter((F.size("tokens") < F.size("whole")) & (F.size(F.array_except("tokens", "whole")) == 0)).select(F.col("long").alias("rule")).distinct()
+    return common.stash(posted.join(beaten, "rule", "left_anti"), "url-rules")
 
 
 def judge(pages: DataFrame, labels: DataFrame, url: str = "url", key: str = "page_id", label_key: str = "doc_id") -> DataFrame:
