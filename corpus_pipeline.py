@@ -29,9 +29,9 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is kept, encoded: ids by byte-level BPE, and digests of ids and of decoded bytes."""
+    """What is kept, encoded: the ids by byte-level BPE, and digests of ids and of decoded bytes."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return bpe_codec.round_trip_digests(docs, path, public_tokenizers.PATTERN).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return bpe_codec.round_trip_digests(docs, path, public_tokenizers.PATTERN, ids="token_ids").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "token_ids")
 
 
 STAGES = [
