@@ -17,10 +17,10 @@ TABLES = {
     "fragments": "module string, name string, kind string, is_extension boolean, line long, column long, code_lines long, property_names array<string>, referenced_types array<string>, imported_modules array<string>",
     "functions": "name string, kind string, owner string, module string, line long, column long, parameters long, access_level string, code_lines long, complexity long, cognitive long, max_nesting long, bare_refs array<string>, self_refs array<string>, shadowed array<string>",
     "closures": "owner string, line long, column long, code_lines long, complexity long, cognitive long, max_nesting long, parameters long",
-    "effects": "function string, category string, detail string, line long, column long, in_closure boolean",
-    "risks": "category string, detail string, line long, column long, function string",
-    "compositions": "function string, operation string, line long, column long, impure boolean",
-    "calls": "function string, callee string, labels string, line long, column long",
+    "effects": "function string, category string, detail string, line long, column long, in_closure boolean, of_line long, of_column long",
+    "risks": "category string, detail string, line long, column long, function string, of_line long, of_column long",
+    "compositions": "function string, operation string, line long, column long, impure boolean, of_line long, of_column long",
+    "calls": "function string, callee string, labels string, line long, column long, of_line long, of_column long",
     "detections": "rule string, line long, column long, message string",
     "clumps": "kind string, display_name string, line long, column long, elements array<struct<name:string,type:string>>",
     "switches": "scope string, discriminator string, case_shape array<string>, line long, column long, conditional boolean",

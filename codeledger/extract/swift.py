@@ -376,8 +376,9 @@ class Scanner:
             self.across_await(a, b, owner)
         return statements
 
-    def risk(self, category: str, i: int, detail: str, function: str | None) -> None:
-        self.facts.risks.append({"category": category, "detail": detail, "line": self.t[i].line, "column": self.t[i].column, "function": function})
+    def risk(self, category: str, i: int, detail: str, row: dict | None) -> None:
+        row = row if row is not None and "name" in row else {}
+        self.facts.risks.append({"category": category, "detail": detail, "line": self.t[i].line, "column": self.t[i].column, "function": row.get("name"), "of_line": row.get("line"), "of_column": row.get("column")})
 
     def statements(self, a: int, b: int) -> list[tuple[int, int]]:
         """Top-level statements between the braces at ``a`` and ``b``: token ranges."""
@@ -420,7 +421,7 @@ class Scanner:
 
     def effect(self, row: dict | None, category: str, i: int, detail: str, closure: bool) -> None:
         if row is not None and "name" in row:
-            self.facts.effects.append({"function": row["name"], "category": category, "detail": detail, "line": self.t[i].line, "column": self.t[i].column, "in_closure": closure})
+            self.facts.effects.append({"function": row["name"], "category": category, "detail": detail, "line": self.t[i].line, "column": self.t[i].column, "in_closure": closure, "of_line": row["line"], "of_column": row["column"]})
 
     def body(self, a: int, b: int, row: dict | None, shadow: list[str], closure: bool = False) -> int:
         """Counts of the braces at ``a``..``b``; closures and local functions have their own."""
@@ -493,7 +494,7 @@ class Scanner:
                     impure = self._impure(k, self.match[k])
                     call = self._call_before(k)
                     if call in COMPOSITIONS and row is not None and "name" in row:
-                        self.facts.compositions.append({"function": row["name"], "operation": call, "line": x.line, "column": x.column, "impure": impure})
+                        self.facts.compositions.append({"function": row["name"], "operation": call, "line": x.line, "column": x.column, "impure": impure, "of_line": row["line"], "of_column": row["column"]})
                     if impure:
                         self.effect(row, "closureEffect", k, call or "", closure)
                     self.closure(k, row)
@@ -506,7 +507,7 @@ class Scanner:
                 self.effect(row, "throwingEffect", k, word, closure)
             elif word == "await":
                 self.effect(row, "asyncEffect", k, word, closure)
-                self.risk("isolationCrossing", k, word, row.get("name") if row else None)
+                self.risk("isolationCrossing", k, word, row)
             elif word in ("=", "+=", "-=", "*=", "/=", "%=") and x.kind == "op" and not self._binds(k, a):
                 target = self._target(k)
                 self.effect(row, "propertyWrite" if target.startswith("self.") or "." in target else "mutation", k, target, closure)
@@ -515,9 +516,9 @@ class Scanner:
             elif x.kind == "word" and before == "." and word in MUTATING_CALLS and after == "(":
                 self.effect(row, "mutation", k, word, closure)
             elif x.kind == "word" and word == "Task" and (after in ("{", ".") or after == "("):
-                self.risk("unstructuredTask", k, word, row.get("name") if row else None)
+                self.risk("unstructuredTask", k, word, row)
             elif x.kind == "word" and word in UNSAFE_TYPES:
-                self.risk("unsafeEscapeHatch", k, word, row.get("name") if row else None)
+                self.risk("unsafeEscapeHatch", k, word, row)
             if x.kind == "word" and word in ("let", "var") and k + 1 < b and self.t[k + 1].kind == "word":
                 scopes[-1][1].add(self.t[k + 1].text)
             if row is not None and "bare_refs" in row and x.kind == "word":
@@ -536,7 +537,7 @@ class Scanner:
                 while j >= 2 and self.t[j - 1].text == "." and self.t[j - 2].kind == "word":
                     j -= 2
                     callee = self.t[j].text + "." + callee
-                self.facts.calls.append({"function": row["name"], "callee": callee, "labels": "".join(labels), "line": x.line, "column": x.column})
+                self.facts.calls.append({"function": row["name"], "callee": callee, "labels": "".join(labels), "line": x.line, "column": x.column, "of_line": row["line"], "of_column": row["column"]})
             k += 1
         return len(self.statements(a, b)) if row is not None and not closure else 0
 

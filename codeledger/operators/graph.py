@@ -39,18 +39,29 @@ def coupling(edges: DataFrame, is_test: str | None = None) -> DataFrame:
     return per.select("id", "afferent", "efferent", "fan_in", "fan_out", "callers_test", (F.col("fan_in") - F.col("callers_test")).alias("callers_production"), F.try_divide(F.col("efferent").cast("double"), both).alias("instability"))
 
 
-def context(edges: DataFrame, callers: str | None = None) -> DataFrame:
-    """(id, upstream, downstream, callers, score): neighbours one step away, and the score
-    min(100, 10 fan-in + 10 fan-out + 5 callers)."""
-    live = edges.filter("confidence = 'resolved'") if "confidence" in edges.columns else edges
-    pairs = live.select("source", "target").distinct()
-    into = pairs.groupBy(F.col("target").alias("id")).agg(F.array_sort(F.collect_list("source")).alias("upstream"))
-    out = pairs.groupBy(F.col("source").alias("id")).agg(F.array_sort(F.collect_list("target")).alias("downstream"))
-    full = into.join(out, "id", "full")
-    empty = F.array().cast(full.schema["upstream"].dataType)
-    full = full.select("id", F.coalesce("upstream", empty).alias("upstream"), F.coalesce("downstream", empty).alias("downstream"))
-    n = F.size("upstream") if callers is None else F.size(F.filter("upstream", lambda u: u.cast("string").startswith(callers)))
-    return full.withColumn("callers", n).withColumn("score", F.least(F.lit(100.0), (10 * F.size("upstream") + 10 * F.size("downstream") + 5 * F.col("callers")).cast("double")))
+def _resolved(edges: DataFrame) -> DataFrame:
+    return edges.filter("confidence = 'resolved'") if "confidence" in edges.columns else edges
+
+
+def neighbours(edges: DataFrame) -> DataFrame:
+    """(id, direction, neighbour): what each node depends on (upstream) and what depends on it
+    (downstream), one step away, as rows: a node may have very many."""
+    pairs = _resolved(edges).select("source", "target").distinct()
+    up = pairs.select(F.col("source").alias("id"), F.lit("upstream").alias("direction"), F.col("target").alias("neighbour"))
+    return up.unionByName(pairs.select(F.col("target").alias("id"), F.lit("downstream").alias("direction"), F.col("source").alias("neighbour")))
+
+
+def context(edges: DataFrame) -> DataFrame:
+    """(id, fan_in, fan_out, callers, score): neighbours one step away, and the score
+    min(100, 10 fan-in + 10 fan-out + 5 callers).  Callers are the sources of edges of the kind
+    ``call`` (of all edges if they have no kind).  Sums run before the shuffle."""
+    live = _resolved(edges)
+    call = F.col("kind") == "call" if "kind" in live.columns else F.lit(True)
+    pairs = live.groupBy("source", "target").agg(F.max(call).alias("call"))
+    end = lambda c, i, o, k: F.struct(F.col(c).alias("id"), F.lit(i).alias("i"), F.lit(o).alias("o"), k.alias("c"))
+    ends = pairs.select(F.explode(F.array(end("target", 1, 0, F.col("call").cast("int")), end("source", 0, 1, F.lit(0)))).alias("e")).select("e.*")
+    per = ends.groupBy("id").agg(F.sum("i").alias("fan_in"), F.sum("o").alias("fan_out"), F.sum("c").alias("callers"))
+    return per.withColumn("score", F.least(F.lit(100.0), (10 * F.col("fan_in") + 10 * F.col("fan_out") + 5 * F.col("callers")).cast("double")))
 
 
 def statistics(edges: DataFrame) -> DataFrame:

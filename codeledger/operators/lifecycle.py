@@ -135,14 +135,24 @@ def ancestors(edges: DataFrame, start: DataFrame, most_rounds: int = 64) -> Data
     raise RuntimeError("the snapshots have a cycle")
 
 
-def pending(snapshots: DataFrame) -> DataFrame:
+def pending(snapshots: DataFrame, most_rounds: int = 64) -> DataFrame:
     """(id, state): processed if every ancestor is present up to a root, else pending.
-    ``snapshots``: id, parent_id (null for a root)."""
-    edges = snapshots.filter("parent_id is not null").select(F.col("id").alias("child"), F.col("parent_id").alias("parent"))
-    lost = edges.join(snapshots.select(F.col("id").alias("parent")), "parent", "left_anti").select(F.col("child").alias("ancestor")).distinct()
-    up = ancestors(edges.join(snapshots.select(F.col("id").alias("parent")), "parent", "left_semi"), snapshots.select("id"))
-    waiting = up.join(lost, "ancestor", "left_semi").select("id").distinct().withColumn("w", F.lit(True))
-    return snapshots.select("id").join(waiting, "id", "left").select("id", F.when(F.col("w"), "pending").otherwise("processed").alias("state"))
+    ``snapshots``: id, parent_id (null for a root).
+
+    Pointer jumping: each snapshot keeps one pointer, which jumps twice as far in every round until
+    it meets a root or a gap; rows don't grow with the depth."""
+    edges = snapshots.filter("parent_id is not null").select("id", F.col("parent_id").alias("at"))
+    present = snapshots.select(F.col("id").alias("at"), F.lit(True).alias("there"))
+    state = F.when(F.col("there").isNull(), "pending")
+    now = edges.join(present, "at", "left").select("id", F.when(F.col("there"), F.col("at")).alias("at"), state.alias("state"))
+    now = cut(now.unionByName(snapshots.filter("parent_id is null").select("id", F.lit(None).cast(snapshots.schema["id"].dataType).alias("at"), F.lit("processed").alias("state"))))
+    for _ in range(most_rounds):
+        if now.filter("state is null").isEmpty():
+            return now.select("id", "state")
+        up = now.select(F.col("id").alias("at"), F.col("at").alias("next"), F.col("state").alias("known"))
+        moved = now.filter("state is null").join(up, "at").select("id", F.when(F.col("known").isNull(), F.col("next")).alias("at"), F.col("known").alias("state"))
+        now = cut(now.filter("state is not null").unionByName(moved))
+    raise RuntimeError("the snapshots have a cycle")
 
 
 def ingest(store: DataFrame, arriving: DataFrame, key: str = "id", content: str = "digest") -> DataFrame:

@@ -91,11 +91,16 @@ def within_budget(files: DataFrame, size: str = "bytes", max_files: int = policy
 
 
 def budgeted_units(units: DataFrame, file: str, limit: int) -> DataFrame:
-    """Units of files in order while the running count is within ``limit`` + 1.  Counts per file
-    are added up, not rows."""
-    per = units.groupBy(file).agg(F.count("*").alias("n"))
-    before = per.withColumn("until", F.sum("n").over(Window.orderBy(file).rowsBetween(Window.unboundedPreceding, -1)))
-    return units.join(before.filter(F.coalesce("until", F.lit(0)) <= limit).select(file), file, "left_semi")
+    """Units of files in order while the running count is within ``limit`` + 1.
+
+    Counts per file are dealt out by ranges of the file; a range's count before it is added to the
+    running counts inside the range, so no task sees all files."""
+    per = cut(units.groupBy(file).agg(F.count("*").alias("n")).repartitionByRange(file).withColumn("__part", F.spark_partition_id()))
+    ranges = per.groupBy("__part").agg(F.sum("n").alias("__sum"))  # a row for each range
+    ranges = ranges.withColumn("__before", F.coalesce(F.sum("__sum").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("__part").orderBy(file).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = per.filter(F.lit(True)).withColumn("__inside", inside).join(F.broadcast(ranges.select("__part", "__before")), "__part")
+    return units.join(before.filter(F.col("__before") + F.col("__inside") <= limit).select(file), file, "left_semi")
 
 
 def stale_sources(current: DataFrame, cached: DataFrame, keys: tuple[str, ...] = ("path", "module", "digest", "budget")) -> DataFrame:

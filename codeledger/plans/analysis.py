@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..extract import facts as extract
 from ..functions import policy
-from ..operators import clones, graph, metrics, mining, resolve, rules, scoring
+from ..operators import clones, evidence, graph, metrics, mining, resolve, rules, scoring
 from ..operators.shared import cut
-from ..sources.files import WorkspaceConfiguration
+from ..sources.files import WorkspaceConfiguration, is_test_source
 
 
 @dataclass
@@ -27,15 +27,42 @@ class Analysis:
     evidence: DataFrame
     diagnostics: DataFrame
     complete: bool
-
-
-def couplings(fragments: DataFrame) -> DataFrame:
-    """Undirected edges between types whose names are referenced (resolved in module, by dotted
-    name or by a unique import)."""
-    refs = fragments.select(F.concat_ws(".", "module", "name").alias("source"), "module", F.col("imported_modules").alias("imports"), F.split(F.substring_index("name", ".", 1), r"\.").alias("scopes"), F.explode("referenced_types").alias("ref"))
-    refs = refs.withColumn("ref_id", F.concat_ws("|", "source", "ref")).dropDuplicates(["ref_id"])
-    got = resolve.resolve_types(refs.withColumnRenamed("ref", "name"), fragments.filter("not is_extension"), "ref_id", bare_fallback=False)
-    return metrics.coupling_edges(got.filter("outcome = 'resolved'").select(F.substring_index("ref_id", "|", 1).alias("source"), F.concat_ws(".", "module", "name").alias("target")))
+    #: Roll-ups by file, and one row of totals (see ``evidence.by_strategy`` and ``evidence.summary``).
+    aggregations: DataFrame | None = None
+    totals: DataFrame | None = None
+
+
+def type_references(fragments: DataFrame) -> DataFrame:
+    """(ref_id, module, name, scopes, imports, source, path, line, column): a row for each name that
+    a fragment refers to; enclosing scopes from the inside."""
+    refs = fragments.select(
+        F.concat_ws(".", "module", "name").alias("source"), "module", F.col("imported_modules").alias("imports"), F.split("name", r"\.").alias("__parts"), "path", "line", "column",
+        F.explode(F.array_distinct("referenced_types")).alias("ref"),
+    )
+    scopes = F.transform(F.sequence(F.lit(0), F.size("__parts") - 1), lambda k: F.array_join(F.slice("__parts", 1, F.size("__parts") - k), "."))
+    return refs.withColumn("scopes", scopes).withColumn("ref_id", F.concat_ws("|", "path", F.col("line").cast("string"), F.col("column").cast("string"), "source", "ref")).withColumnRenamed("ref", "name").drop("__parts")
+
+
+def type_edges(fragments: DataFrame, types: DataFrame) -> DataFrame:
+    """(source, target, name, confidence, kind, file, line, column): an edge for each reference;
+    references to the type itself are left out, those that don't resolve keep their name."""
+    # A file may declare a type twice at one place only by extension of the same name: one reference.
+    refs = type_references(fragments.join(types.select("module", "name"), ["module", "name"], "left_semi")).dropDuplicates(["ref_id"])
+    got = resolve.resolve_types(refs, types, "ref_id").select("ref_id", "outcome", F.concat_ws(".", "module", "name").alias("__target"))
+    full = refs.join(got, "ref_id")
+    target = F.when(F.col("outcome") == resolve.RESOLVED, F.concat(F.lit("type:"), "__target"))
+    out = full.select(
+        F.concat(F.lit("type:"), "source").alias("source"), target.alias("target"), F.when(F.col("outcome") != resolve.RESOLVED, F.col("name")).alias("name"), F.col("outcome").alias("confidence"),
+        F.lit("typeReference").alias("kind"), F.col("path").alias("file"), "line", "column",
+    )
+    return out.filter(F.col("target").isNull() | (F.col("target") != F.col("source")))
+
+
+def couplings(fragments: DataFrame, types: DataFrame) -> DataFrame:
+    """Undirected edges between types whose names are referenced (resolved in an enclosing scope, in
+    the module, by dotted name or by a unique import)."""
+    resolved = type_edges(fragments, types).filter("confidence = 'resolved'")
+    return metrics.coupling_edges(resolved.select(F.substring_index("source", ":", -1).alias("source"), F.substring_index("target", ":", -1).alias("target")))
 
 
 def clone_lines(found: DataFrame) -> DataFrame:
@@ -45,18 +72,60 @@ def clone_lines(found: DataFrame) -> DataFrame:
     return lines.select(F.col("path").alias("file"), "number", "signature", (F.row_number().over(Window.partitionBy("path").orderBy("number")) - 1).cast("long").alias("ord"))
 
 
-def callable_items(functions: DataFrame) -> DataFrame:
-    return functions.withColumn("item_id", F.concat(F.lit("callable:"), "name"))
+ITEM = ["item_key", "item_id", "display_name", "level", *evidence.PLACE]
 
 
-def analyze(sources: DataFrame, config: WorkspaceConfiguration | None = None) -> Analysis:
+def callable_items(functions: DataFrame) -> DataFrame:
+    """Functions as items: one for each declaration, whatever its name."""
+    module = F.when(F.col("owner").isNotNull(), F.col("module")).otherwise(F.substring_index("name", ".", 1))
+    named = functions.withColumn("item_id", F.concat(F.lit("callable:"), "name")).withColumn("display_name", F.col("name")).withColumn("level", F.lit("callable"))
+    return named.withColumn("module", module).withColumn("file", F.col("path")).withColumn("item_key", evidence.item_key("callable"))
+
+
+def type_items(types: DataFrame, fragments: DataFrame, functions: DataFrame) -> DataFrame:
+    """Types as items at their one base declaration, with what is measured of them."""
+    base = fragments.filter(~F.col("is_extension")).select("module", "name", F.col("path").alias("file"), "line", "column")
+    own = functions.groupBy("module", F.col("owner").alias("name")).agg(
+        F.count_if(F.col("kind") == "method").alias("method_count"), F.sum("complexity").alias("wmcc"), F.slice(F.array_sort(F.collect_list(F.col("name"))), 1, 5).alias("callable_names"),
+    )
+    rows = types.join(base, ["module", "name"]).join(own, ["module", "name"], "left").fillna(0, ["method_count", "wmcc"])
+    rows = rows.withColumn("property_count", F.size("fields")).withColumn("callable_names", F.coalesce("callable_names", F.array().cast("array<string>")))
+    return rows.withColumn("display_name", F.concat_ws(".", "module", "name")).withColumn("item_id", F.concat(F.lit("type:"), "display_name")).withColumn("level", F.lit("type")).withColumn("item_key", F.col("item_id"))
+
+
+def file_items(files: DataFrame, lines: DataFrame, types: DataFrame, callables: DataFrame, duplicates: DataFrame) -> DataFrame:
+    """Parsed files as items at their first code line.  ``types``, ``callables``: items."""
+    first = lines.groupBy("file").agg(F.min("number").alias("line"))
+    count = lambda df, name: df.groupBy("file").agg(F.count("*").alias(name))
+    rows = files.filter("valid").select(F.col("path").alias("file"), "module", "code_lines")
+    for other in (first, count(types, "type_count"), count(callables, "callable_count"), duplicates):
+        rows = rows.join(other, "file", "left")
+    rows = rows.fillna(0, ["type_count", "callable_count", "duplicate_lines"]).fillna(1, ["line"]).withColumn("column", F.lit(1).cast("long"))
+    return rows.withColumn("display_name", F.col("file")).withColumn("item_id", F.concat(F.lit("file:"), "file")).withColumn("level", F.lit("file")).withColumn("item_key", F.col("item_id"))
+
+
+def module_items(files: DataFrame, types: DataFrame, callables: DataFrame) -> DataFrame:
+    """Modules as items at their first file.  All arguments are items."""
+    rows = files.groupBy("module").agg(F.sum("code_lines").alias("code_lines"), F.count("*").alias("file_count"), F.min(F.struct("file", "line", "column")).alias("at"))
+    for df, name in ((types, "type_count"), (callables, "callable_count")):
+        rows = rows.join(df.groupBy("module").agg(F.count("*").alias(name)), "module", "left")
+    rows = rows.fillna(0, ["type_count", "callable_count"]).select("*", "at.file", "at.line", "at.column")
+    return rows.withColumn("display_name", F.col("module")).withColumn("item_id", F.concat(F.lit("module:"), "module")).withColumn("level", F.lit("module")).withColumn("item_key", F.col("item_id"))
+
+
+def analyze(sources: DataFrame, config: WorkspaceConfiguration | None = None, entries: DataFrame | None = None, commits: DataFrame | None = None, reference: str | None = None, unreadable: str | None = None) -> Analysis:
     """Everything about (path, module, content).  Sources are parsed once; the facts are cut from
-    their lineage and each table reads its kind."""
+    their lineage and each table reads its kind.
+
+    ``entries``: records of a coverage report (``sources.lcov.records``), or ``unreadable``, the
+    reason why a wanted report can't be read; without either there is no coverage evidence.
+    ``commits`` (path, sha, author_token, ts, subject) and the ``reference`` time make the history
+    evidence, which is there in any case, as unavailable if need be."""
     config = config or WorkspaceConfiguration()
     found = cut(extract.extract(sources))
     fragments, functions = extract.table(found, "fragments"), extract.table(found, "functions")
     types = cut(metrics.merged_types(fragments, config.type_scope))
-    edges = couplings(fragments)
+    edges = couplings(fragments, types)
     lines = clone_lines(found)
     blocks = cut(clones.blocks(lines, config.minimum_duplicate_lines, config.maximum_duplicate_comparisons))
     observed = cut(metrics.observations(types, functions, edges, blocks.select(F.col("lines").alias("code_lines"))))
@@ -69,41 +138,48 @@ def analyze(sources: DataFrame, config: WorkspaceConfiguration | None = None) ->
     duplicates = clones.duplicated_lines(blocks).count()
     summary = metrics.table_scores(metrics.summary(observed, config.thresholds), F.lit(total.methods), F.lit(total.class_variables), F.lit(total.parameters), F.lit(duplicates), F.lit(total.code_lines), config.scoring, F.lit(complete))
     callables = callable_items(functions)
-    evidence = scoring.structural_evidence(callables, "item_id", policy.CALLABLE_EVIDENCE)
-    owned = metrics.owned(functions, types)
-    type_rows = types.withColumn("item_id", F.concat(F.lit("type:"), F.concat_ws(".", "module", "name"))).withColumn("property_count", F.size("fields"))
-    type_rows = type_rows.join(owned.groupBy("module", F.col("owner").alias("name")).agg(F.count_if(F.col("kind") == "method").alias("method_count"), F.sum("complexity").alias("wmcc")), ["module", "name"], "left").fillna(0, ["method_count", "wmcc"])
-    evidence = evidence.unionByName(scoring.structural_evidence(type_rows, "item_id", policy.TYPE_EVIDENCE)).unionByName(scoring.oversized_type_evidence(type_rows, "item_id"))
-    per_file = clones.duplicate_lines_per_file(blocks)
-    file_rows = files.select("path", "module", "code_lines").join(fragments.groupBy("path").agg(F.count("*").alias("type_count")), "path", "left").join(functions.groupBy("path").agg(F.count("*").alias("callable_count")), "path", "left")
-    file_rows = file_rows.join(per_file.withColumnRenamed("file", "path"), "path", "left").fillna(0, ["type_count", "callable_count", "duplicate_lines"]).withColumn("item_id", F.concat(F.lit("file:"), "path"))
-    module_rows = file_rows.groupBy("module").agg(F.sum("code_lines").alias("code_lines"), F.count("*").alias("file_count"), F.sum("type_count").alias("type_count"), F.sum("callable_count").alias("callable_count")).withColumn("item_id", F.concat(F.lit("module:"), "module"))
-    evidence = evidence.unionByName(scoring.structural_evidence(file_rows, "item_id", policy.FILE_EVIDENCE)).unionByName(scoring.structural_evidence(module_rows, "item_id", policy.MODULE_EVIDENCE))
-    effects = scoring.effect_evidence(extract.table(found, "effects"))
-    evidence = evidence.unionByName(effects.select(
-        F.concat(F.lit("callable:"), "function").alias("item_id"), F.concat_ws(":", "function", F.lit("effect"), "category").alias("id"), F.concat(F.lit("swift.side-effect."), "category").alias("kind"), F.lit("optional").alias("requirement"), F.lit("available").alias("state"),
-        F.lit(None).cast("string").alias("reason"), F.lit(1.0).alias("weight"), F.col("score").alias("normalized_score"), F.col("n").cast("string").alias("raw_value"),
-    ))
-    evidence = cut(evidence)
-    scored = scoring.composite_scores(evidence)
-    places = callables.select("item_id", F.col("name").alias("display_name"), F.lit("callable").alias("level"), F.col("path").alias("file"), "line").unionByName(
-        file_rows.select("item_id", F.col("path").alias("display_name"), F.lit("file").alias("level"), F.col("path").alias("file"), F.lit(1).cast("long").alias("line"))
-    ).dropDuplicates(["item_id"])
-    items = scored.join(places, "item_id", "left").join(scoring.explain_items(evidence), "item_id", "left")
-    items = items.select(F.col("item_id").alias("id"), F.coalesce("display_name", "item_id").alias("display_name"), F.coalesce("level", F.substring_index("item_id", ":", 1)).alias("level"), "file", "line", "score", scoring.priority(F.col("score"), config.preset).alias("priority"), "category")
-    return Analysis(found, observed, summary, metrics.findings(observed, limits), blocks, items, evidence, diagnostics, complete)
+    type_rows = type_items(types, fragments, functions)
+    file_rows = file_items(files, lines, type_rows, callables, clones.physical_lines_per_file(blocks, lines))
+    module_rows = module_items(file_rows, type_rows, callables)
+    items = cut(callables.select(*ITEM).unionByName(type_rows.select(*ITEM)).unionByName(file_rows.select(*ITEM)).unionByName(module_rows.select(*ITEM)))
+    rows = evidence.structural(callables, policy.CALLABLE_EVIDENCE).unionByName(evidence.structural(type_rows, policy.TYPE_EVIDENCE)).unionByName(evidence.oversized(type_rows))
+    rows = rows.unionByName(evidence.structural(file_rows, policy.FILE_EVIDENCE)).unionByName(evidence.structural(module_rows, policy.MODULE_EVIDENCE))
+    rows = rows.unionByName(evidence.attach(items, evidence.functional(functions, extract.table(found, "effects"), extract.table(found, "compositions"), extract.table(found, "risks"))))
+    rows = rows.unionByName(evidence.attach_contexts(items, graph.context(graph_edges(found, types))))
+    provided = evidence.history_evidence(items, commits, reference)
+    if entries is not None or unreadable:
+        provided = provided.unionByName(evidence.coverage_evidence(items, entries, unreadable))
+    rows = cut(rows.unionByName(evidence.merge(items, provided)))
+    scored = scoring.composite_scores(rows, ["item_key"]).select("item_key", "score")
+    told = evidence.explained(items.join(scored, "item_key", "left"), evidence.breakdown(rows))
+    told = cut(told.withColumn("priority", scoring.priority(F.col("score"), config.preset)).withColumnRenamed("item_id", "id"))
+    shown, rolled = evidence.by_strategy(told, told.withColumnRenamed("id", "item_id"), rows, config.aggregation, config.preset)
+    return Analysis(found, observed, summary, metrics.findings(observed, limits), blocks, shown, rows, diagnostics, complete, rolled, evidence.summary(told, shown, rolled))
+
+
+def graph_edges(found: DataFrame, types: DataFrame | None = None) -> DataFrame:
+    """(source, target, name, confidence, kind, file, line, column, is_test): type references, calls
+    and dependencies between modules."""
+    functions, calls, fragments = (extract.table(found, k) for k in ("functions", "calls", "fragments"))
+    types = metrics.merged_types(fragments) if types is None else types
+    ids = F.concat(F.lit("callable:"), F.col("name"), F.lit("@"), F.concat_ws(":", "path", F.col("line").cast("string"), F.col("column").cast("string")))
+    callables = functions.select(ids.alias("callable_id"), F.col("name").alias("full_name"), "path", F.col("line").alias("of_line"), F.col("column").alias("of_column"), F.concat_ws(".", "module", "owner").alias("__type"), F.col("owner").isNotNull().alias("__owned"), "module")
+    sites = calls.drop("module", "function").join(callables.select(F.col("callable_id").alias("caller"), "path", "of_line", "of_column", "module", F.when(F.col("__owned"), F.col("__type")).otherwise(F.col("module")).alias("owner")), ["path", "of_line", "of_column"])
+    sites = sites.withColumn("call_id", F.concat_ws("|", "caller", F.col("line").cast("string"), F.col("column").cast("string"))).dropDuplicates(["call_id"])
+    got = sites.join(resolve.resolve_calls(sites, callables), "call_id")
+    called = got.select(F.col("caller").alias("source"), F.col("callable_id").alias("target"), F.when(F.col("outcome") != resolve.RESOLVED, F.concat(F.substring_index("callee", ".", -1), F.lit("("), F.col("labels"), F.lit(")"))).alias("name"), F.col("outcome").alias("confidence"), F.lit("call").alias("kind"), F.col("path").alias("file"), "line", "column")
+    typed = cut(type_edges(fragments, types))
+    module_of = lambda c: F.substring_index(F.substring_index(c, ":", -1), ".", 1)
+    across = typed.filter("confidence = 'resolved'").withColumn("a", module_of("source")).withColumn("b", module_of("target")).filter("a <> b")
+    modules = across.select(F.concat(F.lit("module:"), "a").alias("source"), F.concat(F.lit("module:"), "b").alias("target"), F.lit(None).cast("string").alias("name"), F.lit("resolved").alias("confidence"), F.lit("moduleDependency").alias("kind"), "file", "line", "column").distinct()
+    every = typed.unionByName(called).unionByName(modules)
+    return every.withColumn("__module", module_of("source")).withColumn("is_test", is_test_source("file", "__module")).drop("__module")
 
 
 def dependency_graph(found: DataFrame) -> dict[str, DataFrame]:
-    """Call edges with confidence, coupling, contexts and statistics."""
-    functions, calls = extract.table(found, "functions"), extract.table(found, "calls")
-    ids = F.concat(F.lit("callable:"), F.col("name"), F.lit("@"), F.concat_ws(":", "path", F.col("line").cast("string"), F.col("column").cast("string")))
-    callables = functions.select(ids.alias("callable_id"), F.col("name").alias("full_name"), "path", "name", "owner", "module")
-    sites = calls.join(callables.select(F.col("callable_id").alias("caller"), "path", F.col("name").alias("function"), F.concat_ws(".", "module", "owner").alias("owner")), ["path", "function"])
-    sites = sites.withColumn("call_id", F.concat_ws("|", "caller", F.col("line").cast("string"), F.col("column").cast("string")))
-    got = resolve.resolve_calls(sites, callables)
-    edges = got.select(F.substring_index("call_id", "|", 1).alias("source"), F.coalesce("callable_id", F.concat(F.lit("?"), "call_id")).alias("target"), F.col("outcome").alias("confidence"))
-    return {"edges": edges, "coupling": graph.coupling(edges), "context": graph.context(edges), "statistics": graph.statistics(edges)}
+    """All edges with confidence, coupling, contexts, neighbours and statistics."""
+    edges = graph_edges(found)
+    return {"edges": edges, "coupling": graph.coupling(edges.filter("target is not null"), "is_test"), "context": graph.context(edges), "neighbours": graph.neighbours(edges), "statistics": graph.statistics(edges)}
 
 
 def repository_rules(found: DataFrame) -> dict[str, object]:

@@ -1,4 +1,4 @@
-"""Queries over findings, snapshots and events: days of events as snapshots."""
+"""Queries over findings, snapshots and events: the halves of a month as snapshots."""
 
 from __future__ import annotations
 
@@ -8,25 +8,28 @@ from ..operators import lifecycle
 from ..operators.shared import cut
 from . import bindings as b
 
-_PRIOR, _CURRENT = "2024-01-10", "2024-01-11"
-
-
-def _day(s, d, day):
-    ev = b.t(s, d, "events").filter(F.date_format("ts", "yyyy-MM-dd") == day)
+def _side(s, d, current: bool):
+    """The events of a half of the month as a snapshot; a finding's place is a user's day of it."""
+    ev = b.t(s, d, "events").withColumn("day", F.dayofmonth("ts") - 1).filter(F.col("day") >= 15 if current else F.col("day") < 15)
+    user, slot = F.col("user_id").cast("string"), F.col("day") % 15
+    group = F.concat(user, F.lit("/"), F.floor(slot / 3).cast("string"))
     return ev.select(
-        F.col("event_id").alias("id"), F.col("event_type").alias("rule"), (F.col("user_id") % 40).alias("source"), F.hour("ts").alias("line"), F.minute("ts").alias("column"),
-        F.concat(F.lit("s"), F.floor(F.col("value") / 25).cast("string")).alias("subject_digest"), F.when(F.col("event_id") % 29 != 0, F.concat(F.lit("d"), (F.col("user_id") % 40).cast("string"))).alias("decl_digest"),
+        F.col("event_id").alias("id"), F.concat_ws("/", "event_type", user).alias("rule"), F.concat_ws("/", user, slot.cast("string")).alias("source"), F.hour("ts").alias("line"), F.minute("ts").alias("column"),
+        F.concat(F.lit("s"), group, F.lit("/"), F.floor(F.col("value") / 25).cast("string")).alias("subject_digest"), F.when(F.col("event_id") % 29 != 0, F.concat(F.lit("d"), group)).alias("decl_digest"),
     )
 
 
 def _renames(s, d):
-    return s.range(40).filter("id % 4 = 0").select(F.col("id").alias("prior"), ((F.col("id") + 1) % 40).alias("current"))
+    """Of every fourth user, a day's place becomes the next day's."""
+    users = b.t(s, d, "events").select("user_id").distinct().filter("user_id % 4 = 0").select(F.col("user_id").cast("string").alias("u"), F.explode(F.sequence(F.lit(0), F.lit(13))).alias("k"))
+    return users.select(F.concat_ws("/", "u", F.col("k").cast("string")).alias("prior"), F.concat_ws("/", "u", (F.col("k") + 1).cast("string")).alias("current"))
 
 
-SIDES_SQL = f"""
-ev as (select event_id id, event_type r, user_id % 40 src, hour(ts) l, minute(ts) c, 's' || cast(floor(value / 25) as bigint) sd, case when event_id % 29 <> 0 then 'd' || (user_id % 40) end dd, strftime(ts, '%Y-%m-%d') dy from events),
-pc as (select * from ev where dy = '{_PRIOR}'), pd as (select * from ev where dy = '{_CURRENT}'),
-pr as (select pc.id ca, pd.id de, pc.sd = pd.sd sm, pc.dd = pd.dd dm, pc.src = pd.src here, pc.l <> pd.l or pc.c <> pd.c moved, pc.src % 4 = 0 and pd.src = (pc.src + 1) % 40 ren, pc.dd is not null and pd.dd is not null ok
+SIDES_SQL = """
+ev as (select event_id id, event_type || '/' || user_id r, user_id || '/' || ((day(ts) - 1) % 15) src, user_id u, (day(ts) - 1) % 15 k, hour(ts) l, minute(ts) c, user_id || '/' || ((day(ts) - 1) % 15 // 3) g, floor(value / 25) v, event_id, day(ts) - 1 dy from events),
+e2 as (select id, r, src, u, k, l, c, 's' || g || '/' || cast(v as bigint) sd, case when event_id % 29 <> 0 then 'd' || g end dd, dy from ev),
+pc as (select * from e2 where dy < 15), pd as (select * from e2 where dy >= 15),
+pr as (select pc.id ca, pd.id de, pc.sd = pd.sd sm, pc.dd = pd.dd dm, pc.src = pd.src here, pc.l <> pd.l or pc.c <> pd.c moved, pc.u % 4 = 0 and pc.u = pd.u and pd.k = pc.k + 1 ren, pc.dd is not null and pd.dd is not null ok
   from pc join pd on pc.r = pd.r and (pc.sd = pd.sd or pc.dd = pd.dd or pc.dd is null or pd.dd is null)),
 re as (select *, case when not ok then 'ambiguous' when sm and dm and (here or ren) then 'supported' when sm or dm then 'ambiguous' end rel from pr),
 r1 as (select ca, de, rel, array_to_string(list_filter([case when not ok then 'continuity-evidence-unavailable' end, case when ok and sm and dm then 'structural-anchor-match' end, case when ok and sm and dm and here and moved then 'source-location-moved' end,
@@ -39,7 +42,7 @@ ma as (select ca, de from rl where rel = 'supported' and ca in (select ca from r
 
 
 def _outcome(s, d):
-    return lifecycle.reconcile(cut(_day(s, d, _PRIOR)), cut(_day(s, d, _CURRENT)), _renames(s, d))
+    return lifecycle.reconcile(cut(_side(s, d, False)), cut(_side(s, d, True)), _renames(s, d))
 
 
 def reconcile_relations(s, d):
@@ -77,18 +80,18 @@ NEW_ABSENT = f"with {SIDES_SQL} select cast(id as varchar) id, 'new' as side fro
 
 
 def lifecycle_events(s, d):
-    cands = _day(s, d, _PRIOR).withColumn("state", F.when(F.col("id") % 3 == 0, "resolved").otherwise("open"))
+    cands = _side(s, d, False).withColumn("state", F.when(F.col("id") % 3 == 0, "resolved").otherwise("open"))
     proven = cands.filter("id % 2 = 0").select("id")
-    return lifecycle.events_for(_outcome(s, d), cands, "snap", proven).groupBy("kind").agg(F.count("*").alias("events"))
+    return lifecycle.events_for(_outcome(s, d), cands, "snap", proven).select("finding", "event_id", "kind")
 
 
 EVENTS = f"""
-with {SIDES_SQL}
-select kind, count(*) as events from (
-  select case when ca % 3 = 0 then 'reopened' else 'observed' end kind from ma
-  union all select 'opened' from pd where id not in (select de from rl)
-  union all select case when id % 2 = 0 then 'resolved' else 'unverified' end from pc where id not in (select ca from rl) and id % 3 <> 0
-  union all select 'continuity-ambiguous' from (select distinct ca from rl where ca not in (select ca from ma))) group by 1
+with {SIDES_SQL}, e as (
+  select cast(ca as varchar) finding, case when ca % 3 = 0 then 'reopened' else 'observed' end kind from ma
+  union all select 'finding:snap:' || id, 'opened' from pd where id not in (select de from rl)
+  union all select cast(id as varchar), case when id % 2 = 0 then 'resolved' else 'unverified' end from pc where id not in (select ca from rl) and id % 3 <> 0
+  union all select cast(ca as varchar), 'continuity-ambiguous' from (select distinct ca from rl where ca not in (select ca from ma)))
+select finding, 'event:' || finding || ':snap:' || kind event_id, kind from e
 """
 
 

@@ -32,7 +32,7 @@ CLONE_BLOCKS = f"with {LINES_SQL} select file1, start1, file2, start2, lines fro
 
 
 def clone_unique_lines(s, d):
-    return clones.duplicate_lines_per_file(clones.blocks(b.document_lines(s, d), _WIDTH, 50_000_000))
+    return clones.cloned_lines(b.document_lines(s, d), _WIDTH).groupBy("file").agg(F.count("*").alias("duplicate_lines"))
 
 
 CLONE_UNIQUE = f"""with {LINES_SQL}, u as (select distinct file, ord from (select file1 file, unnest(generate_series(start1, start1 + lines - 1)) ord from bl union all select file2, unnest(generate_series(start2, start2 + lines - 1)) from bl))
@@ -110,14 +110,23 @@ select coalesce(i.id, o.id) id, coalesce(a, 0) afferent, coalesce(e, 0) efferent
 
 
 def graph_context(s, d):
-    out = graph.context(_graph(s, d).filter("target < 3 or source < 3"))
-    return out.select("id", F.array_join("upstream", ",").alias("upstream"), F.array_join("downstream", ",").alias("downstream"), F.col("callers").cast("long").alias("callers"), "score")
+    return graph.context(_graph(s, d))
 
 
 GRAPH_CONTEXT = f"""
-with {GRAPH_SQL}, r as (select distinct source, target from g where confidence = 'resolved' and (target < 3 or source < 3)),
-i as (select target id, count(*) n, string_agg(cast(source as varchar), ',' order by source) l from r group by 1), o as (select source id, count(*) n, string_agg(cast(target as varchar), ',' order by target) l from r group by 1)
-select coalesce(i.id, o.id) id, coalesce(i.l, '') upstream, coalesce(o.l, '') downstream, coalesce(i.n, 0) callers, cast(least(100.0, 15 * coalesce(i.n, 0) + 10 * coalesce(o.n, 0)) as double) score from i full join o on i.id = o.id
+with {GRAPH_SQL}, r as (select distinct source, target from g where confidence = 'resolved'),
+i as (select target id, count(*) n from r group by 1), o as (select source id, count(*) n from r group by 1)
+select coalesce(i.id, o.id) id, coalesce(i.n, 0) fan_in, coalesce(o.n, 0) fan_out, coalesce(i.n, 0) callers, cast(least(100.0, 15 * coalesce(i.n, 0) + 10 * coalesce(o.n, 0)) as double) score from i full join o on i.id = o.id
+"""
+
+
+def graph_neighbours(s, d):
+    return graph.neighbours(_graph(s, d))
+
+
+GRAPH_NEIGHBOURS = f"""
+with {GRAPH_SQL}, r as (select distinct source, target from g where confidence = 'resolved')
+select source as id, 'upstream' as direction, target as neighbour from r union all select target, 'downstream', source from r
 """
 
 
@@ -162,14 +171,14 @@ def coverage_match(s, d):
     path = F.regexp_extract("url", r"://([^?#]*)", 1)
     pages = b.t(s, d, "pages")
     ents = pages.select(path.alias("path"))
-    recs = pages.filter("page_id % 3 = 0").select(F.when(F.col("page_id") % 2 == 0, path).otherwise(F.regexp_replace(path, "^[^/]*/", "")).alias("source_path"), F.col("page_id").alias("record_order"))
+    recs = pages.select(F.when(F.col("page_id") % 2 == 0, path).otherwise(F.regexp_replace(path, "^[^/]*/", "")).alias("source_path"), F.col("page_id").alias("record_order"))
     return coverage.match_paths(ents, recs.filter("source_path <> ''"))
 
 
 COVERAGE_MATCH = r"""
 with p as (select page_id, regexp_extract(url, '://([^?#]*)', 1) path from pages),
 e as (select distinct path, trim(path, '/') n from p),
-r as (select source_path, min(page_id) o, trim(source_path, '/') n from (select page_id, case when page_id % 2 = 0 then path else regexp_replace(path, '^[^/]*/', '') end source_path from p where page_id % 3 = 0) where source_path <> '' group by 1),
+r as (select source_path, min(page_id) o, trim(source_path, '/') n from (select page_id, case when page_id % 2 = 0 then path else regexp_replace(path, '^[^/]*/', '') end source_path from p) where source_path <> '' group by 1),
 m as (select e.path, r.source_path, r.o, case when e.n = r.n then 0 else 1 end prio from e join r on e.n = r.n or e.n like '%/' || r.n or r.n like '%/' || e.n),
 b as (select *, row_number() over (partition by path order by prio, o, source_path) k from m)
 select e.path, b.source_path matched, case b.prio when 0 then 'exact' when 1 then 'suffix' else 'missingFile' end strategy from e left join b on e.path = b.path and k = 1
@@ -188,7 +197,23 @@ def coverage_functions(s, d):
         F.when(F.col("l_partkey") % 5 == 0, F.concat(F.lit("M.f"), F.col("l_suppkey") % 9)).when(F.col("l_partkey") % 5 == 1, F.concat(F.lit("N.f"), F.col("l_suppkey") % 9)).otherwise(F.lit("other")).alias("name"), (F.col("l_suppkey") % 60).alias("line"),
     )
     m = coverage.match_functions(ents, fn.unionByName(fh).unionByName(da))
-    return coverage.callable_coverage(m).groupBy("strategy", "state").agg(F.count("*").alias("entities"))
+    return coverage.callable_coverage(m).select("entity_id", "strategy", "hits", "state", "score")
+
+
+COVERAGE_FUNCTIONS = """
+with li as (select l_orderkey o, l_partkey p, min(l_suppkey) s from lineitem group by 1, 2),
+en as (select o, p, o || ':' || p entity_id, case when p % 5 = 0 then 'M.f' || (s % 9) when p % 5 = 1 then 'N.f' || (s % 9) else 'other' end nm, s % 60 line from li),
+h as (select o, 'M.f' || (p % 9) f, max(s % 2) hits from li group by 1, 2), fn as (select o, 'M.f' || (p % 9) f, p % 40 line from li),
+kn as (select fn.*, coalesce(h.hits, 0) hits from fn left join h using (o, f)),
+c as (select entity_id, 0 prio, kn.line fl, hits from en join kn on en.o = kn.o and en.nm = kn.f
+  union all select entity_id, 1, kn.line, hits from en join kn on en.o = kn.o and split_part(en.nm, '.', -1) = split_part(kn.f, '.', -1)
+  union all select entity_id, 2, k.line, k.hits from en join (select o, line, max(hits) hits from kn group by 1, 2 having count(*) = 1) k on en.o = k.o and en.line = k.line
+  union all select entity_id, 3, k.line, k.hits from en join (select o, p % 60 line, max(s % 3) hits from li group by 1, 2) k on en.o = k.o and en.line = k.line),
+r as (select *, row_number() over (partition by entity_id order by prio, fl, hits) n from c)
+select en.entity_id, case r.prio when 0 then 'exactName' when 1 then 'dottedSuffix' when 2 then 'startLine' when 3 then 'executableLine' else 'unmatchedEntity' end strategy, r.hits,
+  case when r.hits is null then 'unavailable' when r.hits > 0 then 'measuredCoverage' else 'zeroCoverage' end state, case when r.hits > 0 then 100.0 when r.hits = 0 then 0.0 end score
+from en left join r on r.entity_id = en.entity_id and r.n = 1
+"""
 
 
 # --- history -------------------------------------------------------------------------------
@@ -221,13 +246,13 @@ def blame_aged(s, d):
     li = b.t(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_shipdate").alias("r"), F.max("l_returnflag").alias("f"))
     blame = li.filter("l_orderkey % 11 <> 0 or l_linenumber <> 2").select(F.col("l_orderkey").alias("source"), F.col("l_linenumber").alias("line"), F.date_format("r", "yyyy-MM-dd").alias("revision"))
     det = li.filter("f = 'R'").select(F.col("l_orderkey").alias("source"), F.col("l_linenumber").alias("line"))
-    return history.aged_detections(det, blame, "1996-03-01").groupBy("outcome").agg(F.count("*").alias("detections"))
+    return history.aged_detections(det, blame, "1996-03-01").select("source", "line", "revision", "outcome")
 
 
 BLAME = """
 with l as (select l_orderkey s, l_linenumber n, max(l_shipdate) r, max(l_returnflag) f from lineitem group by 1, 2), x as (select s, n, case when s % 11 <> 0 or n <> 2 then strftime(r, '%Y-%m-%d') end rev from l where f = 'R'),
 m as (select s, count(*) filter (rev is null) c from x group by 1)
-select case when c > 0 then 'unsupported' else 'committed' end outcome, count(*) detections from x join m using (s) where c > 0 or rev <> '1996-03-01' group by 1
+select s source, n line, rev revision, case when c > 0 then 'unsupported' else 'committed' end outcome from x join m using (s) where c > 0 or rev <> '1996-03-01'
 """
 
 
@@ -421,8 +446,8 @@ UPSERT = "with n as (select vec_id + 3 id, label + 100 as label from embeddings
 
 QUERIES = {
     "clone_blocks": (clone_blocks, CLONE_BLOCKS), "clone_unique_lines": (clone_unique_lines, CLONE_UNIQUE), "clone_candidates": (clone_candidates, CLONE_CANDIDATES), "resolve_refs": (resolve_refs, RESOLVE), "resolve_types": (resolve_types, RESOLVE_TYPES),
-    "graph_coupling": (graph_coupling, GRAPH_COUPLING), "graph_context": (graph_context, GRAPH_CONTEXT), "graph_stats": (graph_stats, GRAPH_STATS), "graph_dot": (graph_dot, GRAPH_DOT), "lcov_roundtrip": (lcov_roundtrip, LCOV), "coverage_match": (coverage_match, COVERAGE_MATCH),
-    "coverage_functions": (coverage_functions, None), "history_evidence": (history_evidence, HISTORY), "blame_aged": (blame_aged, BLAME), "compare_reports": (compare_reports, COMPARE), "validate_improvement": (validate_improvement, VALIDATE), "missing_evidence_delta": (missing_evidence_delta, MISSING),
+    "graph_coupling": (graph_coupling, GRAPH_COUPLING), "graph_context": (graph_context, GRAPH_CONTEXT), "graph_neighbours": (graph_neighbours, GRAPH_NEIGHBOURS), "graph_stats": (graph_stats, GRAPH_STATS), "graph_dot": (graph_dot, GRAPH_DOT), "lcov_roundtrip": (lcov_roundtrip, LCOV), "coverage_match": (coverage_match, COVERAGE_MATCH),
+    "coverage_functions": (coverage_functions, COVERAGE_FUNCTIONS), "history_evidence": (history_evidence, HISTORY), "blame_aged": (blame_aged, BLAME), "compare_reports": (compare_reports, COMPARE), "validate_improvement": (validate_improvement, VALIDATE), "missing_evidence_delta": (missing_evidence_delta, MISSING),
     "performance_gate": (performance_gate, GATE), "closed_clumps": (closed_clumps, CLUMPS), "repeated_shapes": (repeated_shapes, SHAPES), "fact_budget": (fact_budget, BUDGET), "stale_sources": (stale_sources, STALE), "evidence_fingerprint": (evidence_fingerprint, FINGERPRINT),
     "rule_grid_complete": (rule_grid, RULE_GRID), "knn_cosine": (_knn("cosine"), _KNN.format(dist=_COS, where="")), "knn_l2": (_knn("l2"), _KNN.format(dist=_L2, where="")), "knn_filtered": (knn_filtered, KNN_FILTERED), "knn_batch": (knn_batch, KNN_BATCH), "vector_upsert": (vector_upsert, UPSERT),
 }

@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Lines of a report that one task's window runs over.
+STRETCH = 50_000
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(report, ord, value): the numbered lines of each file."""
     whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("report"), "value")
@@ -28,10 +32,18 @@ def records(lines: DataFrame) -> DataFrame:
     value = F.trim("value")
     starts = value.startswith("SF:")
     ends = value == "end_of_record"
-    by = Window.partitionBy("report").orderBy("ord")
-    tagged = lines.withColumn("__sf", F.when(starts, F.col("ord"))).withColumn("__end", F.when(ends, F.col("ord")))
-    tagged = tagged.withColumn("__open", F.last("__sf", ignorenulls=True).over(by)).withColumn("__closed", F.last("__end", ignorenulls=True).over(by))
-    tagged = tagged.withColumn("__next", F.first("__sf", ignorenulls=True).over(by.rowsBetween(0, Window.unboundedFollowing)))
+    # A report is dealt out in stretches of STRETCH lines: what a stretch must know of the others is
+    # one row, and inside it the windows run over its own lines only.
+    part = F.floor(F.col("ord") / STRETCH).alias("__part")
+    tagged = lines.withColumn("__part", part).withColumn("__sf", F.when(starts, F.col("ord"))).withColumn("__end", F.when(ends, F.col("ord")))
+    marks = tagged.groupBy("report", "__part").agg(F.min("__sf").alias("__first"), F.max("__sf").alias("__last"), F.max("__end").alias("__ended"))
+    over = Window.partitionBy("report").orderBy("__part")
+    earlier, later = over.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("report").orderBy(F.desc("__part")).rowsBetween(Window.unboundedPreceding, -1)
+    marks = marks.select("report", "__part", F.max("__last").over(earlier).alias("__sf_before"), F.max("__ended").over(earlier).alias("__end_before"), F.min("__first").over(later).alias("__sf_behind"))
+    by = Window.partitionBy("report", "__part").orderBy("ord")
+    back = Window.partitionBy("report", "__part").orderBy(F.desc("ord"))
+    tagged = tagged.select("*", F.max("__sf").over(by).alias("__o"), F.max("__end").over(by).alias("__c"), F.min("__sf").over(back).alias("__n")).join(marks, ["report", "__part"])
+    tagged = tagged.withColumn("__open", F.coalesce("__o", "__sf_before")).withColumn("__closed", F.coalesce("__c", "__end_before")).withColumn("__next", F.coalesce("__n", "__sf_behind"))
     inside = F.col("__open").isNotNull() & (F.col("__closed").isNull() | (F.col("__closed") < F.col("__open")))
     placed = tagged.withColumn("record", F.when(inside, F.col("__open")).otherwise(F.col("__next"))).filter(F.col("record").isNotNull())
     paths = lines.filter(starts).select("report", F.col("ord").alias("record"), F.expr("substring(trim(value), 4)").alias("source_path"))
