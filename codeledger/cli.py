@@ -8,9 +8,10 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .operators import compare, lifecycle, scoring
+from .operators import compare, coverage, evidence, history, lifecycle, scoring
+from .sinks import debt, metrics
 from .sinks import reports as sink
-from .sources import files, reports
+from .sources import files, lcov, reports
 
 
 def _session() -> SparkSession:
@@ -18,10 +19,12 @@ def _session() -> SparkSession:
 
 
 def _show(lines, out: str | None) -> None:
+    """All lines, to a file or to the console a part at a time."""
     if out:
         sink.write_text(lines, out)
     else:
-        print("\n".join(r.line for r in lines.orderBy("ord").limit(10_000).collect()))
+        for r in lines.orderBy("ord").toLocalIterator():
+            print(r.line)
 
 
 def _config(path: str | None) -> files.WorkspaceConfiguration:
@@ -30,18 +33,81 @@ def _config(path: str | None) -> files.WorkspaceConfiguration:
     return files.WorkspaceConfiguration.parse(_session().read.text(path, wholetext=True).first()[0])
 
 
-def analyze(a: argparse.Namespace) -> int:
+def _sources(a: argparse.Namespace, config: files.WorkspaceConfiguration):
+    spark = _session()
+    return files.scan_manifest(spark, a.path) if a.manifest else files.scan_directory(spark, a.path, excludes=config.excludes + (a.exclude or []), maximum=config.maximum_file_bytes)
+
+
+def _analysis(a: argparse.Namespace):
+    """The analysis of a path with whatever coverage and history it is given."""
     from .plans import analysis
 
     spark, config = _session(), _config(a.config)
-    sources = files.scan_manifest(spark, a.path) if a.manifest else files.scan_directory(spark, a.path, excludes=config.excludes + (a.exclude or []), maximum=config.maximum_file_bytes)
-    done = analysis.analyze(sources, config)
-    kept = scoring.filter_items(done.items.withColumn("kinds", F.array("category")), a.level, a.category, a.min_score, a.min_priority)
-    _show(sink.render(scoring.limited(kept, a.top, None, a.tail), a.format), a.output)
+    if getattr(a, "aggregation", None):
+        config.aggregation = a.aggregation
+    entries, unreadable = None, None
+    if a.lcov:
+        try:
+            entries = lcov.records(lcov.read(spark, a.lcov))
+            entries.limit(1).collect()
+        except Exception as e:
+            entries, unreadable = None, f"LCOV unavailable: {type(e).__name__}"
+    commits = None
+    if a.history:
+        raw = spark.read.schema("path string, log string").json(a.history)
+        commits = history.parse_log(raw, "path", "log")
+    return analysis.analyze(_sources(a, config), config, entries, commits, a.reference_time or config.reference_time, unreadable), config
+
+
+def analyze(a: argparse.Namespace) -> int:
+    from .plans import analysis
+
+    done, _ = _analysis(a)
+    kept = scoring.filter_items(done.items, a.level, a.category, a.min_score, a.min_priority)
+    done.items = scoring.limited(kept, a.top, None, a.tail)
+    if a.format in debt.FORMATS:
+        done.totals = evidence.summary(kept, done.items, done.aggregations)
+        lines = debt.render(done, a.format, analysis.graph_edges(done.facts) if a.format == "debt-dot" else None)
+    elif a.format == "metrics-csv":
+        lines = metrics.csv(done.observations, done.summary)
+    elif a.format == "metrics-json":
+        lines = metrics.json(done.observations, done.summary, done.findings)
+    elif a.format == "metrics-html":
+        lines = metrics.html(done.observations, done.summary)
+    elif a.format == "metrics-text":
+        lines = metrics.text(done.summary, done.findings, done.diagnostics, [f"codeledger - {'complete' if done.complete else 'INCOMPLETE'}"])
+    elif a.format == "diagnostics":
+        lines = metrics.diagnostics(done.findings, done.diagnostics, a.path)
+    else:
+        lines = sink.render(done.items, a.format)
+    _show(lines, a.output)
     if not done.complete:
         return 2
-    if a.max_score is not None and scoring.over_maximum(done.items.withColumnRenamed("id", "item_id"), a.max_score).first().violations:
-        return 1
+    return _over(done, a.max_score)
+
+
+def _over(done, maximum: float | None) -> int:
+    if maximum is None:
+        return 0
+    return int(bool(scoring.over_maximum(done.items.withColumnRenamed("id", "item_id"), maximum).first().violations))
+
+
+def validate(a: argparse.Namespace) -> int:
+    """Whether no item scores above the maximum."""
+    done, config = _analysis(a)
+    limit = a.max_score if a.max_score is not None else config.max_score
+    if limit is None:
+        raise ValueError("a maximum score is needed, as an option or in the configuration")
+    row = scoring.over_maximum(done.items.withColumnRenamed("id", "item_id"), limit).first()
+    print(f"violations={row.violations} worst={row.worst_id or '-'}")
+    return 2 if not done.complete else int(bool(row.violations))
+
+
+def explain_coverage(a: argparse.Namespace) -> int:
+    """How each item was matched with the coverage report, and what matched nothing."""
+    done, _ = _analysis(a)
+    rows = done.evidence.filter("kind = 'coverage.lcov'").select(F.col("item_id").alias("entity_id"), F.col("file").alias("path"), F.when(F.col("state") != "missingFile", F.col("file")).alias("matched"), F.col("note").alias("strategy"))
+    _show(sink.ordered(rows.withColumn("__entity", F.col("entity_id")), ["__entity", "path"], coverage.diagnostic_line()), a.output)
     return 0
 
 
@@ -70,35 +136,73 @@ def performance_gate(a: argparse.Namespace) -> int:
     return 0 if row.passed else 2 if not row.comparable else 1
 
 
-def lifecycle_inventory(a: argparse.Namespace) -> int:
-    spark = _session()
-    tables = reports.artifact(spark, a.artifact)
+def _events(spark: SparkSession, path: str):
+    """Events of an artifact with the depth of their snapshot."""
+    tables = reports.artifact(spark, path)
     snaps = tables["snapshots"]
     edges = snaps.filter("parent_id is not null").select(F.col("id").alias("child"), F.col("parent_id").alias("parent"))
     depth = lifecycle.ancestors(edges, snaps.select("id")).groupBy("id").agg(F.max("distance").alias("position"))
-    events = tables["events"].join(depth.withColumnRenamed("id", "snapshot_id"), "snapshot_id")
-    lifecycle.current_state(events).orderBy("finding").show(1000, truncate=False)
+    return tables, tables["events"].join(depth.withColumnRenamed("id", "snapshot_id"), "snapshot_id")
+
+
+def lifecycle_inventory(a: argparse.Namespace) -> int:
+    _, events = _events(_session(), a.artifact)
+    rows = lifecycle.current_state(events)
+    _show(sink.ordered(rows, ["finding"], F.format_string("%s %s last=%s events=%d", "finding", "state", "last_kind", "events")), a.output)
+    return 0
+
+
+def lifecycle_explain(a: argparse.Namespace) -> int:
+    """All events of one finding, in order."""
+    _, events = _events(_session(), a.artifact)
+    rows = events.filter(F.col("finding") == a.finding)
+    _show(sink.ordered(rows, ["position", "event_id"], F.format_string("%s %s %s", "snapshot_id", "kind", "event_id")), a.output)
+    return 0 if not rows.isEmpty() else 1
+
+
+def lifecycle_snapshot(a: argparse.Namespace) -> int:
+    """What one snapshot detected."""
+    tables = reports.artifact(_session(), a.artifact)
+    rows = tables["detections"].filter(F.col("snapshot_id") == a.snapshot)
+    _show(sink.ordered(rows, ["source", "line", "column", "rule"], F.format_string("%s:%d:%d: %s %s", "source", "line", "column", "rule", "id")), a.output)
+    return 0
+
+
+def lifecycle_export(a: argparse.Namespace) -> int:
+    """Snapshots, events and detections as JSON lines, each with its kind."""
+    tables = reports.artifact(_session(), a.artifact)
+    out = None
+    for kind, df in tables.items():
+        rows = df.select(F.lit(kind).alias("kind"), F.to_json(F.struct(F.lit(kind).alias("kind"), *df.columns)).alias("text"))
+        out = rows if out is None else out.unionByName(rows)
+    _show(sink.ordered(out, ["kind", "text"], F.col("text")), a.output)
     return 0
 
 
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="codeledger")
     verbs = p.add_subparsers(required=True)
-    v = verbs.add_parser("analyze")
-    v.add_argument("path")
-    v.add_argument("--manifest", action="store_true")
-    v.add_argument("--config")
-    v.add_argument("--exclude", action="append")
-    v.add_argument("--format", choices=sink.FORMATS, default="text")
-    v.add_argument("--output")
-    v.add_argument("--level", action="append")
-    v.add_argument("--category", action="append")
-    v.add_argument("--min-score", type=float)
-    v.add_argument("--min-priority")
-    v.add_argument("--top", type=int)
-    v.add_argument("--tail", type=int)
-    v.add_argument("--max-score", type=float)
-    v.set_defaults(run=analyze)
+    for name, run in (("analyze", analyze), ("validate", validate), ("explain-coverage", explain_coverage)):
+        v = verbs.add_parser(name)
+        v.add_argument("path")
+        v.add_argument("--manifest", action="store_true")
+        v.add_argument("--config")
+        v.add_argument("--exclude", action="append")
+        v.add_argument("--lcov", help="coverage report")
+        v.add_argument("--history", help="JSON lines of path and its commit log")
+        v.add_argument("--reference-time")
+        v.add_argument("--output")
+        v.add_argument("--max-score", type=float)
+        v.set_defaults(run=run)
+        if name == "analyze":
+            v.add_argument("--format", choices=(*sink.FORMATS, *debt.FORMATS, *metrics.FORMATS), default="text")
+            v.add_argument("--aggregation", choices=evidence.STRATEGIES)
+            v.add_argument("--level", action="append")
+            v.add_argument("--category", action="append")
+            v.add_argument("--min-score", type=float)
+            v.add_argument("--min-priority")
+            v.add_argument("--top", type=int)
+            v.add_argument("--tail", type=int)
     for name, run in (("compare", compare_reports), ("validate-improvement", validate_improvement)):
         v = verbs.add_parser(name)
         v.add_argument("before")
@@ -109,9 +213,13 @@ def main(argv: list[str] | None = None) -> int:
     v.add_argument("baseline")
     v.add_argument("candidate")
     v.set_defaults(run=performance_gate)
-    v = verbs.add_parser("lifecycle-inventory")
-    v.add_argument("artifact")
-    v.set_defaults(run=lifecycle_inventory)
+    for name, run, more in (("lifecycle-inventory", lifecycle_inventory, None), ("lifecycle-export", lifecycle_export, None), ("lifecycle-explain", lifecycle_explain, "finding"), ("lifecycle-snapshot", lifecycle_snapshot, "snapshot")):
+        v = verbs.add_parser(name)
+        v.add_argument("artifact")
+        if more:
+            v.add_argument(more)
+        v.add_argument("--output")
+        v.set_defaults(run=run)
     a = p.parse_args(argv)
     return a.run(a)
 

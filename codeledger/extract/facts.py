@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..packaging import ship
@@ -14,8 +14,8 @@ from . import swift
 
 #: Kind -> payload schema.
 TABLES = {
-    "fragments": "module string, name string, kind string, is_extension boolean, line long, column long, code_lines long, property_names array<string>, referenced_types array<string>, imported_modules array<string>",
-    "functions": "name string, kind string, owner string, module string, line long, column long, parameters long, access_level string, code_lines long, complexity long, cognitive long, max_nesting long, bare_refs array<string>, self_refs array<string>, shadowed array<string>",
+    "fragments": "module string, name string, kind string, is_extension boolean, line long, column long, code_lines long, property_names array<string>, referenced_types array<string>, imported_modules array<string>, head string",
+    "functions": "name string, kind string, owner string, module string, line long, column long, parameters long, access_level string, code_lines long, complexity long, cognitive long, max_nesting long, bare_refs array<string>, self_refs array<string>, shadowed array<string>, head string",
     "closures": "owner string, line long, column long, code_lines long, complexity long, cognitive long, max_nesting long, parameters long",
     "effects": "function string, category string, detail string, line long, column long, in_closure boolean, of_line long, of_column long",
     "risks": "category string, detail string, line long, column long, function string, of_line long, of_column long",
@@ -30,9 +30,10 @@ TABLES = {
 }
 
 
-def extract(sources: DataFrame) -> DataFrame:
+def extract(sources: DataFrame, parse: Callable[[str, str, str], swift.Facts] = swift.parse) -> DataFrame:
     """(path, module, fact, payload) of sources (path, module, content); no shuffle.  A file
-    with an error has its diagnostics and an invalid ``files`` row only."""
+    with an error has its diagnostics and an invalid ``files`` row only.  ``parse`` is the front
+    end: (path, module, content) to facts."""
     ship(sources.sparkSession)
     if int(sources.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > 256:
         sources.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
@@ -41,7 +42,7 @@ def extract(sources: DataFrame) -> DataFrame:
         for b in batches:
             out: list[tuple[str, str, str, str]] = []
             for path, module, content in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                facts = swift.parse(path, module, content or "")
+                facts = parse(path, module, content or "")
                 for kind in TABLES:
                     if kind != "files":
                         out += [(path, module, kind, json.dumps(row)) for row in getattr(facts, kind)]
@@ -69,11 +70,15 @@ def diagnostics(facts: DataFrame, strict: bool = False) -> DataFrame:
 
 
 def structural_digests(facts: DataFrame) -> DataFrame:
-    """Detections with digests of their line's tokens and of the enclosing declaration's head."""
+    """Detections with digests of their line's tokens and of the tokens of the head of the
+    declaration they stand in (the last one that begins before them; null before the first).  One
+    ordered pass over a file's heads and detections."""
     det = table(facts, "detections")
     lines = table(facts, "lines").select("path", F.col("number").alias("line"), "signature")
-    heads = table(facts, "functions").select("path", F.col("line").alias("from"), F.col("name").alias("declaration")).unionByName(table(facts, "fragments").select("path", F.col("line").alias("from"), F.col("name").alias("declaration")))
-    inside = det.join(heads, "path").filter(F.col("from") <= F.col("line")).groupBy("path", "rule", "line", "column").agg(F.max_by("declaration", F.struct("from", "declaration")).alias("declaration"))
-    full = det.join(lines, ["path", "line"], "left").join(inside, ["path", "rule", "line", "column"], "left")
+    place = lambda kind: table(facts, kind).select("path", "line", "column", "head", F.lit(0).alias("__order"), F.lit(None).cast("string").alias("rule"))
+    every = place("functions").unionByName(place("fragments")).unionByName(det.select("path", "line", "column", F.lit(None).cast("string").alias("head"), F.lit(1).alias("__order"), "rule"))
+    before = Window.partitionBy("path").orderBy("line", "column", "__order", "head").rowsBetween(Window.unboundedPreceding, 0)
+    inside = every.withColumn("declaration", F.last("head", ignorenulls=True).over(before)).filter("__order = 1").select("path", "rule", "line", "column", "declaration").distinct()
+    full = inside.join(lines, ["path", "line"], "left")
     frame = lambda c: F.sha2(F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c)), 256)
     return full.select("path", "rule", "line", "column", frame("signature").alias("subject_digest"), frame("declaration").alias("decl_digest"))

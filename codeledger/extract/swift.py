@@ -203,7 +203,7 @@ class Scanner:
             self.risk("actorIsolation", at, name, None)
         me = {
             "module": self.module, "name": ".".join([*scope, name]), "kind": kind, "is_extension": kind == "extension", "line": self.t[at].line, "column": self.t[at].column,
-            "code_lines": self.code_lines(start, close + 1), "property_names": [], "referenced_types": sorted(self.references(at + 1, close, name)), "imported_modules": sorted(set(self.facts.imports)),
+            "code_lines": self.code_lines(start, close + 1), "property_names": [], "referenced_types": sorted(self.references(at + 1, close, name)), "imported_modules": sorted(set(self.facts.imports)), "head": " ".join(x.text for x in self.t[start:j]),
         }
         self.facts.fragments.append(me)
         mine: list[dict] = []
@@ -368,7 +368,7 @@ class Scanner:
     def function(self, name: str, kind: str, a: int, b: int, start: int, owner: dict | None, scope: list[str], access: str | None, shadow: list[str], parameters: int) -> int:
         row = {
             "name": name, "kind": kind, "owner": owner["name"] if owner else None, "module": self.module, "line": self.t[start].line, "column": self.t[start].column, "parameters": parameters, "access_level": access,
-            "code_lines": self.code_lines(start, b + 1), "complexity": 1, "cognitive": 0, "max_nesting": 0, "bare_refs": [], "self_refs": [], "shadowed": sorted(set(shadow)),
+            "code_lines": self.code_lines(start, b + 1), "complexity": 1, "cognitive": 0, "max_nesting": 0, "bare_refs": [], "self_refs": [], "shadowed": sorted(set(shadow)), "head": " ".join(x.text for x in self.t[start:a]),
         }
         self.facts.functions.append(row)
         statements = self.body(a, b, row, shadow)

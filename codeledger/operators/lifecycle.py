@@ -210,6 +210,64 @@ def absence_blockers(findings: DataFrame, flags: dict[str, str]) -> DataFrame:
     return findings.withColumn("blockers", codes).withColumn("verified", F.size(codes) == 0)
 
 
+#: Why absence isn't verified, and the one reason why it is.
+ABSENCE_REASONS = ("lineage-incomparable", "scope-incomplete", "rule-omitted", "continuity-candidate-present", "continuity-unresolved")
+ABSENCE_VERIFIED = "complete-comparable-absence"
+
+
+def verified_absence(findings: DataFrame, complete_scope: bool, rules: DataFrame, results: DataFrame, detections: DataFrame, unresolved: DataFrame, comparisons: DataFrame) -> DataFrame:
+    """(id, verified, reasons): whether one snapshot proves that a finding is gone.
+
+    ``findings``: id, rule, in_lineage; ``rules``: the snapshot's rules; ``results``: rule, source,
+    outcome; ``detections``: rule; ``unresolved``: id; ``comparisons``: rule, compatible, reasons (of the
+    rule then and now).  Verified only if no reason stands against it; reasons are distinct and sorted."""
+    ran = rules.select("rule").distinct().withColumn("__ran", F.lit(True))
+    bad = results.filter("outcome <> 'committed'").groupBy("rule").agg(F.collect_set(F.concat(F.lit("atomic-observation-"), "outcome")).alias("__atomic"))  # a few outcomes
+    seen = detections.select("rule").distinct().withColumn("__seen", F.lit(True))
+    unclear = unresolved.select("id").distinct().withColumn("__unclear", F.lit(True))
+    other = comparisons.filter(~F.col("compatible")).select("rule", F.col("reasons").alias("__other"))
+    full = findings.select("id", "rule", "in_lineage").join(ran, "rule", "left").join(bad, "rule", "left").join(seen, "rule", "left").join(other, "rule", "left").join(unclear, "id", "left")
+    none = F.array().cast("array<string>")
+    flags = (~F.coalesce("in_lineage", F.lit(False)), F.lit(not complete_scope), F.col("__ran").isNull(), F.col("__seen").isNotNull(), F.col("__unclear").isNotNull())
+    codes = F.concat(F.filter(F.array(*[F.when(c, F.lit(code)) for c, code in zip(flags, ABSENCE_REASONS, strict=True)]), lambda x: x.isNotNull()), F.coalesce("__atomic", none), F.when(F.col("__ran").isNotNull(), F.coalesce("__other", none)).otherwise(none))
+    blockers = F.array_sort(F.array_distinct(codes))
+    return full.select("id", (F.size(blockers) == 0).alias("verified"), F.when(F.size(blockers) == 0, F.array(F.lit(ABSENCE_VERIFIED))).otherwise(blockers).alias("reasons"))
+
+
+#: What narrows a snapshot's scope, by the flag that says so.
+LIMITATIONS = {
+    "one_file": "one explicit source file was selected", "manifest": "an explicit source manifest was selected", "exclusions": "configured exclusions narrowed source coverage", "skipped_links": "symbolic-link entries were not followed",
+    "skipped_package": "Package.swift was excluded from source coverage", "skipped_directories": "source directories were skipped by discovery policy", "below_root": "the analysis root is below the Git repository root", "no_repository": "a Git repository boundary was unavailable",
+}
+
+
+def scope_of(snapshots: DataFrame) -> DataFrame:
+    """``snapshots`` (with the flags of LIMITATIONS) with scope (repository or partial) and message."""
+    said = F.filter(F.array(*[F.when(F.coalesce(F.col(c), F.lit(False)), F.lit(text)) for c, text in LIMITATIONS.items()]), lambda x: x.isNotNull())
+    return snapshots.withColumn("scope", F.when(F.size(said) == 0, "repository").otherwise("partial")).withColumn("message", F.when(F.size(said) > 0, F.concat(F.array_join(said, "; "), F.lit("."))))
+
+
+def place(arriving: DataFrame, store: DataFrame) -> DataFrame:
+    """(id, placement, predecessor): where a snapshot belongs in a store's lineage.
+
+    ``arriving``: id, revision (null: no version control), clean, parents (array); ``store``: id,
+    revision, clean, processed.  existing, root (of an empty store), successor, or why it can't be
+    placed: unversioned, dirty, revision-known, parent-missing, merge, parent-not-unique."""
+    known = store.select("id", F.lit(True).alias("__known"))
+    same = store.filter("revision is not null").select("revision").distinct().withColumn("__same", F.lit(True))
+    parents = store.filter("processed and clean and revision is not null").groupBy(F.col("revision").alias("__parent")).agg(F.count("*").alias("__n"), F.min("id").alias("__at"))
+    empty = store.isEmpty()
+    full = arriving.withColumn("__parent", F.when(F.size("parents") == 1, F.col("parents")[0])).join(known, "id", "left").join(same, "revision", "left").join(parents, "__parent", "left")
+    dirty = F.col("revision").isNotNull() & ~F.coalesce("clean", F.lit(False))
+    first = F.when(dirty, "dirty").otherwise("root")
+    later = (
+        F.when(F.col("revision").isNull(), "unversioned").when(dirty, "dirty").when(F.col("__same"), "revision-known").when(F.size("parents") == 0, "parent-missing").when(F.size("parents") > 1, "merge")
+        .when(F.coalesce("__n", F.lit(0)) != 1, "parent-not-unique").otherwise("successor")
+    )
+    where = F.when(F.col("__known"), "existing").otherwise(first if empty else later)
+    return full.select("id", where.alias("placement"), F.when(where == "successor", F.col("__at")).alias("predecessor"))
+
+
 def relocation(start: DataFrame, renames: DataFrame, deletions: DataFrame, most_steps: int = 64) -> DataFrame:
     """(id, path, outcome): where a source went along ordered snapshots: renames (position,
     prior, current) and deletions (position, prior).  deleted, relocated or unchanged."""

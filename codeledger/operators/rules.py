@@ -40,6 +40,9 @@ class Rule:
     severity: str = "warning"
     claims: tuple[str, ...] = field(default=())
     detect: object = None
+    #: (earlier revision, claims that still hold) for semantics, and the same for configurations.
+    compatible_from: tuple[tuple[int, tuple[str, ...]], ...] = ()
+    configuration_from: tuple[tuple[int, tuple[str, ...]], ...] = ()
 
     @property
     def identity(self) -> str:
@@ -47,17 +50,37 @@ class Rule:
 
 
 def registered(rules: list[Rule]) -> dict[str, Rule]:
-    """Rules by identity; an identity twice, an unknown severity or a revision below 1 raise."""
+    """Rules by identity; no rules, an identity twice, an unknown severity, a revision below 1 or a
+    malformed declaration of compatibility raise."""
+    if not rules:
+        raise ValueError("no rules are selected")
     out: dict[str, Rule] = {}
     for r in rules:
         if r.identity in out:
             raise ValueError(f"rule {r.identity} is registered twice")
         if r.severity not in ("info", "warning", "error") or r.revision < 1:
             raise ValueError(f"rule {r.identity} has a wrong severity or revision")
+        _check_declarations(r)
         out[r.identity] = r
     return out
 
 
+def _check_declarations(r: Rule) -> None:
+    """Semantics: one declaration for each earlier revision.  Configurations: one for each revision
+    and claim, of this revision or an earlier one whose semantics are declared for the claim too."""
+    semantic = dict(r.compatible_from)
+    if len(semantic) != len(r.compatible_from):
+        raise ValueError(f"rule {r.identity} declares a revision twice")
+    if any(revision >= r.revision for revision in semantic):
+        raise ValueError(f"rule {r.identity} declares compatibility from a revision that isn't earlier")
+    claims = [(revision, c) for revision, given in r.configuration_from for c in given]
+    if len(set(claims)) != len(claims):
+        raise ValueError(f"rule {r.identity} declares a configuration claim twice")
+    for revision, claim in claims:
+        if revision > r.revision or (revision != r.revision and claim not in semantic.get(revision, ())):
+            raise ValueError(f"rule {r.identity} declares a configuration claim without its semantics")
+
+
 #: The catalog of code smells by support.
 SMELLS = {
     "supported": ("Long Function", "Long Parameter List", "Global Data", "Large Class"),

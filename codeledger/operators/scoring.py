@@ -234,3 +234,27 @@ def page(items: DataFrame, offset: int, size: int, score: str = "score", key: st
     """A page of the ranking with each row's place (1 first)."""
     first = items.orderBy(*ranked(items, score, key)).limit(offset + size)  # bounded before it is numbered
     return first.withColumn("place", F.row_number().over(Window.orderBy(*ranked(first, score, key)))).filter(F.col("place") > offset)
+
+
+def next_priority(now: str | None) -> str | None:
+    """The filter that follows in the cycle: none, critical, high, medium, low, none."""
+    cycle = [None, *reversed(policy.PRIORITIES)]
+    return cycle[(cycle.index(now) + 1) % len(cycle)]
+
+
+def with_priority(items: DataFrame, wanted: str | None) -> DataFrame:
+    """Items of exactly one priority, or all."""
+    return items if wanted is None else items.filter(F.col("priority") == wanted)
+
+
+def detail_lines(items: DataFrame) -> DataFrame:
+    """(id, at, line): what an explorer shows of each item (see ``evidence.explained``)."""
+    number = lambda c: F.when(c.isNotNull(), F.format_string("%.1f", c)).otherwise(F.lit("-"))
+    added = F.transform("contributions", lambda c: F.concat(F.lit("- "), c["kind"], F.lit(" "), c["evidence_id"], F.lit(": raw="), F.coalesce(c["raw_value"], F.lit("")), F.lit(", normalized="), number(c["normalized_score"]), F.lit(", weight="), number(c["effective_weight"]), F.lit(", contribution="), number(c["contribution"])))
+    gone = F.transform("unavailable", lambda u: F.concat(F.lit("- "), u["kind"], F.lit(" "), u["evidence_id"], F.lit(": "), u["reason"]))
+    none = F.array().cast("array<string>")
+    lines = F.concat(
+        F.array(F.col("display_name"), F.concat(F.lit("Priority: "), F.coalesce("priority", F.lit("unscored"))), F.concat(F.lit("Score: "), number(F.col("score"))), F.concat(F.lit("Category: "), "category"), F.concat(F.lit("Why: "), "explanation"), F.concat(F.lit("Action: "), "recommendation")),
+        F.when(F.size("contributions") > 0, F.concat(F.array(F.lit("Contributions:")), added)).otherwise(none), F.when(F.size("unavailable") > 0, F.concat(F.array(F.lit("Unavailable evidence:")), gone)).otherwise(none),
+    )
+    return items.select("id", F.posexplode(lines).alias("at", "line"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -9,9 +10,12 @@ from pyspark.sql import DataFrame
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut: written to the folder that spark.checkpoint.dir names.
-    Only a session that names none (one machine, tests) gets a local folder."""
+    Only a session on one machine that names none (tests) gets a local folder; on a cluster that is
+    an error."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not named and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         context.setCheckpointDir(named or f"file://{tempfile.gettempdir()}/checkpoints")
     return df.checkpoint(eager=True)

@@ -113,6 +113,24 @@ def module_items(files: DataFrame, types: DataFrame, callables: DataFrame) -> Da
     return rows.withColumn("display_name", F.col("module")).withColumn("item_id", F.concat(F.lit("module:"), "module")).withColumn("level", F.lit("module")).withColumn("item_key", F.col("item_id"))
 
 
+def located_observations(types: DataFrame, type_rows: DataFrame, functions: DataFrame, edges: DataFrame, blocks: DataFrame, lines: DataFrame) -> DataFrame:
+    """(metric, entity, file, line, column, value): all ten metrics where they were measured."""
+    place = ["file", "line", "column"]
+    degree = metrics.nocc(edges).select(F.col("entity").alias("display_name"), F.col("value").alias("nocc"))
+    at_type = type_rows.join(degree, "display_name", "left").fillna(0, ["nocc"]).select(
+        F.col("display_name").alias("entity"), *place, F.expr("stack(5, 'LOCC', cast(code_lines as long), 'WMCC', cast(wmcc as long), 'NOMC', cast(method_count as long), 'NOGC', cast(property_count as long), 'NOCC', cast(nocc as long)) as (metric, value)"),
+    )
+    own = metrics.noav(types, functions).select(F.col("name").alias("entity"), F.col("path").alias("file"), "line", "column", F.lit("NOAV").alias("metric"), "value")
+    free = functions.select(F.col("name").alias("entity"), F.col("path").alias("file"), "line", "column", F.expr("stack(3, 'LOCF', cast(code_lines as long), 'CCF', cast(complexity as long), 'NOPF', cast(parameters as long)) as (metric, value)"))
+    at = lambda k, o, n: lines.select(F.col("file").alias(f"file{k}"), F.col("ord").alias(o), F.col("number").alias(n))
+    told = blocks.withColumn("stop2", F.col("start2") + F.col("lines") - 1).join(at(1, "start1", "n1"), ["file1", "start1"]).join(at(2, "start2", "n2"), ["file2", "start2"]).join(at(2, "stop2", "e2"), ["file2", "stop2"])
+    clones_ = told.select(F.concat(F.lit("duplicate of "), "file2", F.lit(":"), F.col("n2").cast("string"), F.lit("-"), F.col("e2").cast("string")).alias("entity"), F.col("file1").alias("file"), F.col("n1").alias("line"), F.lit(1).cast("long").alias("column"), F.lit("DC").alias("metric"), F.col("lines").cast("long").alias("value"))
+    out = at_type
+    for other in (own, free, clones_):
+        out = out.unionByName(other)
+    return out.select("metric", "entity", *place, "value")
+
+
 def analyze(sources: DataFrame, config: WorkspaceConfiguration | None = None, entries: DataFrame | None = None, commits: DataFrame | None = None, reference: str | None = None, unreadable: str | None = None) -> Analysis:
     """Everything about (path, module, content).  Sources are parsed once; the facts are cut from
     their lineage and each table reads its kind.
@@ -128,7 +146,8 @@ def analyze(sources: DataFrame, config: WorkspaceConfiguration | None = None, en
     edges = couplings(fragments, types)
     lines = clone_lines(found)
     blocks = cut(clones.blocks(lines, config.minimum_duplicate_lines, config.maximum_duplicate_comparisons))
-    observed = cut(metrics.observations(types, functions, edges, blocks.select(F.col("lines").alias("code_lines"))))
+    type_rows = type_items(types, fragments, functions)
+    observed = cut(located_observations(types, type_rows, functions, edges, blocks, lines))
     limits = policy.THRESHOLDS | config.thresholds
     diagnostics = extract.diagnostics(found, config.strict_syntax)
     complete = diagnostics.filter("severity = 'error'").isEmpty()
@@ -138,7 +157,6 @@ def analyze(sources: DataFrame, config: WorkspaceConfiguration | None = None, en
     duplicates = clones.duplicated_lines(blocks).count()
     summary = metrics.table_scores(metrics.summary(observed, config.thresholds), F.lit(total.methods), F.lit(total.class_variables), F.lit(total.parameters), F.lit(duplicates), F.lit(total.code_lines), config.scoring, F.lit(complete))
     callables = callable_items(functions)
-    type_rows = type_items(types, fragments, functions)
     file_rows = file_items(files, lines, type_rows, callables, clones.physical_lines_per_file(blocks, lines))
     module_rows = module_items(file_rows, type_rows, callables)
     items = cut(callables.select(*ITEM).unionByName(type_rows.select(*ITEM)).unionByName(file_rows.select(*ITEM)).unionByName(module_rows.select(*ITEM)))

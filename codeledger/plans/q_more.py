@@ -337,10 +337,65 @@ def valid_vectors(s, d):
 
 VALID = "select vec_id, vec_id % 5 <> 0 and vec_id % 7 <> 0 as valid from embeddings"
 
+
+def snapshot_absence(s, d):
+    """Whether a snapshot proves that findings are gone; customers are findings, nations rules."""
+    f = b.t(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("rule"), (F.col("c_custkey") % 8 != 0).alias("in_lineage"))
+    nations = s.range(25).select(F.col("id").alias("rule"))
+    results = nations.select("rule", F.lit("a").alias("source"), F.when(F.col("rule") % 6 == 1, "failed").when(F.col("rule") % 6 == 2, "parseFailed").otherwise("committed").alias("outcome"))
+    comparisons = nations.select("rule", (F.col("rule") % 7 != 0).alias("compatible"), F.array(F.lit("engine-incomparable")).alias("reasons"))
+    out = lifecycle.verified_absence(f, True, nations.filter("rule % 5 <> 0"), results, nations.filter("rule % 11 = 3"), f.filter("id % 9 = 0"), comparisons)
+    return out.select("id", "verified", F.array_join("reasons", ",").alias("reasons"))
+
+
+SNAPSHOT_ABSENCE = """
+with x as (select c_custkey id, list_sort(list_filter([case when c_custkey % 8 = 0 then 'lineage-incomparable' end, case when c_nationkey % 5 = 0 then 'rule-omitted' end, case when c_nationkey % 11 = 3 then 'continuity-candidate-present' end, case when c_custkey % 9 = 0 then 'continuity-unresolved' end,
+  case when c_nationkey % 6 = 1 then 'atomic-observation-failed' when c_nationkey % 6 = 2 then 'atomic-observation-parseFailed' end, case when c_nationkey % 5 <> 0 and c_nationkey % 7 = 0 then 'engine-incomparable' end], lambda z: z is not null)) r from customer)
+select id, len(r) = 0 as verified, case when len(r) = 0 then 'complete-comparable-absence' else array_to_string(r, ',') end reasons from x
+"""
+
+
+def snapshot_scope(s, d):
+    """The scope of a snapshot by what narrowed its selection."""
+    p = b.t(s, d, "part").select("p_partkey", *[(F.col("p_partkey") % k == 0).alias(c) for k, c in zip((2, 3, 5, 7, 11, 13, 17, 19), lifecycle.LIMITATIONS, strict=True)])
+    return lifecycle.scope_of(p).select("p_partkey", "scope", "message")
+
+
+SNAPSHOT_SCOPE = "with x as (select p_partkey, list_filter([" + ", ".join(f"case when p_partkey % {k} = 0 then '{text}' end" for k, text in zip((2, 3, 5, 7, 11, 13, 17, 19), lifecycle.LIMITATIONS.values(), strict=True)) + "], lambda z: z is not null) r from part) select p_partkey, case when len(r) = 0 then 'repository' else 'partial' end as scope, case when len(r) > 0 then array_to_string(r, '; ') || '.' end as message from x"
+
+
+def snapshot_placement(s, d):
+    """Where new snapshots belong in a lineage; orders arrive at a store of customers."""
+    store = b.t(s, d, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("r"), F.when(F.col("c_custkey") % 20 == 0, F.col("c_custkey") - 1).otherwise(F.col("c_custkey"))).alias("revision"), (F.col("c_custkey") % 6 != 0).alias("clean"), F.lit(True).alias("processed"))
+    parent = F.concat(F.lit("r"), F.col("o_custkey"))
+    parents = F.when(F.col("o_orderkey") % 4 == 0, F.array(parent, F.lit("x"))).when(F.col("o_orderkey") % 7 == 0, F.array().cast("array<string>")).otherwise(F.array(parent))
+    new = b.t(s, d, "orders").select((F.col("o_orderkey") + 10_000_000).alias("id"), F.when(F.col("o_orderkey") % 10 != 1, F.concat(F.lit("n"), "o_orderkey")).alias("revision"), (F.col("o_orderkey") % 9 != 0).alias("clean"), parents.alias("parents"))
+    return lifecycle.place(new, store)
+
+
+SNAPSHOT_PLACEMENT = """
+with st as (select c_custkey id, case when c_custkey % 20 = 0 then c_custkey - 1 else c_custkey end r, c_custkey % 6 <> 0 clean from customer), pa as (select r, count(*) n, min(id) at_ from st where clean group by 1),
+x as (select o_orderkey k, case when o_orderkey % 10 = 1 then 'unversioned' when o_orderkey % 9 = 0 then 'dirty' when o_orderkey % 4 = 0 then 'merge' when o_orderkey % 7 = 0 then 'parent-missing' when coalesce(n, 0) <> 1 then 'parent-not-unique' else 'successor' end p, at_ from orders left join pa on pa.r = o_custkey)
+select k + 10000000 id, p placement, case when p = 'successor' then at_ end predecessor from x
+"""
+
+
+def cache_invalidations(s, d):
+    """Why facts of a source are made anew, or go."""
+    now = b.t(s, d, "documents").select(F.col("doc_id").alias("path"), F.col("lang").alias("module"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), (F.col("doc_id") % 3).alias("budget"))
+    old = now.filter("path % 6 <> 0").select("path", F.when(F.col("path") % 13 == 0, F.lit("??")).otherwise(F.col("module")).alias("module"), F.when(F.col("path") % 5 == 0, F.lit("x")).otherwise(F.col("digest")).alias("digest"), F.when(F.col("path") % 7 == 0, F.lit(9)).otherwise(F.col("budget")).alias("budget"))
+    return cache.invalidations(now.filter("path % 10 <> 1"), old)
+
+
+CACHE_INVALIDATIONS = """
+select * from (select doc_id path, case when doc_id % 10 = 1 then 'source-removed' when doc_id % 6 = 0 then 'source-added' when doc_id % 13 = 0 then 'source-metadata-changed' when doc_id % 5 = 0 then 'source-content-changed' when doc_id % 7 = 0 then 'dependency-changed' end reason
+  from documents where not (doc_id % 10 = 1 and doc_id % 6 = 0)) where reason is not null
+"""
+
 QUERIES = {
     "csv_cells": (csv_cells, CSV), "html_cells": (html_cells, HTML), "coverage_lines": (coverage_lines, COVERAGE_LINES), "test_sources": (test_sources, TEST_SOURCES), "excluded_sources": (excluded_sources, EXCLUDED), "snapshot_digest": (snapshot_digest, DIGEST), "cache_dispositions": (cache_dispositions, CACHE),
     "code_line_signatures": (code_line_signatures, CODE_LINES), "graph_nodes": (graph_nodes, NODES), "module_edges": (module_edges, MODULE_EDGES), "resolve_calls": (resolve_calls, CALLS), "summary_with_clones": (summary_with_clones, _summary_sql()), "type_eligibility": (type_eligibility, _eligibility_sql()),
     "absence_proofs": (absence_proofs, ABSENCE), "rule_completeness": (rule_completeness, COMPLETENESS), "verified_absence": (verified_absence, VERIFIED), "coverage_orphans": (coverage_orphans, ORPHANS), "semantic_pairs": (semantic_pairs, SEMANTIC), "configuration_pairs": (configuration_pairs, CONFIGURATION),
     "head_inventory": (head_inventory, INVENTORY), "introduction_search": (introduction_search, SEARCH), "revision_assessment": (revision_assessment, ASSESSMENT), "reusable_history": (reusable_history, REUSABLE), "best_conclusion": (best_conclusion, BEST), "exit_statuses": (exit_statuses, EXIT),
-    "repair_words": (repair_words, REPAIR), "valid_vectors": (valid_vectors, VALID),
+    "snapshot_absence": (snapshot_absence, SNAPSHOT_ABSENCE), "snapshot_scope": (snapshot_scope, SNAPSHOT_SCOPE), "snapshot_placement": (snapshot_placement, SNAPSHOT_PLACEMENT), "cache_invalidations": (cache_invalidations, CACHE_INVALIDATIONS), "repair_words": (repair_words, REPAIR), "valid_vectors": (valid_vectors, VALID),
 }

@@ -1,11 +1,13 @@
 """Report texts, as DataFrames of lines in order (``ord``, ``line``), and how they are written.
 
-Formatting is native; only :func:`write_text` brings lines into one file, which is what a report
-is (its rows are bounded by the report's own limit)."""
+Formatting is native and every row is written: lines are put in order by a range sort, and
+:func:`write_text` writes them as part files in order."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import contextlib
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FORMATS = ("text", "json", "csv", "html", "markdown", "compact", "dot")
@@ -35,15 +37,20 @@ def _score(places: int = 1) -> Column:
     return F.when(F.col("score").isNotNull(), F.format_string(f"%.{places}f", F.bround("score", places))).otherwise(F.lit("-"))
 
 
+def ordered(rows: DataFrame, keys: list[str], line: Column) -> DataFrame:
+    """(ord, line) of ``rows`` sorted by ``keys``.  Numbers grow along the order but leave gaps: each
+    range of the sort numbers its own rows, so no task sees all of them."""
+    return rows.withColumn("__line", line).orderBy(*keys).select(F.monotonically_increasing_id().alias("ord"), F.col("__line").alias("line"))
+
+
 def _numbered(items: DataFrame, line: Column) -> DataFrame:
-    order = Window.orderBy(F.col("score").desc_nulls_last(), F.col("id"))
-    return items.select(F.row_number().over(order).alias("ord"), line.alias("line"))
+    return ordered(items.withColumn("__none", F.col("score").isNull()).withColumn("__down", -F.col("score")), ["__none", "__down", "id"], line)
 
 
-def render(items: DataFrame, kind: str, limit: int = 10_000) -> DataFrame:
+def render(items: DataFrame, kind: str, limit: int | None = None) -> DataFrame:
     """(ord, line) of ranked items (id, display_name, level, file, line, score, priority,
-    category) in one of FORMATS.  At most ``limit`` items: a report is for reading."""
-    top = items.orderBy(F.col("score").desc_nulls_last(), "id").limit(limit)
+    category) in one of FORMATS: all of them, or the first ``limit``."""
+    top = items if limit is None else items.orderBy(F.col("score").desc_nulls_last(), "id").limit(limit)
     place = F.concat_ws(":", "file", F.col("line").cast("string"))
     prio = F.coalesce("priority", F.lit("unscored"))
     if kind == "text":
@@ -70,14 +77,14 @@ def render(items: DataFrame, kind: str, limit: int = 10_000) -> DataFrame:
 
 def _with_frame(lines: DataFrame, first: str, last: str | None) -> DataFrame:
     spark = lines.sparkSession
-    rows = [(0, first)] + ([(2_000_000_000, last)] if last else [])
-    return lines.unionByName(spark.createDataFrame(rows, "ord int, line string"))
+    rows = [(-1, first)] + ([((1 << 62), last)] if last else [])
+    return lines.unionByName(spark.createDataFrame(rows, "ord long, line string"))
 
 
 def diagnostics_text(diagnostics: DataFrame) -> DataFrame:
-    """(ord, line) of diagnostics (severity, message, path, line, column)."""
-    order = Window.orderBy("path", "line", "column", "message")
-    return diagnostics.limit(100_000).select(F.row_number().over(order).alias("ord"), F.format_string("%s:%s:%s: %s: %s", "path", F.col("line").cast("string"), F.col("column").cast("string"), "severity", single_line(F.col("message"))).alias("line"))
+    """(ord, line) of all diagnostics (severity, message, path, line, column)."""
+    line = F.format_string("%s:%s:%s: %s: %s", "path", F.col("line").cast("string"), F.col("column").cast("string"), "severity", single_line(F.col("message")))
+    return ordered(diagnostics, ["path", "line", "column", "message"], line)
 
 
 def dashboard(items: DataFrame, title: str = "Evidence", limit: int = 2_000) -> str:
@@ -94,14 +101,32 @@ def dashboard(items: DataFrame, title: str = "Evidence", limit: int = 2_000) ->
 
 
 def write_text(lines: DataFrame, path: str) -> None:
-    """Lines in order in one text file of a new directory; the write is committed as a whole and
-    fails if the path is there already."""
-    lines.orderBy("ord").select("line").coalesce(1).write.mode("errorifexists").text(path)
+    """Lines in order in the part files of a new directory (one file if they are few); the write is
+    committed as a whole and fails if the path is there already."""
+    lines.orderBy("ord").select("line").write.mode("errorifexists").text(path)
 
 
 def append_once(rows: DataFrame, path: str, key: str) -> int:
-    """Append rows whose key isn't stored yet; returns how many were new.  For one writer at a
-    time: a second run of the same rows writes nothing."""
+    """Append rows whose key isn't stored yet; returns how many were new.  A second run of the same
+    rows writes nothing.  Writers exclude each other by a lock file beside the table, which the store
+    makes in one step; a writer that finds it raises."""
+    with _locked(rows.sparkSession, f"{path.rstrip('/')}.lock"):
+        return _append(rows, path, key)
+
+
+@contextlib.contextmanager
+def _locked(spark: SparkSession, lock: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(lock)
+    store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.createNewFile(where):
+        raise RuntimeError(f"{lock} is held by another writer")
+    try:
+        yield
+    finally:
+        store.delete(where, False)
+
+
+def _append(rows: DataFrame, path: str, key: str) -> int:
     spark = rows.sparkSession
     fresh = rows.dropDuplicates([key])
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 from dataclasses import dataclass, field, fields
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,22 +26,36 @@ def _read(spark: SparkSession, paths: list[str] | str, suffix: str, maximum: int
     return raw.select(F.col("path").alias("file"), F.decode(checked, "UTF-8").alias("content"))
 
 
+def symbolic_links(root: str) -> list[str]:
+    """Links below a local ``root``, as relative paths; other stores have none.  Links aren't entered."""
+    if "://" in root and not root.startswith("file://"):
+        return []
+    base = root.removeprefix("file://").removeprefix("file:")
+    found = []
+    for at, folders, names in os.walk(base):
+        found += [os.path.relpath(os.path.join(at, x), base) for x in (*folders, *names) if os.path.islink(os.path.join(at, x))]
+    return found
+
+
 def scan_directory(spark: SparkSession, root: str, suffix: str = ".swift", excludes: list[str] | None = None, maximum: int = MAXIMUM_FILE_BYTES) -> DataFrame:
     """All sources below ``root`` by relative path; skipped directories, package manifests and
-    excluded prefixes (literal, on part borders) are left out before they are read."""
+    excluded prefixes (literal, on part borders) are left out before they are read; symbolic links
+    aren't followed."""
     full = _read(spark, root, suffix, maximum)
     base = root.rstrip("/").split("://")[-1].lstrip("/").removeprefix("file:")
     at = F.instr("file", base)
-    path = F.expr(f"substring(file, instr(file, '{base}') + {len(base) + 1})") if base else F.col("file")
+    path = F.substring("file", at + len(base) + 1, F.length("file")) if base else F.col("file")
     out = full.filter(at > 0).select(path.alias("path"), F.lit(DEFAULT_MODULE).alias("module"), "content")
     parts = F.split("path", "/")
     out = out.filter(~F.arrays_overlap(parts, F.array(*map(F.lit, SKIPPED)))).filter(F.element_at(parts, -1) != "Package.swift")
-    return exclude(out, excludes or [])
+    return exclude(out, [*symbolic_links(root), *(excludes or [])])
 
 
 def scan_file(spark: SparkSession, path: str, suffix: str = ".swift", maximum: int = MAXIMUM_FILE_BYTES) -> DataFrame:
     if not path.endswith(suffix):
         raise ValueError(f"{path} is no {suffix} file")
+    if os.path.islink(path.removeprefix("file://").removeprefix("file:")):
+        raise ValueError(f"{path} is a symbolic link")
     return _read(spark, path, suffix, maximum).select(F.element_at(F.split("file", "/"), -1).alias("path"), F.lit(DEFAULT_MODULE).alias("module"), "content")
 
 
@@ -107,6 +122,8 @@ class WorkspaceConfiguration:
         if unknown:
             raise ValueError(f"unknown configuration keys: {', '.join(unknown)}")
         made = cls(**data)
+        if made.aggregation not in ("none", "file", "aggregateOnly") or made.preset not in ("strict", "balanced", "lenient"):
+            raise ValueError("unknown aggregation or preset")
         if made.type_scope not in ("classes", "nominals") or made.scoring not in ("none", "paper", "bounded", "corrected"):
             raise ValueError("unknown type scope or scoring mode")
         if made.minimum_duplicate_lines < 2 or (made.scoring != "none" and made.minimum_duplicate_lines != 11):
