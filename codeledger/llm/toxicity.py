@@ -184,9 +184,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     counted = words.groupBy("term").agg(F.sum(F.col("w") * F.col("y")).alias("c1"), F.sum(F.col("w") * (1 - F.col("y"))).alias("c0")).filter(F.col("c0") + F.col("c1") >= MIN_DOCS)
     share = (F.col("c0") + F.col("c1") + 1) / (n0 + n1 + 2)
     z = (F.col("c1") / n1 - F.col("c0") / n0) / F.sqrt(share * (1 - share) * (1 / n0 + 1 / n1))
-    # As many as the bounded sample has; the order makes the fit the same on every run.
-    chosen = counted.withColumn("z", z).filter(F.abs("z") >= MIN_Z).orderBy("term")
-    picked = {r.term: (i, r.z > 0) for i, r in enumerate(chosen.select("term", "z").collect())}
+    # As many as the bounded sample has.
+    chosen = counted.withColumn("z", z).filter(F.abs("z") >= MIN_Z)
+    picked = {r.term: (i, r.z > 0) for i, r in enumerate(sorted(chosen.select("term", "z").collect()))}
 
     def make():
         def work(texts: list[str]):
@@ -196,7 +196,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
         return work
 
     fields = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("toxic_terms", T.LongType())]
-    got = common.map_texts(rows, text, make, fields).select("y", "w", "ids", "toxic_terms").orderBy("y", "w", "toxic_terms", "ids").collect()
+    got = common.map_texts(rows, text, make, fields).select("y", "w", "ids", "toxic_terms").collect()
+    got = sorted(got, key=tuple)  # the same sums on every run
     y, w, many = (np.array([r[c] for r in got]) for c in ("y", "w", "toxic_terms"))
     grade = np.where(y > 0, 1, 0)
     has = (y > 0) & (many > 0)
