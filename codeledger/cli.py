@@ -76,6 +76,8 @@ def analyze(a: argparse.Namespace) -> int:
         lines = metrics.html(done.observations, done.summary)
     elif a.format == "metrics-text":
         lines = metrics.text(done.summary, done.findings, done.diagnostics, [f"codeledger - {'complete' if done.complete else 'INCOMPLETE'}"])
+    elif a.format == "dashboard":
+        lines = sink.dashboard_lines(done.items.drop("contributions", "unavailable", "strongest"), a.path, analysis.graph_edges(done.facts).select("source", "target", "name", "kind"))
     elif a.format == "diagnostics":
         lines = metrics.diagnostics(done.findings, done.diagnostics, a.path)
     else:
@@ -195,7 +197,7 @@ def main(argv: list[str] | None = None) -> int:
         v.add_argument("--max-score", type=float)
         v.set_defaults(run=run)
         if name == "analyze":
-            v.add_argument("--format", choices=(*sink.FORMATS, *debt.FORMATS, *metrics.FORMATS), default="text")
+            v.add_argument("--format", choices=(*sink.FORMATS, *debt.FORMATS, *metrics.FORMATS, "dashboard"), default="text")
             v.add_argument("--aggregation", choices=evidence.STRATEGIES)
             v.add_argument("--level", action="append")
             v.add_argument("--category", action="append")

@@ -9,13 +9,15 @@ from ..functions import policy
 
 
 def parse_log(raw: DataFrame, key: str, text: str) -> DataFrame:
-    """(path, sha, author_token, ts, subject): commits of ``git log`` text in the format
-    ``%x1e%H%x1f%an%x1f%aI%x1f%s``, one row for each; malformed records are left out."""
+    """(path, sha, author_token, ts, subject, paths): commits of ``git log`` text in the format
+    ``%x1e%H%x1f%an%x1f%aI%x1f%s``, one row for each; malformed records are left out.  ``paths``:
+    the names that follow the subject (``--name-only``)."""
     each = raw.select(F.col(key).alias("path"), F.explode(F.split(F.col(text), "\x1e")).alias("r"))
     parts = each.select("path", F.split("r", "\x1f").alias("p")).filter(F.size("p") >= 4)
     return parts.select(
         "path", F.trim(F.col("p")[0]).alias("sha"), F.col("p")[1].alias("author_token"), F.expr("try_cast(trim(p[2]) as timestamp)").alias("ts"),
         F.trim(F.substring_index(F.col("p")[3], "\n", 1)).alias("subject"),
+        F.filter(F.slice(F.split(F.col("p")[3], "\n"), 2, 1 << 30), lambda x: x != "").alias("paths"),
     ).filter(F.col("ts").isNotNull())
 
 

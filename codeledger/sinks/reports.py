@@ -87,17 +87,44 @@ def diagnostics_text(diagnostics: DataFrame) -> DataFrame:
     return ordered(diagnostics, ["path", "line", "column", "message"], line)
 
 
+_HEAD = "<!doctype html><meta charset='utf-8'><title>{title}</title><input id='q' placeholder='filter'><select id='p'><option value=''>any priority</option></select><table id='t'></table><pre id='x'></pre><h2>Graph</h2><ul id='g'></ul><h2>Changes</h2><ul id='c'></ul>"
+_SCRIPT = (
+    "const $=i=>document.getElementById(i),read=i=>JSON.parse($(i).textContent),rows=read('d'),edges=read('e'),changes=read('h');"
+    "const list=(at,xs,say)=>$(at).replaceChildren(...xs.map(x=>{const e=document.createElement('li');e.textContent=say(x);return e}));"
+    "for(const p of [...new Set(rows.map(r=>r.priority??'unscored'))]){const o=document.createElement('option');o.value=o.textContent=p;$('p').append(o)}"
+    "function open(r){$('x').textContent=[r.display_name,r.explanation??'',r.recommendation??'',...(r.kinds??[])].join('\\n');list('g',edges.filter(e=>e.source.includes(r.display_name)||(e.target??'').includes(r.display_name)),e=>e.source+' \u2192 '+(e.target??'unresolved:'+e.name)+' ('+e.kind+')')}"
+    "function draw(){const q=$('q').value.toLowerCase(),p=$('p').value;$('t').replaceChildren(...rows.filter(r=>(!p||(r.priority??'unscored')===p)&&JSON.stringify(r).toLowerCase().includes(q)).map(r=>{const e=document.createElement('tr');e.onclick=()=>open(r);"
+    "for(const k of ['display_name','file','score','priority']){const c=document.createElement('td');c.textContent=r[k]??'';e.append(c)}return e}))}$('q').oninput=$('p').oninput=draw;draw();"
+    "list('c',changes,c=>c.status+' '+c.id+(c.score_delta==null?'':' '+c.score_delta))"
+)
+
+
+def dashboard_lines(items: DataFrame, title: str = "Evidence", edges: DataFrame | None = None, changes: DataFrame | None = None) -> DataFrame:
+    """(ord, line) of a self-contained page over all items: a filter, an item's evidence and its
+    edges, and what a comparison changed.  ``edges``: source, target, name, kind; ``changes``: id,
+    status, score_delta.  The data stand in it as JSON, without ``<``."""
+    spark = items.sparkSession
+    out = spark.createDataFrame([(0, 0, _HEAD.format(title=title.replace("<", "&lt;")))], "part int, at long, line string")
+    keys = {"d": ["__none", "__down", "id"], "e": ["source", "kind"], "h": ["id"]}
+    for k, (name, rows) in enumerate((("d", items), ("e", edges), ("h", changes))):
+        base = 1 + 3 * k
+        first, last = f"<script id='{name}' type='application/json'>[", "]</script>"
+        frame = spark.createDataFrame([(base, 0, first), (base + 2, 0, last)], "part int, at long, line string")
+        out = out.unionByName(frame)
+        if rows is not None:
+            data = rows.withColumn("__none", F.col("score").isNull()).withColumn("__down", -F.col("score")) if name == "d" else rows
+            body = ordered(data, keys[name], F.replace(F.to_json(F.struct(*rows.columns)), F.lit("<"), F.lit("\\u003c")))
+            start = body.agg(F.min("ord").alias("__first"))  # one row
+            comma = F.when(F.col("ord") == F.col("__first"), F.col("line")).otherwise(F.concat(F.lit(","), "line"))
+            out = out.unionByName(body.crossJoin(F.broadcast(start)).select(F.lit(base + 1).alias("part"), F.col("ord").alias("at"), comma.alias("line")))
+    out = out.unionByName(spark.createDataFrame([(99, 0, f"<script>{_SCRIPT}</script>")], "part int, at long, line string"))
+    return ordered(out, ["part", "at"], F.col("line"))
+
+
 def dashboard(items: DataFrame, title: str = "Evidence", limit: int = 2_000) -> str:
-    """A self-contained page: embedded JSON of the top items and a filter over it."""
-    rows = [r.line for r in render(items, "json", limit).orderBy("ord").collect()]  # bounded by limit
-    data = ("[" + ",".join(rows) + "]").replace("<", "\\u003c")
-    head = f"<!doctype html><meta charset='utf-8'><title>{title}</title><input id='q' placeholder='filter'><table id='t'></table>"
-    script = (
-        "const rows=JSON.parse(document.getElementById('d').textContent),t=document.getElementById('t'),q=document.getElementById('q');"
-        "function draw(){t.replaceChildren(...rows.filter(r=>JSON.stringify(r).toLowerCase().includes(q.value.toLowerCase())).map(r=>{const e=document.createElement('tr');"
-        "for(const k of ['display_name','file','score','priority']){const c=document.createElement('td');c.textContent=r[k]??'';e.append(c)}return e}))}q.oninput=draw;draw();"
-    )
-    return f"{head}<script id='d' type='application/json'>{data}</script><script>{script}</script>"
+    """The page of the first ``limit`` items as one text, to be shown at once."""
+    top = items.orderBy(F.col("score").desc_nulls_last(), "id").limit(limit)
+    return "\n".join(r.line for r in dashboard_lines(top, title).orderBy("ord").collect())
 
 
 def write_text(lines: DataFrame, path: str) -> None:

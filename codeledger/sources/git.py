@@ -37,7 +37,7 @@ def _checked(names: list[str]) -> list[str]:
 
 def log(spark: SparkSession, run: Runner, paths: list[str]) -> DataFrame:
     """Commits of each path, one more than evidence takes (so a cut history shows)."""
-    rows = [(p, run(["log", "--follow", f"--max-count={policy.COMMITS_PER_PATH + 1}", "--format=%x1e%H%x1f%an%x1f%aI%x1f%s", "--", p])) for p in _checked(paths)]
+    rows = [(p, run(["log", "--follow", f"--max-count={policy.COMMITS_PER_PATH + 1}", "--format=%x1e%H%x1f%an%x1f%aI%x1f%s", "--name-only", "--", p])) for p in _checked(paths)]
     return history.parse_log(spark.createDataFrame(rows, "path string, raw string"), "path", "raw")
 
 
@@ -64,10 +64,18 @@ def snapshot(spark: SparkSession, run: Runner) -> dict[str, object]:
     }
 
 
-def parents(spark: SparkSession, run: Runner, start: str = "HEAD", most: int = 1_000) -> DataFrame:
-    """(child, parent) of the revisions reachable from ``start``, at most ``most`` of them."""
-    rows = [(c, p) for line in run(["rev-list", "--parents", f"--max-count={most}", start]).splitlines() for c, *ps in [line.split()] for p in ps]
-    return spark.createDataFrame(rows, "child string, parent string")
+def parents(spark: SparkSession, run: Runner, start: str = "HEAD") -> DataFrame:
+    """(child, parent) of all revisions reachable from ``start``."""
+    return bounded_parents(spark, run, start, None)["edges"]
+
+
+def bounded_parents(spark: SparkSession, run: Runner, start: str, most: int | None) -> dict[str, DataFrame]:
+    """edges (child, parent) of at most ``most`` revisions, and the frontier (id): parents that the
+    bound left unvisited, none if the history is whole."""
+    lines = [line.split() for line in run(["rev-list", "--parents", *([f"--max-count={most}"] if most is not None else []), start]).splitlines()]
+    seen = {c for c, *_ in lines}
+    left = sorted({p for _, *ps in lines for p in ps} - seen)
+    return {"edges": spark.createDataFrame([(c, p) for c, *ps in lines for p in ps], "child string, parent string"), "frontier": spark.createDataFrame([(p,) for p in left], "id string")}
 
 
 def tree(spark: SparkSession, run: Runner, revision: str, suffix: str = ".swift", module: str = "Workspace") -> DataFrame:
