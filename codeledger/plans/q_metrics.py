@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import policy
 from ..operators import metrics, scoring
+from ..operators.shared import cut
 from . import bindings as b
 
 TYPES_SQL = """
@@ -25,12 +26,7 @@ def _types(s, d):
 
 
 def metric_types(s, d):
-    types = _types(s, d)
-    f = metrics.owned(b.functions(s, d), types)
-    out = metrics.locc(types).withColumnRenamed("value", "locc")
-    for name, df in (("wmcc", metrics.wmcc(types, f)), ("nomc", metrics.nomc(types, f)), ("nogc", metrics.nogc(types))):
-        out = out.join(df.withColumnRenamed("value", name), ["module", "name"])
-    return out.select("module", F.col("name").cast("long").alias("type_id"), *[F.col(c).cast("long").alias(c) for c in ("locc", "wmcc", "nomc", "nogc")])
+    return metrics.type_measures(_types(s, d), b.functions(s, d)).select("module", F.col("name").cast("long").alias("type_id"), "locc", "wmcc", "nomc", "nogc")
 
 
 METRIC_TYPES = "with " + TYPES_SQL + """
@@ -57,13 +53,13 @@ AMBIGUOUS = "with " + TYPES_SQL + " z as (select 1) select module, k as type_id,
 
 def metric_noav(s, d):
     types = _types(s, d)
-    return metrics.noav(types, b.functions(s, d)).groupBy("value").agg(F.count("*").alias("callables"))
+    return metrics.noav(types, b.functions(s, d)).groupBy("module", F.col("owner").cast("long").alias("type_id")).agg(F.count("*").alias("callables"), F.sum("value").alias("total"), F.max("value").alias("most"))
 
 
 NOAV = "with " + TYPES_SQL + """
 x as (select own.*, (case when exists (select 1 from fields f where f.k = own.k and f.f = cast(r1 as varchar)) then 1 else 0 end)
   + (case when r1 <> r2 and exists (select 1 from fields f where f.k = own.k and f.f = cast(r2 as varchar)) then 1 else 0 end) v from own)
-select cast(v as bigint) as value, count(*) callables from x group by 1
+select module, k type_id, count(*) callables, cast(sum(v) as bigint) total, cast(max(v) as bigint) as most from x group by 1, 2
 """
 
 
@@ -81,16 +77,17 @@ NOCC = f"with {EDGES_SQL} select entity, count(*) as value from (select a entity
 
 
 def _observed(s, d):
-    """Long form with clone blocks of ten lines and more, and no type named by a coupling."""
-    from ..operators import clones
-
+    """Long form of all metrics but clones (``summary_with_clones`` has those); an order is coupled
+    with the next one."""
     types, fns = _types(s, d), b.functions(s, d)
-    found = clones.blocks(b.document_lines(s, d), 3, None).select(F.col("lines").alias("code_lines"))
-    return metrics.observations(types, fns, _couplings(s, d), found)
+    ids = types.select(F.concat_ws(".", "module", "name").alias("id"), F.col("name").cast("long").alias("k"))
+    edges = ids.select(F.col("id").alias("source"), (F.col("k") + 1).alias("k")).join(ids.select(F.col("id").alias("target"), "k"), "k")
+    none = fns.select("code_lines").limit(0)
+    return metrics.observations(types, fns, metrics.coupling_edges(edges), none)
 
 
 def metric_unpivot_summary(s, d):
-    out = metrics.summary(_observed(s, d).filter("metric <> 'DC'"), {"NOMC": 4})
+    out = metrics.summary(_observed(s, d), {"NOMC": 4})
     return out.select("metric", "threshold", *[F.col(c).cast("long").alias(c) for c in ("observations", "violations", "paper_violations", "maximum", "total")])
 
 
@@ -100,7 +97,7 @@ obs as (
   union all select 'WMCC', coalesce((select sum(cx) from own where own.module = ty.module and own.k = ty.k), 0) from ty
   union all select 'NOMC', coalesce((select count(*) from own where own.module = ty.module and own.k = ty.k and is_method), 0) from ty
   union all select 'NOGC', (select count(*) from fields f where f.k = ty.k) from ty
-  union all select 'NOCC', 0 from ty
+  union all select 'NOCC', (select count(*) from ty z where z.k = ty.k + 1 or z.k = ty.k - 1) from ty
   union all select 'NOAV', (case when exists (select 1 from fields f where f.k = own.k and f.f = cast(r1 as varchar)) then 1 else 0 end) + (case when r1 <> r2 and exists (select 1 from fields f where f.k = own.k and f.f = cast(r2 as varchar)) then 1 else 0 end) from own
   union all select 'LOCF', cl from fn union all select 'CCF', cx from fn union all select 'NOPF', pa from fn),
 th(metric, threshold, paper) as (values ('LOCC', 500, 500), ('WMCC', 200, 200), ('NOMC', {nomc}, null), ('NOGC', null, null), ('NOCC', null, null), ('NOAV', null, null), ('LOCF', null, null), ('CCF', 20, 20), ('NOPF', 10, 10), ('DC', 10, 10)),
@@ -112,7 +109,7 @@ SUMMARY = "with " + SUMMARY_BODY.replace("{nomc}", "4") + " select * from su"
 
 
 def paper_scores(s, d):
-    base = metrics.summary(_observed(s, d).filter("metric <> 'DC'"))
+    base = cut(metrics.summary(_observed(s, d)))  # ten rows, scored once for each mode
     out = None
     for mode in policy.SCORING_MODES:
         one = metrics.table_scores(base, F.lit(5000), F.lit(2500), F.lit(900), F.lit(30), F.lit(4000), mode).select(F.lit(mode).alias("mode"), "metric", F.round("score", 9).alias("score"))
@@ -135,7 +132,7 @@ select mode, metric, round(cast(case when mode in ('bounded', 'corrected') then
 
 
 def findings_by_metric(s, d):
-    return metrics.findings(_observed(s, d).filter("metric <> 'DC'"), {"LOCC": 400, "NOPF": 12, "NOMC": 5}).groupBy("metric").agg(F.count("*").alias("findings"), F.sum("value").alias("total"))
+    return metrics.findings(_observed(s, d), {"LOCC": 400, "NOPF": 12, "NOMC": 5}).groupBy("metric").agg(F.count("*").alias("findings"), F.sum("value").alias("total"))
 
 
 FINDINGS = "with " + SUMMARY_BODY.replace("{nomc}", "null") + " select metric, count(*) findings, cast(sum(v) as bigint) total from obs where (metric = 'LOCC' and v > 400) or (metric = 'NOPF' and v > 12) or (metric = 'NOMC' and v > 5) group by 1"
