@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import cut
+from .shared import cut, numbered
 
 DETECTION = ["rule", "source", "line", "column", "subject_digest", "decl_digest"]
 
@@ -359,3 +359,16 @@ def integrity_violations(detections: DataFrame, observed: DataFrame, unresolved:
     """(snapshot_id, detection, times): detections not accounted for exactly once."""
     seen = observed.select("snapshot_id", "detection").unionByName(unresolved.select("snapshot_id", "detection")).groupBy("snapshot_id", "detection").agg(F.count("*").alias("times"))
     return detections.select("snapshot_id", F.col("id").alias("detection")).join(seen, ["snapshot_id", "detection"], "left").withColumn("times", F.coalesce("times", F.lit(0))).filter("times <> 1")
+
+
+def replay_violations(stored: DataFrame, replayed: DataFrame) -> DataFrame:
+    """(finding, snapshot_id, stored_kind, replayed_kind): events that a store has otherwise than its
+    reconciliation gives them again (:func:`events_for`), or that only one of the two has."""
+    keys = ["finding", "snapshot_id"]
+    both = stored.select(*keys, F.col("kind").alias("stored_kind")).join(replayed.select(*keys, F.col("kind").alias("replayed_kind")), keys, "full")
+    return both.filter(~F.col("stored_kind").eqNullSafe(F.col("replayed_kind")))
+
+
+def numbered_detections(detections: DataFrame) -> DataFrame:
+    """Detections of a snapshot with their id, in the order of place and rule."""
+    return numbered(detections, ["source", "line", "column", "rule"]).withColumn("id", F.concat(F.lit("detection:"), F.col("number").cast("string")))

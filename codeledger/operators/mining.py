@@ -106,3 +106,16 @@ def budgeted_units(units: DataFrame, file: str, limit: int) -> DataFrame:
 def stale_sources(current: DataFrame, cached: DataFrame, keys: tuple[str, ...] = ("path", "module", "digest", "budget")) -> DataFrame:
     """Sources whose facts must be made anew: no cached row of equal identity."""
     return current.join(cached.select(*keys), list(keys), "left_anti")
+
+
+SELECTOR = ("rule", "revision", "snapshot_digest", "path", "line", "column", "fingerprint")
+
+
+def lookup(detections: DataFrame, selector: dict[str, object]) -> DataFrame:
+    """The repository detections that a whole selector names: equal in all its parts."""
+    if set(selector) != set(SELECTOR):
+        raise ValueError(f"a selector has exactly {', '.join(SELECTOR)}")
+    out = detections
+    for k, v in selector.items():
+        out = out.filter(F.col(k) == F.lit(v))
+    return out

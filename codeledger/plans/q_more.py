@@ -392,10 +392,32 @@ select * from (select doc_id path, case when doc_id % 10 = 1 then 'source-remove
   from documents where not (doc_id % 10 = 1 and doc_id % 6 = 0)) where reason is not null
 """
 
+
+def replayed_events(s, d):
+    """Stored events that a replay gives otherwise."""
+    o = b.t(s, d, "orders").select(F.col("o_orderkey").alias("finding"), F.col("o_custkey").alias("snapshot_id"), F.col("o_orderstatus").alias("kind"))
+    again = o.filter("finding % 7 <> 0").withColumn("kind", F.when(F.col("finding") % 5 == 0, "X").otherwise(F.col("kind")))
+    return lifecycle.replay_violations(o.filter("finding % 11 <> 0"), again)
+
+
+REPLAYED = """
+select o_orderkey finding, o_custkey snapshot_id, case when o_orderkey % 11 <> 0 then o_orderstatus end stored_kind, case when o_orderkey % 7 <> 0 then case when o_orderkey % 5 = 0 then 'X' else o_orderstatus end end replayed_kind from orders
+where not (o_orderkey % 11 = 0 and o_orderkey % 7 = 0) and (o_orderkey % 11 = 0 or o_orderkey % 7 = 0 or o_orderkey % 5 = 0)
+"""
+
+
+def detection_numbers(s, d):
+    """Detections numbered in the order of place and rule."""
+    det = b.t(s, d, "orders").select(F.col("o_custkey").alias("source"), F.col("o_orderkey").alias("line"), F.lit(1).alias("column"), F.col("o_orderstatus").alias("rule"))
+    return lifecycle.numbered_detections(det).select("line", "id")
+
+
+NUMBERS = "select o_orderkey as line, 'detection:' || row_number() over (order by o_custkey, o_orderkey) id from orders"
+
 QUERIES = {
     "csv_cells": (csv_cells, CSV), "html_cells": (html_cells, HTML), "coverage_lines": (coverage_lines, COVERAGE_LINES), "test_sources": (test_sources, TEST_SOURCES), "excluded_sources": (excluded_sources, EXCLUDED), "snapshot_digest": (snapshot_digest, DIGEST), "cache_dispositions": (cache_dispositions, CACHE),
     "code_line_signatures": (code_line_signatures, CODE_LINES), "graph_nodes": (graph_nodes, NODES), "module_edges": (module_edges, MODULE_EDGES), "resolve_calls": (resolve_calls, CALLS), "summary_with_clones": (summary_with_clones, _summary_sql()), "type_eligibility": (type_eligibility, _eligibility_sql()),
     "absence_proofs": (absence_proofs, ABSENCE), "rule_completeness": (rule_completeness, COMPLETENESS), "verified_absence": (verified_absence, VERIFIED), "coverage_orphans": (coverage_orphans, ORPHANS), "semantic_pairs": (semantic_pairs, SEMANTIC), "configuration_pairs": (configuration_pairs, CONFIGURATION),
     "head_inventory": (head_inventory, INVENTORY), "introduction_search": (introduction_search, SEARCH), "revision_assessment": (revision_assessment, ASSESSMENT), "reusable_history": (reusable_history, REUSABLE), "best_conclusion": (best_conclusion, BEST), "exit_statuses": (exit_statuses, EXIT),
-    "snapshot_absence": (snapshot_absence, SNAPSHOT_ABSENCE), "snapshot_scope": (snapshot_scope, SNAPSHOT_SCOPE), "snapshot_placement": (snapshot_placement, SNAPSHOT_PLACEMENT), "cache_invalidations": (cache_invalidations, CACHE_INVALIDATIONS), "repair_words": (repair_words, REPAIR), "valid_vectors": (valid_vectors, VALID),
+    "snapshot_absence": (snapshot_absence, SNAPSHOT_ABSENCE), "snapshot_scope": (snapshot_scope, SNAPSHOT_SCOPE), "snapshot_placement": (snapshot_placement, SNAPSHOT_PLACEMENT), "cache_invalidations": (cache_invalidations, CACHE_INVALIDATIONS), "replayed_events": (replayed_events, REPLAYED), "detection_numbers": (detection_numbers, NUMBERS), "repair_words": (repair_words, REPAIR), "valid_vectors": (valid_vectors, VALID),
 }

@@ -63,6 +63,14 @@ def test_unit_budget_over_ranges(spark):
     assert {r.file for r in mining.budgeted_units(units, "file", 20).collect()} == kept
 
 
+def test_lookup_by_selector(spark):
+    rows = spark.createDataFrame([("r", 1, "d", "p", 1, 1, "f"), ("r", 1, "d", "p", 2, 1, "f")], "rule string, revision int, snapshot_digest string, path string, line int, column int, fingerprint string")
+    whole = dict(zip(mining.SELECTOR, ("r", 1, "d", "p", 2, 1, "f"), strict=True))
+    assert [r.line for r in mining.lookup(rows, whole).collect()] == [2]
+    with pytest.raises(ValueError):
+        mining.lookup(rows, {"rule": "r"})
+
+
 def test_cache_plans(spark):
     now = spark.createDataFrame([("a", "M", "1", 0), ("b", "M", "2", 0)], "path string, module string, digest string, budget long")
     head = dict.fromkeys(cache.HEADER, "1")
