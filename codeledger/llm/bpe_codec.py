@@ -43,9 +43,9 @@ from . import common
 #: Pieces replayed once for the corpus, at most; about 20 MB in the driver and in a worker.
 HOT_PIECES = 150_000
 #: Encoded pieces that a worker remembers besides; when it is full, it starts anew.
-CACHE_PIECES = 250_000
+CACHE_PIECES = 200_000
 #: Characters of the texts of one block of the replay (a longer text is a block of its own).
-BLOCK_CHARS = 12_000_000
+BLOCK_CHARS = 6_000_000
 #: Distinct pieces that a task counts before it hands them on.
 COUNT_PIECES = 200_000
 _SHIFT = 20
@@ -75,6 +75,12 @@ def splitter(pattern: str):
     return split
 
 
+def spread(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The places first, first + 1, ... of each stretch, one stretch behind the other."""
+    ends = many.cumsum(dtype=np.int64)
+    return np.repeat(first - (ends - many), many) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 class MergeReplay:
     """Encodes and decodes with the ranks of one file."""
 
@@ -105,22 +111,28 @@ class MergeReplay:
         at[at == len(self.pair_keys)] = 0
         return np.where(self.pair_keys[at] == asked, self.pair_made[at], _NONE)
 
-    def replay(self, pieces: list[bytes]) -> list[list[int]]:
-        """The ids of every piece, by one replay over all of them."""
+    def replay(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces in a row, and how many each has, by one replay over all of them."""
         rank = self.rank.get
-        whole = [rank(p) for p in pieces]
-        todo = [n for n, r in enumerate(whole) if r is None and pieces[n]]
-        out: list[list[int]] = [[] if r is None else [r] for r in whole]
-        if todo:
-            sizes = np.array([len(pieces[n]) for n in todo])
-            tape, last = self._replayed(b"".join([pieces[n] for n in todo]), sizes)
-            alive = np.flatnonzero(tape >= 0)
-            ids, ends = tape[alive].tolist(), np.searchsorted(alive, last, side="right").tolist()
-            begin = 0
-            for n, end in zip(todo, ends, strict=True):
-                out[n] = ids[begin:end]
-                begin = end
-        return out
+        whole = np.array([rank(p, -1) for p in pieces], np.int32)
+        counts = (whole >= 0).astype(np.int64)
+        todo = np.array([n for n in np.flatnonzero(whole < 0).tolist() if pieces[n]], np.int64)
+        if not len(todo):
+            return whole[whole >= 0], counts
+        tape, last = self._replayed(b"".join([pieces[n] for n in todo.tolist()]), np.array([len(pieces[n]) for n in todo.tolist()]))
+        alive = np.flatnonzero(tape >= 0)
+        ends = np.searchsorted(alive, last, side="right")
+        counts[todo] = np.diff(ends, prepend=0)
+        ids = np.empty(int(counts.sum()), np.int32)
+        begins = counts.cumsum() - counts
+        ids[begins[whole >= 0]] = whole[whole >= 0]
+        ids[spread(begins[todo], counts[todo])] = tape[alive]
+        return ids, counts
+
+    def listed(self, pieces: list[bytes]) -> list[list[int]]:
+        """The ids of each piece."""
+        ids, counts = self.replay(pieces)
+        return [x.tolist() for x in np.split(ids, counts.cumsum()[:-1])] if pieces else []
 
     def _replayed(self, data: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The tape after all merges (-1 where a symbol went into its left neighbour), and the
@@ -196,7 +208,7 @@ class MergeReplay:
         return tape[:n], last
 
     def encode(self, text: str) -> list[int]:
-        return [i for ids in self.replay([p.encode() for p in self.split(text)]) for i in ids]
+        return self.replay([p.encode() for p in self.split(text)])[0].tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
@@ -207,61 +219,61 @@ def codec(path: str, pattern: str) -> MergeReplay:
     return MergeReplay(path, pattern)
 
 
+#: Encoded pieces: the pieces, their ids in a row, how many each has.
+Encoded = tuple[list[str], np.ndarray, np.ndarray]
+
+
 class Memory(dict):
-    """Piece -> its place in the encoded pieces.  A piece that is met for the first time gets
-    the next place, and its ids with the block's other new pieces by ``settle``."""
+    """Piece -> its place among the encoded pieces: their ids in one row, and for each its ids as
+    text and the bytes decoded from them.  A piece that is met for the first time gets the next
+    place, and its ids with the block's other new pieces by ``settle``."""
 
-    def __init__(self, own: MergeReplay, hot: dict[str, list[int]]):
+    def __init__(self, own: MergeReplay, hot: Encoded):
         super().__init__()
         self.own, self.hot = own, hot
-        self.ids: list[list[int]] = []
         self.new: list[str] = []
-        self.keep(list(hot), list(hot.values()))
+        self.begin()
 
-    def keep(self, pieces: list[str], ids: list[list[int]]) -> None:
-        for p in pieces:
-            self[p] = len(self)
-        self.ids.extend(ids)
+    def begin(self) -> None:
+        self.clear()
+        self.text: list[bytes] = []
+        self.back: list[bytes] = []
+        self.ids, self.many = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.update(zip(self.hot[0], range(len(self.hot[0])), strict=True))
+        self.add(self.hot[1], self.hot[2])
 
     def __missing__(self, piece: str) -> int:
         self[piece] = at = len(self)
         self.new.append(piece)
         return at
 
+    def add(self, ids: np.ndarray, counts: np.ndarray) -> None:
+        flat, at = ids.tolist(), 0
+        for n in counts.tolist():
+            mine = flat[at : at + n]
+            self.text.append(" ".join(map(str, mine)).encode())
+            self.back.append(self.own.decode(mine))
+            at += n
+        self.ids, self.many = np.concatenate([self.ids, ids]), np.concatenate([self.many, counts.astype(np.int32)])
+        self.first = self.many.cumsum(dtype=np.int64) - self.many
+
     def settle(self) -> None:
-        self.ids.extend(self.own.replay([p.encode() for p in self.new]))
-        self.new = []
+        if self.new:
+            self.add(*self.own.replay([p.encode() for p in self.new]))
+            self.new = []
 
     def trim(self) -> None:
         """Forget all but the corpus-wide table, once there is too much else."""
-        if len(self) > len(self.hot) + CACHE_PIECES:
-            self.clear()
-            self.__init__(self.own, self.hot)
-
-
-class DigestMemory(Memory):
-    """A memory that also has, for each piece, its ids as text and the bytes decoded from them."""
-
-    def __init__(self, own: MergeReplay, hot: dict[str, list[int]]):
-        self.text: list[bytes] = []
-        self.back: list[bytes] = []
-        self.many = np.zeros(0, np.int32)
-        super().__init__(own, hot)
-
-    def settle(self) -> None:
-        super().settle()
-        fresh = self.ids[len(self.text) :]
-        self.text.extend(" ".join(map(str, ids)).encode() for ids in fresh)
-        self.back.extend(map(self.own.decode, fresh))
-        self.many = np.append(self.many, np.array([len(ids) for ids in fresh], np.int32))
+        if len(self) > len(self.hot[0]) + CACHE_PIECES:
+            self.begin()
 
     def digests(self, places: np.ndarray) -> tuple[int, str, str]:
         at = places.tolist()
         ids = hashlib.sha256(b" ".join(map(self.text.__getitem__, at))).hexdigest()
         return int(self.many[places].sum()), ids, hashlib.sha256(b"".join(map(self.back.__getitem__, at))).hexdigest()
 
-    def all_ids(self, places: np.ndarray) -> list[int]:
-        return [i for p in places.tolist() for i in self.ids[p]]
+    def all_ids(self, places: np.ndarray) -> np.ndarray:
+        return self.ids[spread(self.first[places], self.many[places])]
 
 
 def piece_counts(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
@@ -294,7 +306,7 @@ def replayed(pieces: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A partition of the corpus-wide table: HOT_PIECES rows in all partitions together.
         rows = [p for b in batches for p in b.column(0).to_pylist()]
-        ids = codec(path, pattern).replay([p.encode() for p in rows])
+        ids = codec(path, pattern).listed([p.encode() for p in rows])
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string()), pa.array(ids, pa.list_(pa.int32()))], names=["piece", "ids"])
 
     return pieces.select("piece").mapInArrow(run, schema)
@@ -313,34 +325,42 @@ def corpus_table(docs: DataFrame, path: str, pattern: str, text: str = "text") -
             break
         least = row.size
     hot = counted.filter(F.floor(F.log2("n") * 8) >= (least if least is not None else 1 << 30))
-    return common.stash(replayed(hot, path, pattern), "bpe-pieces")
-
+    table = common.stash(replayed(hot, path, pattern), "bpe-pieces")
+    common.release(counted)
+    return table
 
-def _coded(docs: DataFrame, path: str, pattern: str, text: str, fields: list[T.StructField], of) -> DataFrame:
-    """``docs`` with ``fields``, which ``of(memory, places)`` gives for the pieces of a text."""
-    from pyspark.sql.pandas.types import to_arrow_type
 
+def _coded(docs: DataFrame, path: str, pattern: str, text: str, digests: bool, ids: str | None) -> DataFrame:
+    """``docs`` with the digests of every text, and its ids in the column ``ids`` if that is named."""
     spark = docs.sparkSession
     common.ship(spark)
     common.short_batches(spark)
     table = corpus_table(docs, path, pattern, text)
-    hot = spark.sparkContext.broadcast({r.piece: r.ids for r in table.collect()})  # HOT_PIECES rows at most
+    rows = table.collect()  # HOT_PIECES rows at most
+    hot = spark.sparkContext.broadcast(([r.piece for r in rows], np.array([i for r in rows for i in r.ids], np.int32), np.array([len(r.ids) for r in rows], np.int32)))
+    common.release(table)
+    fields = [*(_DIGESTS if digests else ()), *([T.StructField(ids, T.ArrayType(T.IntegerType()))] if ids else ())]
     added = {f.name for f in fields}
     kept = [c for c in docs.columns if c not in added]
     source = docs.select(*kept, docs[text].alias("__cl_text"))
-    names, kinds = [*kept, *(f.name for f in fields)], [to_arrow_type(f.dataType) for f in fields]
+    names = [*kept, *(f.name for f in fields)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = DigestMemory(codec(path, pattern), hot.value)
-        memory.settle()
+        memory = Memory(codec(path, pattern), hot.value)
         block: list[tuple[pa.RecordBatch, list[np.ndarray]]] = []
         chars = 0
 
         def done() -> Iterator[pa.RecordBatch]:
             memory.settle()
             for batch, coded in block:
-                rows = [of(memory, places) for places in coded]
-                made = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+                made = []
+                if digests:
+                    told = [memory.digests(places) for places in coded]
+                    made += [pa.array([t[k] for t in told], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
+                if ids:
+                    ends = np.cumsum([0, *(int(memory.many[places].sum()) for places in coded)])
+                    values = memory.all_ids(np.concatenate(coded)) if coded else np.zeros(0, np.int32)
+                    made.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32())))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=names)
             block.clear()
             memory.trim()
@@ -363,7 +383,7 @@ def _coded(docs: DataFrame, path: str, pattern: str, text: str, fields: list[T.S
 
 def encode_ids(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "token_ids") -> DataFrame:
     """``docs`` with the ids of every text in ``out`` (array<int>)."""
-    return _coded(docs, path, pattern, text, [T.StructField(out, T.ArrayType(T.IntegerType()))], lambda memory, places: (memory.all_ids(places),))
+    return _coded(docs, path, pattern, text, False, out)
 
 
 def decode_ids(rows: DataFrame, path: str, pattern: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
@@ -388,8 +408,7 @@ _DIGESTS = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256",
 def round_trip_digests(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str | None = None) -> DataFrame:
     """``docs`` with n_tokens, ids_sha256 and decoded_sha256, and the ids themselves in the
     column ``ids`` if that is named."""
-    fields = _DIGESTS + ([T.StructField(ids, T.ArrayType(T.IntegerType()))] if ids else [])
-    return _coded(docs, path, pattern, text, fields, lambda memory, places: memory.digests(places) + ((memory.all_ids(places),) if ids else ()))
+    return _coded(docs, path, pattern, text, True, ids)
 
 
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,11 +52,12 @@ def own_dir(spark: SparkSession) -> str:
 
 
 def _delete(spark: SparkSession, path: str) -> None:
-    """Remove a folder of the shared store; a session that has ended can't, and leaves it."""
+    """Remove a folder of the shared store; where that can't be done any more, it stays."""
     with contextlib.suppress(Exception):
-        jvm = spark.sparkContext._jvm
+        context, jvm = spark.sparkContext, spark.sparkContext._jvm
+        conf = context._jsc.hadoopConfiguration() if context._jsc else jvm.org.apache.hadoop.conf.Configuration()  # a stopped context has none
         where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        where.getFileSystem(conf).delete(where, True)
 
 
 #: Shuffle files of an execution that is over go at its end when this is set.

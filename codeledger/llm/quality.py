@@ -165,6 +165,7 @@ def fit(stats: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(BINS)), pa.array(n), pa.array(s), pa.array(at)], names=["bin", "n", "s", "at"])
 
     bins = rows.mapInArrow(binned, "bin long, n double, s double, at double").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("at").alias("at")).filter("n > 0").orderBy("bin").toPandas()
+    common.release(rows)
     model.share = pooled(bins["n"].to_numpy(), bins["s"].to_numpy())
     model.at = (bins["at"] / bins["n"]).to_numpy()
     return model

@@ -198,6 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     fields = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("toxic_terms", T.LongType())]
     got = common.map_texts(rows, text, make, fields).select("y", "w", "ids", "toxic_terms").collect()
     got = sorted(got, key=tuple)  # the same sums on every run
+    common.release(rows)
     y, w, many = (np.array([r[c] for r in got]) for c in ("y", "w", "toxic_terms"))
     grade = np.where(y > 0, 1, 0)
     has = (y > 0) & (many > 0)

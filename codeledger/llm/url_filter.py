@@ -95,8 +95,10 @@ def mine(labelled: DataFrame) -> DataFrame:
     # Each set as often as it occurs, for FP-growth counts rows; with the label as one more item.
     rows = counted.join(named, "id").select("items", F.explode(F.array(F.struct(F.lit(True).alias("is"), F.col("bad").alias("times")), F.struct(F.lit(False).alias("is"), (F.col("n") - F.col("bad")).alias("times")))).alias("part"))
     rows = rows.select(F.when(F.col("part.is"), F.concat("items", F.array(F.lit(BLOCK)))).otherwise(F.col("items")).alias("items"), F.explode(F.expr("if(part.times > 0, sequence(1, part.times), cast(array() as array<bigint>))")).alias("k")).select("items")
-    found = FPGrowth(itemsCol="items", minSupport=MIN_SUPPORT, minConfidence=MIN_CONFIDENCE).fit(common.stash(rows, "url-baskets"))
+    baskets = common.stash(rows, "url-baskets")
+    found = FPGrowth(itemsCol="items", minSupport=MIN_SUPPORT, minConfidence=MIN_CONFIDENCE).fit(baskets)
     sets = common.stash(found.freqItemsets, "url-itemsets")
+    common.release(baskets, counted, items)
     alone = sets.filter(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
     left = sets.filter(~F.array_contains("items", BLOCK)).select(F.array_sort("items").alias("tokens"), F.col("freq").alias("n"))
     both = sets.filter(F.array_contains("items", BLOCK) & (F.size("items") > 1)).select(F.array_sort(F.array_remove("items", BLOCK)).alias("tokens"), F.col("freq").alias("bad"))
@@ -107,7 +109,9 @@ def mine(labelled: DataFrame) -> DataFrame:
     # the same inverted index that urls meet them in.
     asked = posted.select(F.col("rule").alias("long"), F.col("tokens").alias("whole"), F.explode("tokens").alias("anchor"))
     beaten = asked.join(posted.select("anchor", "tokens"), "anchor").filter((F.size("tokens") < F.size("whole")) & (F.size(F.array_except("tokens", "whole")) == 0)).select(F.col("long").alias("rule")).distinct()
-    return common.stash(posted.join(beaten, "rule", "left_anti"), "url-rules")
+    rules = common.stash(posted.join(beaten, "rule", "left_anti"), "url-rules")
+    common.release(sets, posted)
+    return rules
 
 
 def judge(pages: DataFrame, labels: DataFrame, url: str = "url", key: str = "page_id", label_key: str = "doc_id") -> DataFrame:

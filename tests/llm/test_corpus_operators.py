@@ -79,7 +79,9 @@ def test_replay_on_random_bytes(encoding):
         assert codec.split(t) == regex.findall(public_tokenizers.PATTERN, t)
         assert codec.encode(t) == encoding.encode_ordinary(t)
     pieces = [p for t in texts for p in codec.split(t)]  # all on one tape
-    assert codec.replay([p.encode() for p in pieces]) == [encoding.encode_ordinary(p) for p in pieces]
+    pieces += ["", " the", "", "a"]
+    assert codec.listed([p.encode() for p in pieces]) == [encoding.encode_ordinary(p) for p in pieces]
+    assert codec.listed([]) == [] and codec.listed([b"", b""]) == [[], []]
 
 
 def test_codec_with_a_corpus_table_and_small_blocks(spark, encoding, monkeypatch):
@@ -101,12 +103,12 @@ def test_codec_with_a_corpus_table_and_small_blocks(spark, encoding, monkeypatch
 def test_codec_memory_starts_anew_when_full(encoding, monkeypatch):
     monkeypatch.setattr(bpe_codec, "CACHE_PIECES", 5)
     own = bpe_codec.codec(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    memory = bpe_codec.DigestMemory(own, {" hot": encoding.encode_ordinary(" hot")})
-    memory.settle()
-    for t in ["one two three four five six", "one seven hot", "two two"] * 2:
-        places = np.array([memory[p] for p in own.split(t)])
+    hot = encoding.encode_ordinary(" hot")
+    memory = bpe_codec.Memory(own, ([" hot"], np.array(hot, np.int32), np.array([len(hot)])))
+    for t in ["one two three four five six", "one seven hot", "two two", ""] * 2:
+        places = np.array([memory[p] for p in own.split(t)], np.int32)
         memory.settle()
-        assert memory.all_ids(places) == encoding.encode_ordinary(t)
+        assert memory.all_ids(places).tolist() == encoding.encode_ordinary(t)
         assert memory.digests(places)[2] == hashlib.sha256(t.encode()).hexdigest()
         memory.trim()
 
