@@ -113,7 +113,7 @@ def explanations(s, d):
 
 
 EXPLANATIONS = f"""
-with {ITEMS_SQL}, {LOOSE_SQL}, r as (select *, row_number() over (partition by item_key order by score desc nulls last, id) n, count(*) filter (score is null) over (partition by item_key) miss from atd)
+with {ITEMS_SQL}, {LOOSE_SQL}, r as (select *, row_number() over (partition by item_key order by score desc nulls last, id, kind, raw) n, count(*) filter (score is null) over (partition by item_key) miss from atd)
 select it.item_key, case when r.item_key is null then 'uncategorized' else 'swift' end category, case when r.item_key is null then '{evidence.NO_EVIDENCE}' else 'Highest evidence is ' || r.kind || ' with raw value ' || r.raw || '. ' || coalesce(r.note, '') end explanation,
   case when miss > 0 then '{evidence.ADVICE_MISSING}' when it.lvl = 'callable' then '{evidence.ADVICE["callable"]}' else '{evidence.ADVICE["file"]}' end recommendation
 from it left join r on r.item_key = it.item_key and n = 1
