@@ -129,22 +129,15 @@ def test_writers_exclude_each_other(spark, tmp_path):
         sink.append_once(rows, path, "id")
 
 
-def words_only(path, module, content):
-    """A front end that takes every word for a function."""
-    found = swift.Facts()
-    found.lines = []
-    found.functions = [{"name": w, "kind": "method", "line": 1, "column": k + 1} for k, w in enumerate(content.split())]
-    return found
-
-
 def test_another_parser(spark):
-    got = facts.table(facts.extract(files.in_memory(spark, [("p", "M", "one two")]), swift.parse), "functions")
-    assert got.count() == 0
-    import cloudpickle
-    import sys
-
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    assert [r.name for r in facts.table(facts.extract(files.in_memory(spark, [("p", "M", "one two")]), words_only), "functions").orderBy("column").collect()] == ["one", "two"]
+    def words_only(path, module, content):  # a front end that takes every word for a function
+        found = swift.Facts()
+        found.functions = [{"name": w, "kind": "method", "line": 1, "column": k + 1} for k, w in enumerate(content.split())]
+        return found
+
+    src = files.in_memory(spark, [("p", "M", "one two")])
+    assert facts.table(facts.extract(src), "functions").count() == 0
+    assert [r.name for r in facts.table(facts.extract(src, words_only), "functions").orderBy("column").collect()] == ["one", "two"]
 
 
 def test_declaration_digests_hold_the_head(spark):
