@@ -61,7 +61,7 @@ def weighted(rows: DataFrame, text: str) -> DataFrame:
     """(text, y, w): rows (``text``, y) with one row's weight shared in each group of near copies."""
     keyed = common.stash(common.map_texts(rows.select(text, "y"), text, lambda: lambda texts: ([copy_key(t) for t in texts],), [T.StructField("copy", T.StringType())]), "toxic-sample")
     groups = keyed.groupBy("copy").agg((1 / F.count("*")).alias("w"))
-    return keyed.join(groups, "copy").select(text, "y", "w")
+    return keyed.join(F.broadcast(groups), "copy").select(text, "y", "w")  # at most SAMPLE_ROWS numbers
 
 
 def sample_of(labels: DataFrame, label: str, rows: int, key: str = "doc_id") -> DataFrame:
