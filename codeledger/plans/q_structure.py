@@ -185,7 +185,7 @@ select e.path, b.source_path matched, case b.prio when 0 then 'exact' when 1 the
 """
 
 
-def coverage_functions(s, d):
+def coverage_function_rows(s, d):
     """Functions of an order by the four strategies; of a part that an order has twice, the least supplier."""
     li = b.t(s, d, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.min("l_suppkey").alias("l_suppkey"))
     src = F.concat(F.lit("o"), F.col("l_orderkey"))
@@ -200,7 +200,12 @@ def coverage_functions(s, d):
     return coverage.callable_coverage(m).select("entity_id", "strategy", "hits", "state", "score")
 
 
-COVERAGE_FUNCTIONS = """
+def coverage_functions(s, d):
+    """How many functions each strategy matched."""
+    return coverage_function_rows(s, d).groupBy("strategy", "state").agg(F.count("*").alias("entities"))
+
+
+COVERAGE_FUNCTION_ROWS = """
 with li as (select l_orderkey o, l_partkey p, min(l_suppkey) s from lineitem group by 1, 2),
 en as (select o, p, o || ':' || p entity_id, case when p % 5 = 0 then 'M.f' || (s % 9) when p % 5 = 1 then 'N.f' || (s % 9) else 'other' end nm, s % 60 line from li),
 h as (select o, 'M.f' || (p % 9) f, max(s % 2) hits from li group by 1, 2), fn as (select o, 'M.f' || (p % 9) f, p % 40 line from li),
@@ -214,6 +219,7 @@ select en.entity_id, case r.prio when 0 then 'exactName' when 1 then 'dottedSuff
   case when r.hits is null then 'unavailable' when r.hits > 0 then 'measuredCoverage' else 'zeroCoverage' end state, case when r.hits > 0 then 100.0 when r.hits = 0 then 0.0 end score
 from en left join r on r.entity_id = en.entity_id and r.n = 1
 """
+COVERAGE_FUNCTIONS = f"select strategy, state, count(*) entities from ({COVERAGE_FUNCTION_ROWS}) group by 1, 2"
 
 
 # --- history -------------------------------------------------------------------------------
@@ -447,7 +453,7 @@ UPSERT = "with n as (select vec_id + 3 id, label + 100 as label from embeddings
 QUERIES = {
     "clone_blocks": (clone_blocks, CLONE_BLOCKS), "clone_unique_lines": (clone_unique_lines, CLONE_UNIQUE), "clone_candidates": (clone_candidates, CLONE_CANDIDATES), "resolve_refs": (resolve_refs, RESOLVE), "resolve_types": (resolve_types, RESOLVE_TYPES),
     "graph_coupling": (graph_coupling, GRAPH_COUPLING), "graph_context": (graph_context, GRAPH_CONTEXT), "graph_neighbours": (graph_neighbours, GRAPH_NEIGHBOURS), "graph_stats": (graph_stats, GRAPH_STATS), "graph_dot": (graph_dot, GRAPH_DOT), "lcov_roundtrip": (lcov_roundtrip, LCOV), "coverage_match": (coverage_match, COVERAGE_MATCH),
-    "coverage_functions": (coverage_functions, COVERAGE_FUNCTIONS), "history_evidence": (history_evidence, HISTORY), "blame_aged": (blame_aged, BLAME), "compare_reports": (compare_reports, COMPARE), "validate_improvement": (validate_improvement, VALIDATE), "missing_evidence_delta": (missing_evidence_delta, MISSING),
+    "coverage_functions": (coverage_functions, COVERAGE_FUNCTIONS), "coverage_function_rows": (coverage_function_rows, COVERAGE_FUNCTION_ROWS), "history_evidence": (history_evidence, HISTORY), "blame_aged": (blame_aged, BLAME), "compare_reports": (compare_reports, COMPARE), "validate_improvement": (validate_improvement, VALIDATE), "missing_evidence_delta": (missing_evidence_delta, MISSING),
     "performance_gate": (performance_gate, GATE), "closed_clumps": (closed_clumps, CLUMPS), "repeated_shapes": (repeated_shapes, SHAPES), "fact_budget": (fact_budget, BUDGET), "stale_sources": (stale_sources, STALE), "evidence_fingerprint": (evidence_fingerprint, FINGERPRINT),
     "rule_grid_complete": (rule_grid, RULE_GRID), "knn_cosine": (_knn("cosine"), _KNN.format(dist=_COS, where="")), "knn_l2": (_knn("l2"), _KNN.format(dist=_L2, where="")), "knn_filtered": (knn_filtered, KNN_FILTERED), "knn_batch": (knn_batch, KNN_BATCH), "vector_upsert": (vector_upsert, UPSERT),
 }
