@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, decontam, media, pii, quality, secrets, sql, simhash, token_count, toxicity, url_filter
+from . import bpe_codec, conversations, decontam, lexical_search, media, pii, quality, secrets, simhash, sql, token_count, token_files, toxicity, url_filter
 
 
 def queries():
@@ -17,6 +17,9 @@ def queries():
         "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
         "op9_personal_data": pii.op9_personal_data,
         "op10_toxicity": toxicity.op10_toxicity,
+        "op11_lexical_search": lexical_search.op11_lexical_search,
+        "op12_token_files": token_files.op12_token_files,
+        "op13_conversation_repair": conversations.op13_conversation_repair,
     }
 
 
