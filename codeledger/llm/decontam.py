@@ -3,24 +3,24 @@
 1. Terms are the words of the benchmark (a word: the lower-cased letters and digits of what
    stands between white space).  One pass over all documents counts their document frequencies;
    a term's weight is its squared idf (idf on either side of a product).
-2. Passages of the benchmark are windows of ``WINDOW`` words at every ``STEP`` words.  Their
-   TF-IDF matrix A is reduced by a distributed randomised SVD: tasks sum the sketch
-   ``Y = A'(A G)`` for a fixed Gaussian matrix G, and the single-pass (Nystroem)
-   eigendecomposition of A'A gives the ``RANK`` leading right singular vectors.
-3. A second pass over all documents projects those of their windows that an item can stand
-   around, takes those whose cosine with a passage of such an item is at least ``COSINE`` as
-   candidates (over full norms, relative to what the projection keeps of the passage, so an
-   equal window has 1), and
-   verifies each (document, item) by the longest common subsequence of words around the window:
-   at least ``LCS_SURE`` of the item, or at least ``LCS_LIKELY`` with ``ANSWER_SHARE`` of its
-   answer (its last ``ANSWER`` words).
+2. Passages of the benchmark are windows of ``WINDOW`` words at every ``STEP`` words, as TF-IDF rows
+   of norm 1.  Their matrix A is reduced by a distributed randomised SVD: tasks sum the sketch
+   ``Y = A'(A G)`` for a fixed Gaussian matrix G (``OVERSAMPLE`` columns more than the rank), and the
+   single-pass (Nystroem) eigendecomposition of A'A gives the ``RANK`` leading right singular vectors.
+3. A second pass over all documents projects their windows (every ``STEP`` words too).  The
+   candidates are the windows whose cosine with a passage is at least ``COSINE``: the inner product in
+   the latent space over both full norms.  Each candidate (document, item) is verified by the
+   longest common subsequence of words around the window: at least ``LCS_SURE`` of the item, or at
+   least ``LCS_LIKELY`` with ``ANSWER_SHARE`` of its answer (its last ``ANSWER`` words).
 
 Words strange to the benchmark count in a window's norm, each with the mean weight of the
-benchmark's terms.  The number of an item's words that a document has at all bounds every
-subsequence: where it is below ``LCS_LIKELY`` of the item, the pair is left out before anything is
-projected, which loses nothing.  The same holds of the stretch around a window that is compared.
-``COSINE`` is low because the checks decide: replaced words and the grid of windows lower the
-cosine of a true paraphrase (its recall is in the README).
+benchmark's terms.  A projection is no longer than what it projects, so a window's cosine is at most
+the share of its norm that benchmark terms have, times the greatest share that a passage keeps;
+windows below ``COSINE`` by that bound aren't projected, which loses nothing.  Nothing else stands
+between a window and the latent search.
+
+``COSINE`` is what decides which paraphrases are found: its recall against an exhaustive search is
+in the README, with that of a random basis, which finds none.
 
 The benchmark's distinct texts are decomposed in blocks of about ``BLOCK_WORDS`` words, and the
 documents are read once for ``PASS_BLOCKS`` blocks together, which bounds what the driver and a
@@ -46,13 +46,13 @@ from pyspark.sql import types as T
 from . import common
 
 WINDOW, STEP = 16, 8
-RANK = 256
-COSINE = 0.05
+RANK, OVERSAMPLE = 512, 128
+COSINE = 0.3
 LCS_SURE, LCS_LIKELY = 0.8, 0.6
 ANSWER, ANSWER_SHARE = 6, 0.6
-#: Words of one decomposed block (an item longer than that makes a longer one): with ``RANK`` 256,
-#: at most 20 MB of projections.  Blocks that one pass over the documents looks for.
-BLOCK_WORDS, PASS_BLOCKS = 20_000, 4
+#: Words of one decomposed block (an item longer than that makes a longer one): at most 16 MB of
+#: projections, and few enough passages for the rank.  Blocks that one pass over the documents looks for.
+BLOCK_WORDS, PASS_BLOCKS = 8_000, 4
 SEED = 42
 _mark = re.compile(r"[^\w\s]|_")
 
@@ -126,7 +126,7 @@ def _steps(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _gaussian(terms: int) -> np.ndarray:
-    return np.random.default_rng(SEED).standard_normal((terms, RANK))
+    return np.random.default_rng(SEED).standard_normal((terms, RANK + OVERSAMPLE))
 
 
 def document_frequencies(docs: DataFrame, vocab: dict[str, int], text: str) -> tuple[np.ndarray, int]:
@@ -159,26 +159,28 @@ def document_frequencies(docs: DataFrame, vocab: dict[str, int], text: str) -> t
 
 
 #: Tasks that sum up the sketch of a block; so many matrices reach the driver.
-SKETCH_TASKS = 4
+SKETCH_TASKS = 2
 
 
 def sketch(bench: DataFrame, vocab: dict[str, int], weight: np.ndarray, text: str) -> np.ndarray:
-    """``Y = A'(A G)`` of the weighted passages of ``bench``, summed over tasks."""
+    """``Y = A'(A G)`` of the weighted passages of ``bench``, each of norm 1, summed over tasks."""
     terms = len(vocab)
     common.ship(bench.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g, y = _gaussian(terms), np.zeros((terms, RANK), np.float64)
+        g = _gaussian(terms)
+        y = np.zeros(g.shape, np.float64)
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 for codes in windows_of([vocab[w] for w in words_of(t or "")]):
                     at, count = np.unique(codes, return_counts=True)
                     row = weight[at] * count
+                    row /= max(float(np.linalg.norm(row)), 1e-12)
                     y[at] += np.outer(row, row @ g[at])
         yield pa.RecordBatch.from_arrays([pa.array([y.astype(np.float32).tobytes()], pa.binary())], names=["y"])
 
     parts = bench.select(text).coalesce(SKETCH_TASKS).mapInArrow(run, "y binary").collect()
-    return sum(np.frombuffer(p.y, np.float32).reshape(terms, RANK).astype(np.float64) for p in parts)
+    return sum(np.frombuffer(p.y, np.float32).reshape(terms, -1).astype(np.float64) for p in parts)
 
 
 def singular_vectors(y: np.ndarray) -> np.ndarray:
@@ -191,7 +193,7 @@ def singular_vectors(y: np.ndarray) -> np.ndarray:
     vals, vecs = np.linalg.eigh((core + core.T) / 2)
     keep = vals > vals.max() * 1e-9
     left, sizes, _ = np.linalg.svd(cy @ (vecs[:, keep] / np.sqrt(vals[keep])), full_matrices=False)
-    return left[:, sizes > sizes[0] * 1e-4]
+    return left[:, :RANK][:, sizes[:RANK] > sizes[0] * 1e-4]
 
 
 class Finder:
@@ -204,52 +206,37 @@ class Finder:
         self.square = np.append(weight**2, float(weight.mean()) ** 2 if len(weight) else 1.0)
         self.table = np.vstack([weight[:, None] * basis, np.zeros((1, rank))]).astype(np.float32)
         q = np.stack([self.table[codes].sum(axis=0) for _, codes in bench.passages]) if bench.passages else np.zeros((0, rank), np.float32)
-        own = np.array([self._norm(codes) for _, codes in bench.passages]).reshape(-1, 1)
-        # Relative to what the projection keeps of the passage: an equal window has 1.
-        self.q = q * own / np.maximum((q * q).sum(axis=1, keepdims=True), 1e-12)
+        own = np.array([self._norm(codes) for _, codes in bench.passages], dtype=np.float32).reshape(-1, 1)
+        self.q = q / np.maximum(own, np.float32(1e-12))
+        #: The greatest share of its norm that a passage keeps.
+        self.kept = float(np.sqrt((self.q**2).sum(axis=1).max())) if len(q) else 0.0
         self.item = np.array([k for k, _ in bench.passages], dtype=np.int64)
-        #: The items that have words: their places, distinct words, all words in a row, where each begins.
-        self.full = np.array([k for k, ws in enumerate(bench.coded) if ws], dtype=np.int64)
-        self.distinct = [np.unique(np.array(ws, dtype=np.int64), return_counts=True) for ws in bench.coded]
-        self.flat = np.array([c for ws in bench.coded for c in ws], dtype=np.int64)
-        sizes = np.array([len(bench.coded[k]) for k in self.full], dtype=np.int64)
-        self.first, self.least = np.cumsum(sizes) - sizes, LCS_LIKELY * sizes
 
     def _norm(self, codes: list[int]) -> float:
         """The full norm of a passage, as windows have it."""
         return float(np.sqrt(self.square[codes].sum()))
 
-    def near(self, codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item): the places around which a text has as many of the item's words as a
-        subsequence needs (a word as often as in the item at most), the whole text counted first."""
-        windows, items = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        slot, begin = np.full(len(self.square), -1), 0
-        for t in range(len(starts) - 1):
-            part = codes[starts[t] : starts[t + 1]]
-            p = np.arange(0, len(part), STEP)
-            here = np.zeros(len(slot), bool)
-            here[part] = True
-            for k in self.full[np.add.reduceat(here[self.flat], self.first, dtype=np.int64) >= self.least]:
-                n = len(self.bench.coded[k])
-                words, often = self.distinct[k]
-                slot[words] = np.arange(len(words))
-                got = slot[part]
-                slot[words] = -1
-                hit = np.flatnonzero(got >= 0)
-                if np.minimum(np.bincount(got[hit], minlength=len(words)), often).sum() < LCS_LIKELY * n:
-                    continue
-                lo, hi = np.searchsorted(hit, p - n), np.searchsorted(hit, p + n + WINDOW)
-                at = np.flatnonzero(hi - lo >= LCS_LIKELY * n)
-                if not len(at):
-                    continue
-                count = np.zeros((len(hit) + 1, len(words)), np.int32)
-                count[np.arange(len(hit)) + 1, got[hit]] = 1
-                count = count.cumsum(axis=0, dtype=np.int32)
-                at = at[np.minimum(count[hi[at]] - count[lo[at]], often).sum(axis=1) >= LCS_LIKELY * n]
-                windows.append(begin + at)
-                items.append(np.full(len(at), k))
-            begin += len(p)
-        return np.concatenate(windows), np.concatenate(items)
+    def candidates(self, codes: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(text, item, place): windows whose latent cosine with a passage is at least COSINE."""
+        begins, owner = _steps(starts)
+        ends = np.append(begins[1:], len(codes))
+        same = np.append(owner[1:] == owner[:-1], False)
+        last = np.where(same, np.append(ends[1:], len(codes)), ends)  # a window is a step and the next of the same text
+        weight = self.square[codes]
+        whole = np.append(0.0, weight.cumsum())
+        known = np.append(0.0, np.where(codes == STRANGE, 0.0, weight).cumsum())
+        norm = whole[last] - whole[begins]
+        able = np.flatnonzero((known[last] - known[begins]) * self.kept**2 >= COSINE**2 * norm * (1 - 1e-9))
+        for k in range(0, len(able), 2048):
+            w = able[k : k + 2048]
+            grid = begins[w][:, None] + np.arange(WINDOW)[None, :]
+            part = np.where(grid < last[w][:, None], codes[np.minimum(grid, len(codes) - 1)], STRANGE)
+            z = self.table[part[:, 0]]
+            for j in range(1, WINDOW):
+                z = z + self.table[part[:, j]]
+            z /= np.sqrt(np.maximum(norm[w], 1e-12)).astype(np.float32)[:, None]
+            for a, b in np.argwhere(z @ self.q.T >= COSINE):
+                yield int(owner[w[a]]), int(self.item[b]), int(begins[w[a]])
 
     def find(self, texts: list[str]) -> list[list[tuple[int, float]]]:
         """For each text the items that it holds: (place in the block, share of the LCS)."""
@@ -257,30 +244,9 @@ class Finder:
         codes, starts = _coded(texts, self.bench.vocab)
         if not len(codes) or not len(self.q):
             return out
-        begins, owner = _steps(starts)
-        ends = np.append(begins[1:], len(codes))
-        weight = self.square[codes]
-        size = ends - begins
-        same = np.append(owner[1:] == owner[:-1], False)
-        norm = np.add.reduceat(weight, begins)  # a window is a step and the next of the same text
-        norm[:-1] += np.where(same[:-1], norm[1:], 0.0)
-        window, item = self.near(codes, starts)
-        close, row = np.unique(window, return_inverse=True)
-        order = np.argsort(row, kind="stable")
-        row, item = row[order], item[order]
         pairs: dict[tuple[int, int], list[int]] = {}
-        for k in range(0, len(close), 2048):
-            w = close[k : k + 2048]
-            w_start, w_end = begins[w], np.where(same[w], np.append(ends, 0)[np.minimum(w + 1, len(ends) - 1)], ends[w])
-            grid = w_start[:, None] + np.arange(WINDOW)[None, :]
-            part = np.where(grid < w_end[:, None], codes[np.minimum(grid, len(codes) - 1)], -1)
-            z = self.table[part].sum(axis=1)
-            z /= np.sqrt(np.maximum(norm[w], 1e-12))[:, None]
-            lo, hi = np.searchsorted(row, (k, k + 2048))
-            able = np.zeros((len(w), len(self.bench.ids)), bool)
-            able[row[lo:hi] - k, item[lo:hi]] = True
-            for a, b in np.argwhere((z @ self.q.T >= COSINE) & able[:, self.item]):
-                pairs.setdefault((int(owner[w[a]]), int(self.item[b])), []).append(int(w_start[a]))
+        for t, k, place in self.candidates(codes, starts):
+            pairs.setdefault((t, k), []).append(place)
         for (t, k), places in pairs.items():
             share = self.verify(codes[starts[t] : starts[t + 1]], k, [p - int(starts[t]) for p in places])
             if share:

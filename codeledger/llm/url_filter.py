@@ -8,8 +8,8 @@ path) are mined as one, which loses no rule and keeps the sets from doubling wit
 Rules are matched through an inverted index: a rule is posted under its rarest token,
 urls meet it there, and the rest of its tokens are checked.
 
-Labels: where ``labels`` has a row for the page's id, ``block`` if it is toxic or of quality 0;
-for other pages the verdict of their explicit rule, if one fits.
+Labels come from ``labels`` alone, by the page's id: ``block`` if it is toxic or of quality 0.  What
+the explicit rules say of a page is never learnt from.
 
 Defined results: a null url or one without ``://`` has empty host and path, fits no rule and
 has the single token ``none``; repeated rows are judged alike; with no labels no rule is mined,
@@ -121,8 +121,8 @@ def judge(pages: DataFrame, labels: DataFrame, url: str = "url", key: str = "pag
     rule, verdict = explicit(F.col("host"), F.col("path"))
     base = base.withColumn("rule", rule).withColumn("__cl_said", verdict).withColumn("__cl_tokens", tokens("__cl_url", F.col("host"), F.col("path")))
     marks = labels.groupBy(F.col(label_key).cast("long").alias("__cl_label")).agg(F.max((F.coalesce("toxic", F.lit(0)) == 1) | (F.coalesce("quality", F.lit(1)) == 0)).alias("__cl_bad")).dropna()
-    told = base.select(F.col(key).cast("long").alias("__cl_id"), F.col("__cl_tokens").alias("tokens"), (F.col("__cl_said") == "block").alias("ruled"))
-    labelled = told.join(marks, told["__cl_id"] == marks["__cl_label"], "left").select("tokens", F.coalesce("__cl_bad", "ruled").alias("bad")).dropna(subset=["bad"])
+    told = base.select(F.col(key).cast("long").alias("__cl_id"), F.col("__cl_tokens").alias("tokens"))
+    labelled = told.join(marks, told["__cl_id"] == marks["__cl_label"]).select("tokens", F.col("__cl_bad").alias("bad"))
     rules = mine(labelled)
     # Distinct token sets meet the index once each, however many pages share them.
     sets = base.filter(F.col("rule").isNull()).select("__cl_tokens").distinct()

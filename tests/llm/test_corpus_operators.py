@@ -201,25 +201,57 @@ def test_contaminated_documents_are_found(spark, monkeypatch, words):
     assert decontam.hits(frame(spark, docs).limit(0), bench).count() == decontam.hits(frame(spark, docs), bench.limit(0)).count() == 0
 
 
-def test_every_paraphrase_that_passes_the_checks_is_a_candidate(spark):
+def test_paraphrases_are_found_by_the_latent_search(spark):
+    """Planted paraphrases that pass the checks by themselves, against an exhaustive search; the
+    singular vectors decide: with a random basis of the same rank next to none is found."""
     rng = random.Random(11)
     items = [text_of(rng, n) for n in (15, 20, 27, 38, 48, 59)]
     docs = [text_of(rng, 120) for _ in range(60)]
     numbered, _ = decontam.items_of(spark.createDataFrame([*enumerate(items)], "item_id long, text string"))
     ((f,),) = decontam.passes(frame(spark, docs), numbered)
-    passed, missed = 0, []
+    planted = []
     for trial in range(1200):
         k, rate, at = rng.randrange(len(items)), rng.choice((0.25, 0.3, 0.35, 0.4)), rng.randrange(121)
         words = [w if rng.random() >= rate else rng.choice((f"zq{trial}", text_of(rng, 1))) for w in f.bench.words[k]]
         host = rng.choice(docs).split()
-        text = " ".join([*host[:at], *words, *host[at:]])
         # What is planted passes by itself, not with chance words of the host.
         codes, _ = decontam._coded([" ".join(words)], f.bench.vocab)
         if f.verify(codes, k, [0]):
-            passed += 1
-            if k not in dict(f.find([text])[0]):
-                missed.append((k, rate, at))
-    assert passed > 500 and not missed
+            planted.append((" ".join([*host[:at], *words, *host[at:]]), k))
+    assert len(planted) > 500
+    found = lambda finder: sum(k in dict(got) for (_, k), got in zip(planted, finder.find([t for t, _ in planted]), strict=True)) / len(planted)
+    assert found(f) >= 0.98
+
+
+def test_the_singular_vectors_decide():
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    bench = decontam.Benchmark([(k, " ".join(word() for _ in range(40))) for k in range(40)])
+    weight = np.full(len(bench.vocab), 25.0)
+    a = np.zeros((len(bench.passages), len(bench.vocab)))
+    for r, (_, codes) in enumerate(bench.passages):
+        at, count = np.unique(codes, return_counts=True)
+        a[r, at] = count / np.linalg.norm(count)
+    fitted = decontam.singular_vectors(a.T @ (a @ decontam._gaussian(len(bench.vocab))))
+    judge, texts, items = decontam.Finder(bench, weight, fitted), [], []
+    for k in [*range(40)] * 3:
+        ws = [w if rng.random() > 0.3 else word() for w in bench.words[k]]
+        if judge.verify(decontam._coded([" ".join(ws)], bench.vocab)[0], k, [0]):
+            texts.append(" ".join([*(word() for _ in range(rng.randrange(60))), *ws, *(word() for _ in range(30))]))
+            items.append(k)
+    assert len(items) > 60
+    recall = lambda basis: sum(k in dict(got) for k, got in zip(items, decontam.Finder(bench, weight, basis).find(texts), strict=True)) / len(items)
+    chance, _ = np.linalg.qr(np.random.default_rng(3).standard_normal((len(bench.vocab), 160)))
+    assert recall(fitted[:, :160]) >= 0.9 and recall(chance) <= 0.2
+
+
+def test_a_very_long_text_that_repeats_an_item(spark):
+    rng = random.Random(19)
+    item = text_of(rng, 59)
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    text = " ".join([item] * 4_000)
+    got = decontam.hits(frame(spark, [text, text_of(rng, 50)]), bench).collect()
+    assert [(r.doc_id, r.item_id) for r in got] == [(0, 1)]
 
 
 def test_words_of_a_text():
