@@ -62,7 +62,7 @@ def _analysis(a: argparse.Namespace):
 def analyze(a: argparse.Namespace) -> int:
     from .plans import analysis
 
-    done, _ = _analysis(a)
+    done, config = _analysis(a)
     kept = scoring.filter_items(done.items, a.level, a.category, a.min_score, a.min_priority)
     done.items = scoring.limited(kept, a.top, None, a.tail)
     if a.format in debt.FORMATS:
@@ -83,6 +83,13 @@ def analyze(a: argparse.Namespace) -> int:
     else:
         lines = sink.render(done.items, a.format)
     _show(lines, a.output)
+    if a.lifecycle_artifact:
+        from .plans import lifecycle_store
+
+        taken = lifecycle_store.snapshot_of(done, _sources(a, config), a.revision, tuple(a.parent or ()), not a.dirty, "partial" if a.manifest or a.exclude or a.partial else "repository")
+        outcome, events = lifecycle_store.LifecycleStore(_session(), a.lifecycle_artifact).record(taken)
+        counts = {r.kind: r["count"] for r in events.groupBy("kind").count().collect()}
+        print(f"{taken.id} {outcome} " + " ".join(f"{k}={n}" for k, n in sorted(counts.items())))
     if not done.complete:
         return 2
     return _over(done, a.max_score)
@@ -181,6 +188,24 @@ def lifecycle_export(a: argparse.Namespace) -> int:
     return 0
 
 
+def infer_introduction(a: argparse.Namespace) -> int:
+    """Where a finding, or each that is open, came in."""
+    from .plans import lifecycle_store
+
+    rows = lifecycle_store.LifecycleStore(_session(), a.artifact).introductions(a.finding)
+    _show(sink.ordered(rows, ["finding", "start"], F.format_string("%s %s %s steps=%d %s", "finding", "kind", "revision", "steps", F.array_join("reasons", ","))), a.output)
+    return 0 if not rows.isEmpty() else 1
+
+
+def lifecycle_inspect(a: argparse.Namespace) -> int:
+    """What became of each detection of one snapshot of a recorded history."""
+    from .plans import lifecycle_store
+
+    rows = lifecycle_store.LifecycleStore(_session(), a.artifact).inspect(a.snapshot)
+    _show(sink.ordered(rows, ["source", "line", "column", "rule"], F.format_string("%s:%d:%d: %s %s %s", "source", "line", "column", "rule", F.coalesce("kind", F.lit("-")), F.coalesce("finding", F.lit("-")))), a.output)
+    return 0
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="codeledger")
     verbs = p.add_subparsers(required=True)
@@ -205,6 +230,11 @@ def main(argv: list[str] | None = None) -> int:
             v.add_argument("--min-priority")
             v.add_argument("--top", type=int)
             v.add_argument("--tail", type=int)
+            v.add_argument("--lifecycle-artifact", help="history to record this analysis in")
+            v.add_argument("--revision")
+            v.add_argument("--parent", action="append", help="revision before this one")
+            v.add_argument("--dirty", action="store_true", help="the tree has changes that no revision holds")
+            v.add_argument("--partial", action="store_true", help="not all sources of the repository are analysed")
     for name, run in (("compare", compare_reports), ("validate-improvement", validate_improvement)):
         v = verbs.add_parser(name)
         v.add_argument("before")
@@ -222,6 +252,16 @@ def main(argv: list[str] | None = None) -> int:
             v.add_argument(more)
         v.add_argument("--output")
         v.set_defaults(run=run)
+    v = verbs.add_parser("lifecycle-infer-introduction")
+    v.add_argument("artifact")
+    v.add_argument("--finding")
+    v.add_argument("--output")
+    v.set_defaults(run=infer_introduction)
+    v = verbs.add_parser("lifecycle-inspect")
+    v.add_argument("artifact")
+    v.add_argument("snapshot")
+    v.add_argument("--output")
+    v.set_defaults(run=lifecycle_inspect)
     a = p.parse_args(argv)
     return a.run(a)
 

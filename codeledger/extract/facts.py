@@ -6,22 +6,23 @@ import json
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import nesting
 from ..packaging import ship
 from . import swift
 
 #: Kind -> payload schema.
 TABLES = {
-    "fragments": "module string, name string, kind string, is_extension boolean, line long, column long, code_lines long, property_names array<string>, referenced_types array<string>, imported_modules array<string>, head string",
-    "functions": "name string, kind string, owner string, module string, line long, column long, parameters long, access_level string, code_lines long, complexity long, cognitive long, max_nesting long, bare_refs array<string>, self_refs array<string>, shadowed array<string>, head string",
+    "fragments": "module string, name string, kind string, is_extension boolean, line long, column long, code_lines long, property_names array<string>, referenced_types array<string>, imported_modules array<string>, head string, begin long, end long",
+    "functions": "name string, kind string, owner string, module string, line long, column long, parameters long, access_level string, code_lines long, complexity long, cognitive long, max_nesting long, bare_refs array<string>, self_refs array<string>, shadowed array<string>, head string, begin long, end long",
     "closures": "owner string, line long, column long, code_lines long, complexity long, cognitive long, max_nesting long, parameters long",
     "effects": "function string, category string, detail string, line long, column long, in_closure boolean, of_line long, of_column long",
     "risks": "category string, detail string, line long, column long, function string, of_line long, of_column long",
     "compositions": "function string, operation string, line long, column long, impure boolean, of_line long, of_column long",
     "calls": "function string, callee string, labels string, line long, column long, of_line long, of_column long",
-    "detections": "rule string, line long, column long, message string",
+    "detections": "rule string, line long, column long, message string, subject array<string>",
     "clumps": "kind string, display_name string, line long, column long, elements array<struct<name:string,type:string>>",
     "switches": "scope string, discriminator string, case_shape array<string>, line long, column long, conditional boolean",
     "lines": "number long, signature string",
@@ -70,15 +71,12 @@ def diagnostics(facts: DataFrame, strict: bool = False) -> DataFrame:
 
 
 def structural_digests(facts: DataFrame) -> DataFrame:
-    """Detections with digests of their line's tokens and of the tokens of the head of the
-    declaration they stand in (the last one that begins before them; null before the first).  One
-    ordered pass over a file's heads and detections."""
-    det = table(facts, "detections")
-    lines = table(facts, "lines").select("path", F.col("number").alias("line"), "signature")
-    place = lambda kind: table(facts, kind).select("path", "line", "column", "head", F.lit(0).alias("__order"), F.lit(None).cast("string").alias("rule"))
-    every = place("functions").unionByName(place("fragments")).unionByName(det.select("path", "line", "column", F.lit(None).cast("string").alias("head"), F.lit(1).alias("__order"), "rule"))
-    before = Window.partitionBy("path").orderBy("line", "column", "__order", "head").rowsBetween(Window.unboundedPreceding, 0)
-    inside = every.withColumn("declaration", F.last("head", ignorenulls=True).over(before)).filter("__order = 1").select("path", "rule", "line", "column", "declaration").distinct()
-    full = inside.join(lines, ["path", "line"], "left")
-    frame = lambda c: F.sha2(F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c)), 256)
-    return full.select("path", "rule", "line", "column", frame("signature").alias("subject_digest"), frame("declaration").alias("decl_digest"))
+    """Detections with digests of the subject's tokens and of the heads of all declarations that
+    enclose them, the outermost first (null where none does)."""
+    det = table(facts, "detections").withColumn("at", F.shiftleft(F.col("line"), 20).bitwiseOR(F.col("column")))
+    det = det.withColumn("id", F.struct("path", "rule", "line", "column"))
+    inside = table(facts, "functions").select("path", "begin", "end", "head").unionByName(table(facts, "fragments").select("path", "begin", "end", "head"))
+    chains = nesting.enclosing(det.select("path", "id", "at").distinct(), inside, "head")
+    full = det.join(chains, "id", "left")
+    rows = full.select("path", "rule", "line", "column", nesting.framed_digest(F.col("subject")).alias("subject_digest"), F.when(F.col("chain").isNotNull(), nesting.framed_digest(F.col("chain"))).alias("decl_digest"))
+    return rows.distinct()

@@ -62,6 +62,7 @@ class Scanner:
             self.facts.lines.append({"number": line, "signature": "|".join(f"{len(x.text)}:{x.text}" for x in group)})
         self.conditional = self._conditional()
         self.declarations(0, len(self.t), [], None)
+        self.forced()
 
     def _brackets(self) -> dict[int, int]:
         found, stack = {}, []
@@ -97,8 +98,30 @@ class Scanner:
         """Lines that hold a token of [a, b)."""
         return len({x.line for x in self.t[a:b]})
 
+    def place(self, i: int) -> int:
+        """Where a token stands, as one number."""
+        return self.t[i].line << 20 | self.t[i].column
+
     def detect(self, rule: str, i: int, message: str) -> None:
-        self.facts.detections.append({"rule": rule, "line": self.t[i].line, "column": self.t[i].column, "message": message})
+        self.facts.detections.append({"rule": rule, "line": self.t[i].line, "column": self.t[i].column, "message": message, "subject": self.subject(i)})
+
+    def subject(self, i: int) -> list[str]:
+        """The tokens of what is detected at ``i``: up to the end of its line, a separator, or the bracket
+        around it; a bracket in it is taken whole, but for the body of a declaration."""
+        k, out = i, []
+        while k < len(self.t) and self.t[k].line == self.t[i].line and self.t[k].text not in (";", ",", "{", "}", ")", "]"):
+            close = self.match.get(k, k)
+            out += [x.text for x in self.t[k : close + 1]]
+            k = max(close, k) + 1
+        return out or [self.t[i].text]
+
+    def forced(self) -> None:
+        """Forced tries and casts, wherever they stand."""
+        for k in range(len(self.t) - 1):
+            word = self.t[k]
+            if word.kind == "word" and word.text in ("try", "as") and self.t[k + 1].text == "!":
+                rule = "codeledger.force-try" if word.text == "try" else "codeledger.code-smell.force-cast"
+                self.detect(rule, k + 1, "A forced try can crash." if word.text == "try" else "A forced cast can crash.")
 
     def skip_attribute(self, i: int) -> int:
         i += 2  # the at sign and the name
@@ -202,7 +225,7 @@ class Scanner:
         if kind == "actor":
             self.risk("actorIsolation", at, name, None)
         me = {
-            "module": self.module, "name": ".".join([*scope, name]), "kind": kind, "is_extension": kind == "extension", "line": self.t[at].line, "column": self.t[at].column,
+            "module": self.module, "name": ".".join([*scope, name]), "kind": kind, "is_extension": kind == "extension", "line": self.t[at].line, "column": self.t[at].column, "begin": self.place(at) + 1, "end": self.place(close),
             "code_lines": self.code_lines(start, close + 1), "property_names": [], "referenced_types": sorted(self.references(at + 1, close, name)), "imported_modules": sorted(set(self.facts.imports)), "head": " ".join(x.text for x in self.t[start:j]),
         }
         self.facts.fragments.append(me)
@@ -366,8 +389,9 @@ class Scanner:
     # --- bodies ---
 
     def function(self, name: str, kind: str, a: int, b: int, start: int, owner: dict | None, scope: list[str], access: str | None, shadow: list[str], parameters: int) -> int:
+        at = next((k for k in range(start, a) if self.t[k].text in ("func", "init", "deinit", "subscript")), start)
         row = {
-            "name": name, "kind": kind, "owner": owner["name"] if owner else None, "module": self.module, "line": self.t[start].line, "column": self.t[start].column, "parameters": parameters, "access_level": access,
+            "name": name, "kind": kind, "owner": owner["name"] if owner else None, "module": self.module, "line": self.t[start].line, "column": self.t[start].column, "begin": self.place(at) + 1, "end": self.place(b), "parameters": parameters, "access_level": access,
             "code_lines": self.code_lines(start, b + 1), "complexity": 1, "cognitive": 0, "max_nesting": 0, "bare_refs": [], "self_refs": [], "shadowed": sorted(set(shadow)), "head": " ".join(x.text for x in self.t[start:a]),
         }
         self.facts.functions.append(row)
@@ -500,9 +524,6 @@ class Scanner:
                     self.closure(k, row)
                     k = self.match[k] + 1
                     continue
-            elif x.kind == "word" and word in ("try", "as") and after == "!":
-                rule = "codeledger.force-try" if word == "try" else "codeledger.code-smell.force-cast"
-                self.detect(rule, k + 1, "A forced try can crash." if word == "try" else "A forced cast can crash.")
             if word == "try" or word == "throw":
                 self.effect(row, "throwingEffect", k, word, closure)
             elif word == "await":

@@ -43,34 +43,55 @@ def assess(revisions: DataFrame, detections: DataFrame, blockers: dict[str, str]
     return full.select("revision", F.when(F.size(many) > 0, "incomplete").when(n == 1, "present").otherwise("absent").alias("outcome"), many.alias("reasons"))
 
 
-def trace(edges: DataFrame, assessed: DataFrame, start: str, most_steps: int = 10_000) -> dict[str, object]:
-    """Follow the single parent that shows the finding, from ``start``.
-
-    exact: the last revision is a root, or all its parents prove absence; bounded: more than one
-    parent shows it, a parent is incomplete, or one wasn't assessed.  The walk needs one row of
-    parents a step; the whole ancestry it walks over was bounded by the search."""
-    known = edges.join(assessed.select(F.col("revision").alias("parent"), "outcome"), "parent", "left").select("child", "parent", F.coalesce("outcome", F.lit("missing")).alias("outcome"))
-    up = known.groupBy("child").agg(
-        F.count_if(F.col("outcome") == "present").alias("positive"), F.count_if(F.col("outcome") == "absent").alias("absent"), F.count("*").alias("parents"),
-        F.min(F.when(F.col("outcome") == "present", F.col("parent"))).alias("next"), F.max(F.col("outcome") == "missing").alias("missing"),
+#: Why a trace ends where it does.
+ROOT, PARENTS_ABSENT, MANY, NO_PARENT, NO_BUDGET, NO_ANCESTRY, FOLLOWED = "verified-repository-root", "verified-parent-absence", "multiple-positive-parent-lineages", "history-parent-missing", "history-budget-exhausted", "history-ancestry-incomplete", "positive-parent-followed"
+
+
+def trace_all(edges: DataFrame, assessed: DataFrame, starts: DataFrame, frontier: DataFrame | None = None) -> DataFrame:
+    """(finding, start, kind, revision, steps, reasons): where each finding came in, all at once.
+
+    ``edges``: child, parent; ``assessed``: finding, revision, outcome (present, absent, incomplete) and,
+    if there are any, reasons (array); ``starts``: finding, revision; ``frontier``: revisions that the
+    search's budget left out.  From a revision that shows the finding the single parent that shows it
+    too is followed.  exact: a root, or all parents prove absence; bounded: a parent is incomplete or
+    wasn't assessed, or several show it, or the history has a cycle.
+
+    Each (finding, revision) has one pointer, to its parent or to itself where a trace ends.  Pointers
+    jump twice as far in every round and carry the steps they stand for, so rounds grow with the
+    logarithm of the longest history, and no path is ever listed."""
+    if "reasons" not in assessed.columns:
+        assessed = assessed.withColumn("reasons", F.array().cast("array<string>"))
+    present = assessed.filter("outcome = 'present'").select("finding", "revision")
+    known = assessed.select("finding", F.col("revision").alias("parent"), "outcome", "reasons")
+    left_out = (frontier if frontier is not None else edges.select(F.col("parent").alias("revision")).limit(0)).select(F.col("revision").alias("parent")).distinct().withColumn("cut", F.lit(True))
+    up = present.join(edges.select(F.col("child").alias("revision"), "parent").distinct(), "revision", "left").join(known, ["finding", "parent"], "left").join(left_out, "parent", "left")
+    why = F.when(F.col("parent").isNull(), F.array().cast("array<string>")).when(F.col("outcome").isNull(), F.array(F.when(F.col("cut"), F.lit(NO_BUDGET)).otherwise(F.lit(NO_PARENT)))).when(F.col("outcome") == "incomplete", F.when(F.size("reasons") > 0, F.col("reasons")).otherwise(F.array(F.lit(NO_ANCESTRY))))
+    sums = up.select("finding", "revision", "parent", "outcome", F.explode_outer(F.coalesce(why, F.array().cast("array<string>"))).alias("why")).groupBy("finding", "revision").agg(
+        F.count_distinct("parent").alias("parents"), F.count_distinct(F.when(F.col("outcome") == "present", F.col("parent"))).alias("positive"),
+        F.min(F.when(F.col("outcome") == "present", F.col("parent"))).alias("next"), F.array_sort(F.collect_set("why")).alias("blockers"),  # a few codes
     )
-    step = {r.child: r for r in up.limit(most_steps + 1).collect()}
-    if len(step) > most_steps:
-        raise ValueError(f"the history has more than {most_steps} revisions; search with a budget first")
-    at, path, reasons = start, [start], []
-    while True:
-        r = step.get(at)
-        if r is None:
-            return {"kind": "exact", "revision": at, "path": path, "reasons": [*reasons, "verified-repository-root"]}
-        if r.positive == 1 and r.absent == r.parents - 1:
-            at = r.next
-            path.append(at)
-            reasons.append("positive-parent-followed")
-        elif r.absent == r.parents:
-            return {"kind": "exact", "revision": at, "path": path, "reasons": [*reasons, "verified-parent-absence"]}
-        else:
-            why = "multiple-positive-parent-lineages" if r.positive > 1 else "history-parent-missing" if r.missing else "history-ancestry-incomplete"
-            return {"kind": "bounded", "revision": at, "path": path, "reasons": [*reasons, why]}
+    end = F.when(F.col("parents") == 0, F.array(F.lit(ROOT))).when(F.size("blockers") > 0, F.col("blockers")).when(F.col("positive") == 0, F.array(F.lit(PARENTS_ABSENT))).when(F.col("positive") > 1, F.array(F.lit(MANY)))
+    now = cut(sums.select("finding", "revision", F.when(end.isNull(), F.col("next")).otherwise(F.col("revision")).alias("at"), F.when(end.isNull(), 1).otherwise(0).cast("long").alias("steps"), end.alias("end")))
+    rows, reach = now.count(), 1
+    while reach <= 2 * rows and not now.filter("end is null").isEmpty():
+        ahead = now.select("finding", F.col("revision").alias("at"), F.col("at").alias("next"), F.col("steps").alias("more"), F.col("end").alias("known"))
+        moved = now.filter("end is null").join(ahead, ["finding", "at"]).select("finding", "revision", F.col("next").alias("at"), (F.col("steps") + F.col("more")).alias("steps"), F.col("known").alias("end"))
+        now, reach = cut(now.filter("end is not null").unionByName(moved)), 2 * reach
+    asked = starts.select("finding", F.col("revision").alias("start")).distinct().join(now.withColumnRenamed("revision", "start"), ["finding", "start"], "left")
+    exact = F.array_contains("end", ROOT) | F.array_contains("end", PARENTS_ABSENT)
+    reasons = F.when(F.col("end").isNull(), F.array(F.lit(NO_ANCESTRY))).when(F.col("steps") > 0, F.array_sort(F.array_union("end", F.array(F.lit(FOLLOWED))))).otherwise(F.col("end"))
+    ended = F.col("end").isNotNull()
+    return asked.select("finding", "start", F.when(exact, "exact").otherwise("bounded").alias("kind"), F.when(ended, F.col("at")).otherwise(F.col("start")).alias("revision"), F.when(ended, F.col("steps")).otherwise(0).cast("long").alias("steps"), reasons.alias("reasons"))
+
+
+def trace(edges: DataFrame, assessed: DataFrame, start: str) -> dict[str, object]:
+    """The trace of one finding (``assessed``: revision, outcome) from one revision that shows it: kind,
+    revision, steps, reasons."""
+    one = F.lit("finding").alias("finding")
+    shown = edges.sparkSession.createDataFrame([(start, "present")], "revision string, outcome string")
+    rows = assessed.select("revision", "outcome").filter(F.col("revision") != start).unionByName(shown)
+    row = trace_all(edges, rows.select(one, "revision", "outcome"), edges.sparkSession.createDataFrame([("finding", start)], "finding string, revision string")).first()
+    return {"kind": row.kind, "revision": row.revision, "steps": row.steps, "reasons": list(row.reasons)}
 
 
 def reusable(history: DataFrame, key: str = "revision") -> DataFrame:

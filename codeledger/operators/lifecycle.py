@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .relocation import trace_sources
 from .shared import cut, numbered
 
 DETECTION = ["rule", "source", "line", "column", "subject_digest", "decl_digest"]
@@ -103,12 +104,23 @@ def new_and_absent(candidates: DataFrame, detections: DataFrame, related: DataFr
     return new.unionByName(gone)
 
 
+class Reconciled(dict):
+    """The outcomes of one snapshot by name; the components of unresolved groups are found when they are
+    asked for."""
+
+    def __missing__(self, name: str) -> DataFrame:
+        if name != "groups":
+            raise KeyError(name)
+        self[name] = unresolved_groups(self["relations"], self["matches"])
+        return self[name]
+
+
 def reconcile(candidates: DataFrame, detections: DataFrame, renames: DataFrame | None = None) -> dict[str, DataFrame]:
-    """All four outcomes of one snapshot: matches, groups, new and absent, and the relations."""
+    """All outcomes of one snapshot: relations, matches, new_and_absent, and groups."""
     first = cut(relations(candidates, detections, renames))
     related = cut(first.unionByName(divergence(candidates, detections, first)))
     matched = cut(unique_matches(related))
-    return {"relations": related, "matches": matched, "groups": unresolved_groups(related, matched), "new_and_absent": new_and_absent(candidates, detections, related)}
+    return Reconciled(relations=related, matches=matched, new_and_absent=new_and_absent(candidates, detections, related))
 
 
 # --- snapshots as a forest -----------------------------------------------------------------
@@ -268,22 +280,12 @@ def place(arriving: DataFrame, store: DataFrame) -> DataFrame:
     return full.select("id", where.alias("placement"), F.when(where == "successor", F.col("__at")).alias("predecessor"))
 
 
-def relocation(start: DataFrame, renames: DataFrame, deletions: DataFrame, most_steps: int = 64) -> DataFrame:
+def relocation(start: DataFrame, renames: DataFrame, deletions: DataFrame) -> DataFrame:
     """(id, path, outcome): where a source went along ordered snapshots: renames (position,
     prior, current) and deletions (position, prior).  deleted, relocated or unchanged."""
-    now = cut(start.select("id", F.col("path"), F.lit(-1).cast("long").alias("at"), F.lit("unchanged").alias("outcome")))
-    for _ in range(most_steps):
-        steps = renames.select("position", F.col("prior").alias("path"), F.col("current").alias("next")).unionByName(deletions.select("position", F.col("prior").alias("path"), F.lit(None).cast("string").alias("next")))
-        live = now.filter("outcome <> 'deleted'")
-        hit = live.join(steps, "path").filter("position > at").groupBy("id").agg(F.min(F.struct("position", "path", "next")).alias("m"))
-        if hit.isEmpty():
-            return now.select("id", "path", "outcome")
-        moved = now.join(hit, "id", "left")
-        now = cut(moved.select(
-            "id", F.when(F.col("m").isNull(), F.col("path")).otherwise(F.coalesce("m.next", "m.path")).alias("path"), F.coalesce("m.position", "at").alias("at"),
-            F.when(F.col("m").isNull(), F.col("outcome")).when(F.col("m.next").isNull(), "deleted").otherwise("relocated").alias("outcome"),
-        ))
-    raise RuntimeError("a source was relocated more often than allowed")
+    one = lambda df: df.withColumn("line", F.lit(0))
+    asked = one(start.select("id", "path")).withColumn("after", F.lit(-1)).withColumn("through", F.lit(None).cast("long"))
+    return trace_sources(asked, one(renames), one(deletions)).select("id", "path", "outcome")
 
 
 def trace_introduction(observations: DataFrame) -> DataFrame:

@@ -23,37 +23,66 @@ class Mined:
 _GROUPS = "items array<string>, support long, units array<string>"
 
 
-def closed_itemsets(units: DataFrame, unit: str = "unit", items: str = "items", min_items: int = 3, min_support: int = 2, max_comparisons: int = policy.REPOSITORY_LIMITS["comparisons"], max_units: int = policy.REPOSITORY_LIMITS["units"], max_groups: int = policy.REPOSITORY_LIMITS["detections"]) -> Mined:
+def closed_itemsets(units: DataFrame, unit: str = "unit", items: str = "items", min_items: int = 3, min_support: int = 2, max_comparisons: int | None = policy.REPOSITORY_LIMITS["comparisons"], max_units: int | None = policy.REPOSITORY_LIMITS["units"], max_groups: int | None = policy.REPOSITORY_LIMITS["detections"], name_units: bool = True) -> Mined:
     """Closed itemsets of at least ``min_items`` elements that ``min_support`` units hold.
 
-    The closure lattice grows by intersecting the newest candidates with the distinct unit sets
-    that share an element with them, until nothing new comes.  Equal sets are one row with a
-    count, so copies cost nothing.  Past ``max_comparisons`` intersections the result is
-    incomplete and empty: never cut."""
+    Each closed set is extended by every later element that enough of its units hold, and closed again
+    (all elements that those units share); the extension counts only if the closure brings no
+    element before the one that was added, so each closed set is made exactly once, from one other.
+    A level of extensions is a few aggregations over (closed set, unit set, element): sets never meet
+    sets, so an element of very many units costs its rows, not their pairs.  Equal unit sets are one
+    row with a count.
+
+    Budgets (None: none) fail closed: past ``max_comparisons`` the result is incomplete and empty.
+    The comparisons are those of an enumeration that meets every candidate (closed set of enough
+    elements) with every unit twice and its holders once more; they follow from the counts, and are
+    checked after each level.  ``name_units``: list the units of each group, which grows with them."""
     spark = units.sparkSession
-    clean = units.select(F.col(unit).cast("string").alias("unit"), F.array_sort(F.array_distinct(items)).alias("items")).filter(F.size("items") >= min_items)
-    if clean.limit(max_units + 1).count() > max_units:
-        return Mined(spark.createDataFrame([], _GROUPS), False, ["analysis-unit-budget-exceeded"])
-    sets = cut(clean.groupBy("items").agg(F.count("*").alias("n")))
-    by_element = cut(sets.select(F.col("items").alias("unit_items"), F.explode("items").alias("element")))
-    known = fresh = sets.select("items")
-    spent = 0
+    nothing = spark.createDataFrame([], _GROUPS)
+    every = units.count() if max_units is not None or max_comparisons is not None else 0
+    if max_units is not None and every > max_units:
+        return Mined(nothing, False, ["analysis-unit-budget-exceeded"])
+    clean = units.select(F.col(unit).cast("string").alias("unit"), F.array_sort(F.array_distinct(F.filter(items, lambda x: x.isNotNull()))).alias("items")).filter(F.size("items") >= min_items)
+    sets = cut(clean.groupBy("items").agg(F.count("*").alias("n")).withColumn("set", F.xxhash64("items")).withColumn("set", F.struct("set", "items")))
+    least = 1 if max_comparisons is not None else min_support  # candidates of one unit cost comparisons too
+    flat = cut(sets.select("set", "n", F.explode("items").alias("element")))
+    total, units_in = sets.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if units_in < least or not total:
+        return Mined(nothing, True, [])
+    shared = sorted(r.element for r in flat.groupBy("element").agg(F.count("*").alias("k")).filter(F.col("k") == total).select("element").collect())  # no more than one unit has
+    start = F.array(*map(F.lit, shared)).cast("array<string>")
+    held = cut(sets.select(start.alias("closed"), F.lit(None).cast("string").alias("core"), "set", "n"))
+    levels, candidates = [held], 0
     while True:
-        met = fresh.select("items", F.explode("items").alias("element")).join(by_element, "element").select("items", "unit_items").distinct()
-        made = met.select(F.array_sort(F.array_intersect("items", "unit_items")).alias("made")).groupBy("made").agg(F.count("*").alias("n"))
-        made = cut(made)
-        spent += int(made.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-        if spent > max_comparisons:
-            return Mined(spark.createDataFrame([], _GROUPS), False, ["comparison-budget-exceeded"])
-        fresh = cut(made.select(F.col("made").alias("items")).filter(F.size("items") >= min_items).join(known, "items", "left_anti"))
-        if fresh.isEmpty():
+        size = levels[-1].filter(F.size("closed") >= min_items).select("closed").distinct().count() if max_comparisons is not None else 0
+        candidates += size
+        if max_comparisons is not None and 2 * candidates * every > max_comparisons:
+            return Mined(nothing, False, ["comparison-budget-exceeded"])
+        last = levels[-1]
+        grown = last.join(flat.drop("n"), "set").filter((F.col("core").isNull() | (F.col("element") > F.col("core"))) & ~F.array_contains("closed", F.col("element"))).select("closed", F.col("element").alias("added"), "set", "n")
+        enough = grown.groupBy("closed", "added").agg(F.sum("n").alias("support"), F.count("*").alias("k")).filter(F.col("support") >= least)
+        grown = cut(grown.join(enough.select("closed", "added", "k"), ["closed", "added"]))
+        if grown.isEmpty():
             break
-        known = cut(known.unionByName(fresh))
-    # Every intersection of units is closed already; what is left is its support.
-    element = known.select("items", F.size("items").alias("k"), F.explode("items").alias("element"))
-    holds = element.join(clean.select("unit", F.explode("items").alias("element")), "element").groupBy("items", "k", "unit").agg(F.count("*").alias("have")).filter("have = k")
-    groups = holds.groupBy("items").agg(F.count("*").alias("support"), F.array_sort(F.collect_list("unit")).alias("units")).filter(F.col("support") >= min_support)
-    if groups.limit(max_groups + 1).count() > max_groups:
+        inside = grown.join(flat.drop("n"), "set").groupBy("closed", "added", "element").agg(F.count("*").alias("have"), F.first("k").alias("k")).filter("have = k")
+        made = inside.groupBy("closed", "added").agg(F.array_sort(F.collect_list("element")).alias("made"))  # no more than one unit has
+        before = lambda c: F.size(F.filter(c, lambda x: x < F.col("added")))
+        made = made.filter(before("made") == before("closed"))
+        levels.append(cut(grown.join(made, ["closed", "added"]).select(F.col("made").alias("closed"), F.col("added").alias("core"), "set", "n")))
+    holders = levels[0]
+    for level in levels[1:]:
+        holders = holders.unionByName(level)
+    holders = holders.filter(F.size("closed") >= min_items)
+    supports = cut(holders.groupBy("closed").agg(F.sum("n").alias("support")).filter(F.col("support") >= min_support))
+    if max_comparisons is not None:
+        spent = 2 * candidates * every + int(supports.agg(F.coalesce(F.sum("support"), F.lit(0))).first()[0])
+        if spent > max_comparisons:
+            return Mined(nothing, False, ["comparison-budget-exceeded"])
+    groups = supports.select(F.col("closed").alias("items"), "support")
+    if name_units:
+        named = holders.join(supports.select("closed"), "closed", "left_semi").select("closed", F.col("set.items").alias("items")).join(clean, "items")
+        groups = groups.join(named.groupBy(F.col("closed").alias("items")).agg(F.array_sort(F.collect_list("unit")).alias("units")), "items")
+    if max_groups is not None and supports.count() > max_groups:
         return Mined(groups.orderBy("items").limit(max_groups), False, ["detection-budget-exceeded"])
     return Mined(groups, True, [])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -13,13 +13,19 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut: written to the folder that spark.checkpoint.dir names.
     Only a session on one machine that names none (tests) gets a local folder; on a cluster that is
     an error."""
-    context = df.sparkSession.sparkContext
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """This application's folder for checkpoints and for tables of its own."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
         if not named and not re.match(r"local(\[|$)", context.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         context.setCheckpointDir(named or f"file://{tempfile.gettempdir()}/checkpoints")
-    return df.checkpoint(eager=True)
+    return context.getCheckpointDir()
 
 
 def numbered(df: DataFrame, keys: list[str], name: str = "number") -> DataFrame:

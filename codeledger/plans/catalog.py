@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_evidence, q_lifecycle, q_metrics, q_more, q_structure
+from . import q_evidence, q_forest, q_lifecycle, q_metrics, q_more, q_structure
 
 Query = Callable[[SparkSession, str], DataFrame]
-GROUPS = (q_metrics, q_evidence, q_structure, q_lifecycle, q_more)
+GROUPS = (q_metrics, q_evidence, q_structure, q_lifecycle, q_forest, q_more)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

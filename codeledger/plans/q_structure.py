@@ -265,22 +265,25 @@ select s source, n line, rev revision, case when c > 0 then 'unsupported' else '
 # --- comparison ----------------------------------------------------------------------------
 
 
-def _report(s, d, year):
-    o = b.t(s, d, "orders").filter(F.year("o_orderdate") == year)
-    return o.groupBy(F.col("o_custkey").alias("id")).agg(
+def _report(s, d, later: bool):
+    """Each year's customers; as the later side, under the year before it."""
+    o = b.t(s, d, "orders").withColumn("y", F.year("o_orderdate"))
+    first, last = o.agg(F.min("y"), F.max("y")).first()
+    o = o.filter(F.col("y") > first if later else F.col("y") < last).withColumn("y", F.col("y") - int(later))
+    return o.groupBy(F.concat_ws("/", F.col("y").cast("string"), F.col("o_custkey").cast("string")).alias("id")).agg(
         F.when(F.count("*") % 5 != 0, F.round(F.sum("o_totalprice") / 1000, 3)).alias("score"), F.max("o_orderpriority").alias("priority"), F.min("o_orderstatus").alias("location"), F.collect_set("o_orderstatus").alias("evidence"),
     )
 
 
-REPORT_SQL = "r as (select year(o_orderdate) y, o_custkey id, case when count(*) % 5 <> 0 then round(sum(o_totalprice) / 1000, 3) end score, max(o_orderpriority) p, min(o_orderstatus) l, list_sort(list_distinct(list(o_orderstatus))) e from orders group by 1, 2)"
+REPORT_SQL = "g as (select year(o_orderdate) y, o_custkey k, case when count(*) % 5 <> 0 then round(sum(o_totalprice) / 1000, 3) end score, max(o_orderpriority) p, min(o_orderstatus) l, list_sort(list_distinct(list(o_orderstatus))) e from orders group by 1, 2), ra as (select y || '/' || k id, score, p, l, e from g where y < (select max(y) from g)), rb as (select (y - 1) || '/' || k id, score, p, l, e from g where y > (select min(y) from g))"
 COMPARED_SQL = f"""{REPORT_SQL}, c as (select coalesce(a.id, b.id) id, case when a.id is null then 'added' when b.id is null then 'removed'
   when a.score is not distinct from b.score and a.p = b.p and a.l = b.l and a.e = b.e then 'unchanged' else 'changed' end status, a.score score_before, b.score score_after, round(b.score - a.score, 6) score_delta,
   array_to_string(list_sort(list_filter(coalesce(b.e, []), lambda x: not list_contains(coalesce(a.e, []), x))), ',') evidence_added, array_to_string(list_sort(list_filter(coalesce(a.e, []), lambda x: not list_contains(coalesce(b.e, []), x))), ',') evidence_removed
-  from (select * from r where y = 1996) a full join (select * from r where y = 1997) b on a.id = b.id)"""
+  from ra a full join rb b on a.id = b.id)"""
 
 
 def _compared(s, d):
-    return compare.compare_items(_report(s, d, 1996), _report(s, d, 1997), sets=("evidence",))
+    return compare.compare_items(_report(s, d, False), _report(s, d, True), sets=("evidence",))
 
 
 def compare_reports(s, d):
@@ -304,12 +307,12 @@ select added, removed, changed, unchanged, round(b, 3) total_before, round(a, 3)
 
 
 def missing_evidence_delta(s, d):
-    one = lambda y: _report(s, d, y).select("id", F.explode("evidence").alias("e")).select(F.concat_ws(":", "id", "e").alias("evidence"))
-    return compare.missing_evidence_delta(one(1996), one(1997))
+    one = lambda later: _report(s, d, later).select("id", F.explode("evidence").alias("e")).select(F.concat_ws(":", "id", "e").alias("evidence"))
+    return compare.missing_evidence_delta(one(False), one(True))
 
 
-MISSING = f"""with {REPORT_SQL}, x as (select y, id || ':' || unnest(e) ev from r)
-(select ev as evidence, 'resolved' as change from (select ev from x where y = 1996 except select ev from x where y = 1997)) union all (select ev, 'introduced' from (select ev from x where y = 1997 except select ev from x where y = 1996))"""
+MISSING = f"""with {REPORT_SQL}, x as (select id || ':' || unnest(e) ev from ra), y as (select id || ':' || unnest(e) ev from rb)
+(select ev as evidence, 'resolved' as change from (select ev from x except select ev from y)) union all (select ev, 'introduced' from (select ev from y except select ev from x))"""
 
 
 def performance_gate(s, d):
@@ -336,14 +339,10 @@ select k, c as comparable, c and not sl and not fa as passed, case when c then r
 # --- mining --------------------------------------------------------------------------------
 
 
-#: No table has more units: the operator's unit budget is for one repository.
-_ALL_UNITS = 2**31 - 2
-
-
 def closed_clumps(s, d):
     ev = b.t(s, d, "events")
     units = ev.groupBy(F.concat_ws("/", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd")).alias("unit")).agg(F.collect_set("event_type").alias("items"))
-    got = mining.closed_itemsets(units, max_comparisons=10_000_000, max_units=_ALL_UNITS)
+    got = mining.closed_itemsets(units, max_comparisons=None, max_units=None, max_groups=None, name_units=False)
     if not got.complete:
         raise ValueError(f"closed_clumps is incomplete: {', '.join(got.issues)}")
     return got.groups.select(F.array_join("items", ",").alias("items"), "support")

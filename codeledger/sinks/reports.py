@@ -136,7 +136,8 @@ def write_text(lines: DataFrame, path: str) -> None:
 def append_once(rows: DataFrame, path: str, key: str) -> int:
     """Append rows whose key isn't stored yet; returns how many were new.  A second run of the same
     rows writes nothing.  Writers exclude each other by a lock file beside the table, which the store
-    makes in one step; a writer that finds it raises."""
+    makes in one step; a writer that finds it raises.  For a plain folder; a
+    :class:`~codeledger.sinks.versioned.VersionedTable` takes several writers and leaves no lock."""
     with _locked(rows.sparkSession, f"{path.rstrip('/')}.lock"):
         return _append(rows, path, key)
 

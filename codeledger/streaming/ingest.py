@@ -1,6 +1,6 @@
 """Streaming ingest of snapshots: idempotent, with orphans waiting for their parents.
 
-Each micro-batch is merged into the store of snapshots (Parquet in a shared folder); a snapshot
+Each micro-batch is merged into the store of snapshots (a versioned table in a shared folder); a snapshot
 is processed once its parent is, and waits otherwise.  This is the batch operator of
 :mod:`codeledger.operators.lifecycle` applied per batch; a batch that is delivered again after a
 failure writes nothing new."""
@@ -11,31 +11,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import lifecycle
-from ..sinks.reports import append_once
+from ..sinks.versioned import VersionedTable
 
 SNAPSHOT = "id string, parent_id string, digest string"
 
 
 def ingest_batch(batch: DataFrame, store: str) -> int:
     """Merge one batch; conflicts (an id with other content) raise before anything is written."""
-    spark = batch.sparkSession
-    try:
-        old = spark.read.schema(SNAPSHOT).parquet(store)
-        old.limit(1).count()
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        old = spark.createDataFrame([], SNAPSHOT)
-    outcome = lifecycle.ingest(old, batch)
+    table = VersionedTable(batch.sparkSession, store, SNAPSHOT)
+    outcome = lifecycle.ingest(table.read(), batch)
     bad = outcome.filter("outcome = 'conflict'").limit(1).collect()
     if bad:
         raise ValueError(f"snapshot {bad[0].id} was stored with other content")
-    return append_once(batch.select("id", "parent_id", "digest"), store, "id")
+    return table.append_once(batch.select("id", "parent_id", "digest"), "id")
 
 
 def states(spark: SparkSession, store: str) -> DataFrame:
     """(id, state): processed, or pending while an ancestor is missing."""
-    return lifecycle.pending(spark.read.schema(SNAPSHOT).parquet(store))
+    return lifecycle.pending(VersionedTable(spark, store, SNAPSHOT).read())
 
 
 def start(snapshots: DataFrame, store: str, checkpoint: str, available_now: bool = True):

@@ -173,3 +173,17 @@ def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "old.json").write_text(json.dumps({**report, "schema_version": 1}))
     with pytest.raises(Exception, match="schema version"):
         main(["compare", str(tmp_path / "old.json"), str(tmp_path / "after.json")])
+
+
+def test_forced_tries_outside_of_bodies_and_their_declarations(spark):
+    text = "let b = try! h()\nclass C {\n  let c = try! k()\n  func f() {\n    try! a(); try! d()\n  }\n  var after = x as! Y\n}\nfunc g(p: Int = try! q()) {}\nvar last = try! h()\n"
+    found = facts.extract(spark.createDataFrame([("a.swift", "M", text)], "path string, module string, content string"))
+    rows = {(r.line, r.column): r for r in facts.structural_digests(found).collect() if r.rule in ("codeledger.force-try", "codeledger.code-smell.force-cast")}
+    at = {line: [rows[k] for k in sorted(rows) if k[0] == line] for line in {k[0] for k in rows}}
+    assert sorted(at) == [1, 3, 5, 7, 9, 10] and len(at[5]) == 2
+    one, two = at[5]
+    assert one.subject_digest != two.subject_digest and one.decl_digest == two.decl_digest  # two on a line of one function
+    assert at[1][0].decl_digest is None and at[10][0].decl_digest is None  # in no declaration; the last one follows g
+    assert at[1][0].subject_digest == at[10][0].subject_digest
+    assert at[3][0].decl_digest == at[7][0].decl_digest not in (None, one.decl_digest)  # in the class, before and behind f
+    assert at[9][0].decl_digest not in (None, one.decl_digest)

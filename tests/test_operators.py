@@ -320,3 +320,37 @@ def test_clumps_of_more_units_than_a_repository_has(spark, tmp_path, monkeypatch
     monkeypatch.setattr(mining, "closed_itemsets", lambda *_, **__: short)
     with pytest.raises(ValueError, match="comparison-budget-exceeded"):
         q_structure.closed_clumps(spark, str(tmp_path))
+
+
+def counted_comparisons(units, min_items, min_support):
+    """What an enumeration spends that meets every candidate with every unit, then tests and closes it."""
+    known = {frozenset(s) for _, s in units if len(s) >= min_items}
+    todo, spent = list(known), 0
+    while todo:
+        c = todo.pop()
+        for _, s in units:
+            spent += 1
+            made = c & set(s)
+            if len(made) >= min_items and made not in known:
+                known.add(made)
+                todo.append(made)
+    for c in known:
+        spent += len(units)
+        support = sum(c <= set(s) for _, s in units)
+        spent += support if support >= min_support else 0
+    return spent
+
+
+def test_comparisons_are_those_of_the_enumeration(spark):
+    rng = random.Random(12)
+    units = [(str(i), sorted(rng.sample("abcdefgh", rng.randrange(1, 7)))) for i in range(16)]
+    df = spark.createDataFrame(units, "unit string, items array<string>")
+    spent = counted_comparisons(units, 3, 2)
+    assert mining.closed_itemsets(df, max_comparisons=spent).complete
+    assert mining.closed_itemsets(df, max_comparisons=spent - 1).issues == ["comparison-budget-exceeded"]
+    free = mining.closed_itemsets(df, max_comparisons=None, max_units=None, max_groups=None)
+    capped = mining.closed_itemsets(df)
+    read = lambda m: {tuple(r["items"]): (r.support, tuple(r.units)) for r in m.groups.collect()}
+    assert read(free) == read(capped) and all(len(u) == n for n, u in read(free).values())
+    assert mining.closed_itemsets(df, max_units=15).issues == ["analysis-unit-budget-exceeded"]
+    assert mining.closed_itemsets(df.limit(0)).groups.isEmpty()
