@@ -127,7 +127,11 @@ def _compared(a: argparse.Namespace):
 
 
 def compare_reports(a: argparse.Namespace) -> int:
+    """What changed between two reports: items, then aggregations."""
     compare.comparison_summary(_compared(a)).show(truncate=False)
+    spark = _session()
+    before, after = (reports.report_aggregations(spark, p) for p in (a.before, a.after))
+    compare.comparison_summary(compare.compare_items(before, after, sets=("member_item_ids",))).show(truncate=False)
     return 0
 
 

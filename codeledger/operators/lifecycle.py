@@ -227,12 +227,13 @@ ABSENCE_REASONS = ("lineage-incomparable", "scope-incomplete", "rule-omitted", "
 ABSENCE_VERIFIED = "complete-comparable-absence"
 
 
-def verified_absence(findings: DataFrame, complete_scope: bool, rules: DataFrame, results: DataFrame, detections: DataFrame, unresolved: DataFrame, comparisons: DataFrame) -> DataFrame:
+def verified_absence(findings: DataFrame, complete_scope: bool, rules: DataFrame, results: DataFrame, detections: DataFrame, unresolved: DataFrame, comparisons: DataFrame, relocations: DataFrame | None = None) -> DataFrame:
     """(id, verified, reasons): whether one snapshot proves that a finding is gone.
 
     ``findings``: id, rule, in_lineage; ``rules``: the snapshot's rules; ``results``: rule, source,
     outcome; ``detections``: rule; ``unresolved``: id; ``comparisons``: rule, compatible, reasons (of the
-    rule then and now).  Verified only if no reason stands against it; reasons are distinct and sorted."""
+    rule then and now); ``relocations`` (of :func:`relocation.relocation_coverage`): id, blockers, proofs of
+    what became of its source.  Verified only if no reason stands against it; reasons are distinct and sorted."""
     ran = rules.select("rule").distinct().withColumn("__ran", F.lit(True))
     bad = results.filter("outcome <> 'committed'").groupBy("rule").agg(F.collect_set(F.concat(F.lit("atomic-observation-"), "outcome")).alias("__atomic"))  # a few outcomes
     seen = detections.select("rule").distinct().withColumn("__seen", F.lit(True))
@@ -240,10 +241,14 @@ def verified_absence(findings: DataFrame, complete_scope: bool, rules: DataFrame
     other = comparisons.filter(~F.col("compatible")).select("rule", F.col("reasons").alias("__other"))
     full = findings.select("id", "rule", "in_lineage").join(ran, "rule", "left").join(bad, "rule", "left").join(seen, "rule", "left").join(other, "rule", "left").join(unclear, "id", "left")
     none = F.array().cast("array<string>")
+    if relocations is None:
+        full = full.withColumn("__blockers", none).withColumn("__proofs", none)
+    else:
+        full = full.join(relocations.select("id", F.col("blockers").alias("__blockers"), F.col("proofs").alias("__proofs")), "id", "left")
     flags = (~F.coalesce("in_lineage", F.lit(False)), F.lit(not complete_scope), F.col("__ran").isNull(), F.col("__seen").isNotNull(), F.col("__unclear").isNotNull())
-    codes = F.concat(F.filter(F.array(*[F.when(c, F.lit(code)) for c, code in zip(flags, ABSENCE_REASONS, strict=True)]), lambda x: x.isNotNull()), F.coalesce("__atomic", none), F.when(F.col("__ran").isNotNull(), F.coalesce("__other", none)).otherwise(none))
+    codes = F.concat(F.filter(F.array(*[F.when(c, F.lit(code)) for c, code in zip(flags, ABSENCE_REASONS, strict=True)]), lambda x: x.isNotNull()), F.coalesce("__atomic", none), F.when(F.col("__ran").isNotNull(), F.coalesce("__other", none)).otherwise(none), F.coalesce("__blockers", none))
     blockers = F.array_sort(F.array_distinct(codes))
-    return full.select("id", (F.size(blockers) == 0).alias("verified"), F.when(F.size(blockers) == 0, F.array(F.lit(ABSENCE_VERIFIED))).otherwise(blockers).alias("reasons"))
+    return full.select("id", (F.size(blockers) == 0).alias("verified"), F.when(F.size(blockers) == 0, F.array_sort(F.array_union(F.array(F.lit(ABSENCE_VERIFIED)), F.coalesce("__proofs", none)))).otherwise(blockers).alias("reasons"))
 
 
 #: What narrows a snapshot's scope, by the flag that says so.

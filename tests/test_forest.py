@@ -9,7 +9,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from codeledger.operators import audit, digest_tree, fact_store, introduction, reducer, relocation, vector_index, vectors
+from codeledger.operators import audit, digest_tree, fact_store, introduction, lifecycle, reducer, relocation, vector_index, vectors
 from codeledger.sources import artifacts
 
 from test_reducer import case, frames, told
@@ -85,6 +85,15 @@ def test_coverage_of_relocations(spark):
     assert got == {1: ([], [relocation.COVERED, relocation.RELOCATED]), 2: ([], []), 3: ([part, relocation.DELETED], []), 4: ([part, relocation.RELOCATED], []), 5: ([out, part], []), 6: ([out, part], [])}
 
 
+def test_absence_takes_what_became_of_the_source(spark):
+    findings = spark.createDataFrame([(k, "r", True) for k in "abc"], "id string, rule string, in_lineage boolean")
+    empty = lambda schema: spark.createDataFrame([], schema)
+    moved = spark.createDataFrame([("a", [], [relocation.COVERED, relocation.RELOCATED]), ("b", [relocation.INCOMPLETE, relocation.OUT_OF_SCOPE], [])], "id string, blockers array<string>, proofs array<string>")
+    got = lifecycle.verified_absence(findings, True, spark.createDataFrame([("r",)], "rule string"), empty("rule string, source string, outcome string"), empty("rule string"), empty("id string"), empty("rule string, compatible boolean, reasons array<string>"), moved)
+    rows = {r.id: (r.verified, list(r.reasons)) for r in got.collect()}
+    assert rows == {"a": (True, sorted(["complete-comparable-absence", relocation.COVERED, relocation.RELOCATED])), "b": (False, sorted([relocation.INCOMPLETE, relocation.OUT_OF_SCOPE])), "c": (True, ["complete-comparable-absence"])}
+
+
 def test_digest_tree(spark):
     rows = [(f"src/{k}", "M", f"text {k}") for k in range(700)]
     make = lambda r, parts=3: digest_tree.leaves(spark.createDataFrame(r, "path string, module string, content string").repartition(parts))
