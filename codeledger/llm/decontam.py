@@ -158,12 +158,13 @@ def document_frequencies(docs: DataFrame, vocab: dict[str, int], text: str) -> t
     return out, n
 
 
-#: Tasks that sum up the sketch of a block; so many matrices reach the driver.
+#: Tasks that sum up the sketch of a block; so many matrices meet in one task.
 SKETCH_TASKS = 2
 
 
-def sketch(bench: DataFrame, vocab: dict[str, int], weight: np.ndarray, text: str) -> np.ndarray:
-    """``Y = A'(A G)`` of the weighted passages of ``bench``, each of norm 1, summed over tasks."""
+def fitted(bench: DataFrame, vocab: dict[str, int], weight: np.ndarray, text: str) -> np.ndarray:
+    """The leading right singular vectors of the weighted passages of ``bench``, each of norm 1: tasks sum
+    ``Y = A'(A G)``, and one more task decomposes the sum; the driver gets the vectors alone."""
     terms = len(vocab)
     common.ship(bench.sparkSession)
 
@@ -179,8 +180,12 @@ def sketch(bench: DataFrame, vocab: dict[str, int], weight: np.ndarray, text: st
                     y[at] += np.outer(row, row @ g[at])
         yield pa.RecordBatch.from_arrays([pa.array([y.astype(np.float32).tobytes()], pa.binary())], names=["y"])
 
-    parts = bench.select(text).coalesce(SKETCH_TASKS).mapInArrow(run, "y binary").collect()
-    return sum(np.frombuffer(p.y, np.float32).reshape(terms, -1).astype(np.float64) for p in parts)
+    def decompose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        y = sum(np.frombuffer(p, np.float32).reshape(terms, -1).astype(np.float64) for batch in batches for p in batch.column(0).to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([singular_vectors(y).astype(np.float32).tobytes()], pa.binary())], names=["basis"])
+
+    parts = bench.select(text).coalesce(SKETCH_TASKS).mapInArrow(run, "y binary").repartition(1)  # SKETCH_TASKS rows
+    return np.frombuffer(parts.mapInArrow(decompose, "basis binary").first().basis, np.float32).reshape(terms, -1)
 
 
 def singular_vectors(y: np.ndarray) -> np.ndarray:
@@ -204,7 +209,7 @@ class Finder:
         rank = basis.shape[1]
         #: Squared weights; the last is that of a strange word (code -1).
         self.square = np.append(weight**2, float(weight.mean()) ** 2 if len(weight) else 1.0)
-        self.table = np.vstack([weight[:, None] * basis, np.zeros((1, rank))]).astype(np.float32)
+        self.table = np.vstack([weight[:, None].astype(np.float32) * basis.astype(np.float32, copy=False), np.zeros((1, rank), np.float32)])
         q = np.stack([self.table[codes].sum(axis=0) for _, codes in bench.passages]) if bench.passages else np.zeros((0, rank), np.float32)
         own = np.array([self._norm(codes) for _, codes in bench.passages], dtype=np.float32).reshape(-1, 1)
         self.q = q / np.maximum(own, np.float32(1e-12))
@@ -295,7 +300,7 @@ def passes(docs: DataFrame, items: DataFrame, text: str = "text") -> Iterator[li
         for part, block in zip(rows, made, strict=True):
             if block.vocab:
                 weight = (np.log((1 + n) / (1 + df[[vocab[w] for w in block.vocab]])) + 0.05) ** 2
-                found.append(Finder(block, weight, singular_vectors(sketch(part, block.vocab, weight, "text"))))
+                found.append(Finder(block, weight, fitted(part, block.vocab, weight, "text")))
         yield found
 
 
