@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import release, stash
@@ -27,17 +27,22 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(full.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _kept(edges: DataFrame, name: str) -> tuple[DataFrame, tuple]:
+    """``edges`` in the shared folder, and their count and sum of hashes, seen as they are written."""
+    seen = Observation()
+    kept = stash(edges.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")), name)
+    return kept, (seen.get["n"], seen.get["sum"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of ``edges`` (u, v: long, u <> v); root is the least node of
     the component.  Each round is written to the shared folder; the number of rounds grows with
     the logarithm of the longest path.  An empty table gives an empty result."""
-    now = stash(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
-    mark = None
-    while True:
-        before, now = now, stash(_small_star(_large_star(now)), "stars")
+    now, mark = _kept(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
+    while mark[0]:
+        before, last = now, mark
+        now, mark = _kept(_small_star(_large_star(before)), "stars")
         release(before)
-        new = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(new) == mark:
+        if mark == last:
             break
-        mark = tuple(new)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
